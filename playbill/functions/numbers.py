@@ -10,6 +10,13 @@ def known(amount: Column) -> Column:
     return F.nullif(amount, F.lit(0))
 
 
+def round_even(value: Column, digits: int) -> Column:
+    """Round to ``digits`` decimals on the binary value, ties to even: 2.125 gives 2.12 and 2.175, which
+    is a little less in binary, gives 2.17."""
+    scale = F.lit(float(10**digits))
+    return F.rint(value * scale) / scale
+
+
 def roi(revenue: Column, budget: Column) -> Column:
     return revenue / known(budget)
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from playbill.functions.numbers import roi
+from playbill.functions.numbers import roi, round_even
 
 WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 FENCE = "`" * 3
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def strip(text: Column) -> Column:
@@ -26,12 +27,12 @@ def answer_text(content: Column) -> Column:
 
 def without_fences(text: Column) -> Column:
     """Drop every code-fence line, but only from text that starts with a fence."""
-    kept = F.filter(F.split(strip(text), "\r\n|\r|\n"), lambda line: ~F.startswith(strip(line), F.lit(FENCE)))
+    kept = F.filter(F.split(strip(text), LINE_END), lambda line: ~F.startswith(strip(line), F.lit(FENCE)))
     return F.when(F.startswith(strip(text), F.lit(FENCE)), strip(F.array_join(kept, "\n"))).otherwise(strip(text))
 
 
 def rating_phrase(avg_rating: Column, n_ratings: Column) -> Column:
-    stated = F.format_string("%.2f avg across %d user ratings", F.round(avg_rating, 2), F.coalesce(n_ratings, F.lit(0)))
+    stated = F.format_string("%.2f avg across %d user ratings", round_even(avg_rating, 2), F.coalesce(n_ratings, F.lit(0)))
     return F.when(avg_rating.isNull(), F.lit("no user ratings")).otherwise(stated)
 
 
@@ -41,7 +42,7 @@ def money(amount: Column) -> Column:
 
 def roi_phrase(revenue: Column, budget: Column) -> Column:
     value = roi(revenue, budget)
-    return F.when(value.isNull() | (value == 0), F.lit("n/a")).otherwise(F.format_string("%.1fx", F.round(value, 1)))
+    return F.when(value.isNull() | (value == 0), F.lit("n/a")).otherwise(F.format_string("%.1fx", round_even(value, 1)))
 
 
 def runtime_phrase(runtime: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from playbill.contracts import HISTORY_LENGTH, MIN_HISTORY
-from playbill.functions.numbers import half_steps
+from playbill.functions.numbers import half_steps, round_even
 from playbill.operators.history import pair_histories
 from playbill.sources.tables import prepare_catalog
 
@@ -43,7 +43,7 @@ def predict_by_rule(prepared: DataFrame) -> DataFrame:
     shift = F.coalesce(
         F.col("n_genre") / (F.col("n_genre") + GENRE_WEIGHT) * (F.col("genre_mean") - F.col("user_mean")), F.lit(0.0))
     why = F.format_string(
-        "mean %.2f over %d ratings, %d of them sharing a genre", F.round("user_mean", 2), F.col("n_history"), F.col("n_genre"))
+        "mean %.2f over %d ratings, %d of them sharing a genre", round_even(F.col("user_mean"), 2), F.col("n_history"), F.col("n_genre"))
     ok = F.col("status") == "ok"
     return (
         prepared.withColumn("_same", same)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from playbill.contracts import ACTIVE_USER_RATINGS
+from playbill.functions.numbers import round_even
 
 
 def movie_rating_stats(ratings: DataFrame) -> DataFrame:
@@ -32,7 +33,7 @@ def rated_titles(ratings: DataFrame, catalog: DataFrame, *columns: str) -> DataF
 
 def user_stats(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("n_ratings"), F.round(F.avg("rating"), 2).alias("mean_rating"))
+        F.count(F.lit(1)).alias("n_ratings"), round_even(F.avg("rating"), 2).alias("mean_rating"))
 
 
 def active_users(ratings: DataFrame, least: int = ACTIVE_USER_RATINGS) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from playbill.operators.ratings import movie_rating_stats
 from playbill.operators.rules import enrich_by_rules
+from playbill.operators.validate import validate_enriched
 from playbill.plans.enrichment import eligible_pool
 from playbill.session import configure, new_run_dir
 from playbill.sources.sinks import append_enriched
@@ -96,6 +97,6 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     if fresh:
         labelled = eligible_pool(catalog).join(label_sentiments(spark, sf_dir).select("movie_id"), "movie_id", "left_semi")
         stub = Tables(path, sf_dir, catalog, ratings, catalog)
-        append_enriched(rules(stub, labelled), f"{path}/enriched")
+        append_enriched(validate_enriched(rules(stub, labelled)).filter("valid"), f"{path}/enriched")
         _paths[memo] = path
     return Tables(path, sf_dir, catalog, ratings, scan_enriched(spark, f"{path}/enriched"))
