@@ -16,7 +16,7 @@ def is_released() -> Column:
 def is_eligible() -> Column:
     """Rows fit for enrichment: text, genres, both amounts known, released."""
     return (
-        F.col("overview").isNotNull() & (F.col("overview") != "")
+        F.col("has_overview")
         & (F.col("budget") > 0) & (F.col("revenue") > 0)
         & is_released()
         & F.col("genres").isNotNull() & (F.col("genres") != "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from playbill.contracts import HISTORY_LENGTH
@@ -26,11 +28,15 @@ def newest_per_user(ratings: DataFrame, catalog: DataFrame, k: int = HISTORY_LEN
     return top_per_key(known, ["user_id"], newest, 2 * k, "recency")
 
 
-def histories(ratings: DataFrame, catalog: DataFrame, k: int = HISTORY_LENGTH, users: DataFrame | None = None) -> DataFrame:
-    """One row per user with an array of at most 2k ratings, newest first, with title and genres."""
-    facts = prepare_catalog(catalog).select("movie_id", "title", "genre_names", "genre_keys")
-    newest = newest_per_user(ratings, catalog, k, users).join(facts, "movie_id")
-    entry = F.struct("recency", "movie_id", "rating", "ts", "title", "genre_names", "genre_keys")
+def histories(
+    ratings: DataFrame, catalog: DataFrame, k: int = HISTORY_LENGTH, users: DataFrame | None = None, facts: Sequence[str] = (),
+) -> DataFrame:
+    """One row per user with an array of at most 2k ratings, newest first, with the catalog columns
+    ``facts`` of each rated movie."""
+    newest = newest_per_user(ratings, catalog, k, users)
+    if facts:
+        newest = newest.join(prepare_catalog(catalog).select("movie_id", *facts), "movie_id")
+    entry = F.struct("recency", "movie_id", "rating", "ts", *facts)
     return newest.groupBy("user_id").agg(F.array_sort(F.collect_list(entry)).alias("newest"))
 
 
@@ -40,10 +46,13 @@ def without_target(newest: Column, target: Column, k: int = HISTORY_LENGTH) -> C
     return F.coalesce(kept, F.array())
 
 
-def pair_histories(pairs: DataFrame, ratings: DataFrame, catalog: DataFrame, k: int = HISTORY_LENGTH, users: DataFrame | None = None) -> DataFrame:
+def pair_histories(
+    pairs: DataFrame, ratings: DataFrame, catalog: DataFrame, k: int = HISTORY_LENGTH, users: DataFrame | None = None,
+    facts: Sequence[str] = (),
+) -> DataFrame:
     """``pairs`` (user_id, movie_id, ...) with the leak-free ``history`` array, empty if there is none."""
     return (
-        pairs.join(histories(ratings, catalog, k, users), "user_id", "left")
+        pairs.join(histories(ratings, catalog, k, users, facts), "user_id", "left")
         .withColumn("history", without_target(F.col("newest"), F.col("movie_id"), k))
         .drop("newest")
     )
@@ -58,6 +67,9 @@ def history_rows(with_history: DataFrame) -> DataFrame:
     )
 
 
+LINE_FACTS = ("title", "genre_names")
+
+
 def history_text(history: Column) -> Column:
-    """The history as lines of text, newest first."""
+    """The history (with ``LINE_FACTS``) as lines of text, newest first."""
     return F.array_join(F.transform(history, lambda h: rated_line(h["rating"], h["title"], h["genre_names"])), "\n")

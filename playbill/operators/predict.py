@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from playbill.contracts import HISTORY_LENGTH, MIN_HISTORY
@@ -19,16 +21,19 @@ def _mean(entries: Column) -> Column:
     return F.try_divide(total, F.size(entries))
 
 
-def prediction_requests(requests: DataFrame, ratings: DataFrame, catalog: DataFrame, users: DataFrame | None = None) -> DataFrame:
-    """Requests with target facts, leak-free history and ``status``. An unknown target is reported
-    before a short history."""
+RULE_FACTS = ("genre_keys",)
+TARGET_FACTS = ("title", "overview", "genre_names", "genre_keys")
+
+
+def prediction_requests(
+    requests: DataFrame, ratings: DataFrame, catalog: DataFrame, users: DataFrame | None = None, facts: Sequence[str] = RULE_FACTS,
+) -> DataFrame:
+    """Requests with the ``target_`` columns, leak-free ``history`` (entries carry ``facts`` too) and
+    ``status``. An unknown target is reported before a short history."""
     targets = prepare_catalog(catalog).select(
-        "movie_id", F.col("title").alias("target_title"), F.col("overview").alias("target_overview"),
-        F.col("genre_names").alias("target_genres"), F.col("genre_keys").alias("target_keys"), F.lit(True).alias("_known"),
-    )
+        "movie_id", *[F.col(c).alias(f"target_{c}") for c in TARGET_FACTS], F.lit(True).alias("_known"))
     return (
-        pair_histories(requests, ratings, catalog, HISTORY_LENGTH, users)
-        .join(targets, "movie_id", "left")
+        pair_histories(requests.join(targets, "movie_id", "left"), ratings, catalog, HISTORY_LENGTH, users, facts)
         .withColumn("n_history", F.size("history"))
         .withColumn("status", F.when(F.col("_known").isNull(), F.lit("target_not_found"))
                     .when(F.col("n_history") < MIN_HISTORY, F.lit("insufficient_history")).otherwise(F.lit("ok")))
@@ -39,7 +44,7 @@ def prediction_requests(requests: DataFrame, ratings: DataFrame, catalog: DataFr
 def predict_by_rule(prepared: DataFrame) -> DataFrame:
     """Rule in place of a model: the user's recent mean, moved towards the mean of the history that
     shares a genre with the target, the more the more such ratings there are."""
-    same = F.filter("history", lambda h: F.arrays_overlap(h["genre_keys"], F.col("target_keys")))
+    same = F.filter("history", lambda h: F.arrays_overlap(h["genre_keys"], F.col("target_genre_keys")))
     shift = F.coalesce(
         F.col("n_genre") / (F.col("n_genre") + GENRE_WEIGHT) * (F.col("genre_mean") - F.col("user_mean")), F.lit(0.0))
     why = F.format_string(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from playbill.functions.numbers import equal_width_bin
 from playbill.operators.filters import is_eligible
+from playbill.sources.tables import prepare_catalog
 
 
 def row_counts(catalog: DataFrame, ratings: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def row_counts(catalog: DataFrame, ratings: DataFrame) -> DataFrame:
 def eligible_share(catalog: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     eligible = F.count_if(is_eligible())
-    return catalog.agg(n.alias("n_movies"), eligible.alias("n_eligible"), F.round(eligible / n, 6).alias("share"))
+    return prepare_catalog(catalog).agg(n.alias("n_movies"), eligible.alias("n_eligible"), F.round(eligible / n, 6).alias("share"))
 
 
 def missing_rates(catalog: DataFrame) -> DataFrame:
@@ -38,14 +39,14 @@ def missing_rates(catalog: DataFrame) -> DataFrame:
         return F.col(column).isNull() | (F.col(column) == 0)
 
     tests = {
-        "overview_missing": blank("overview"),
+        "overview_missing": ~F.col("has_overview"),
         "budget_zero": zero("budget"),
         "revenue_zero": zero("revenue"),
         "runtime_missing": zero("runtime"),
         "genres_missing": blank("genres"),
         "not_released": F.col("status").isNull() | (F.col("status") != "Released"),
     }
-    wide = catalog.agg(*[F.avg(F.when(t, 1.0).otherwise(0.0)).alias(name) for name, t in tests.items()])
+    wide = prepare_catalog(catalog).agg(*[F.avg(F.when(t, 1.0).otherwise(0.0)).alias(name) for name, t in tests.items()])
     pairs = ", ".join(f"'{name}', {name}" for name in tests)
     return wide.select(F.expr(f"stack({len(tests)}, {pairs}) as (field, rate)"))
 

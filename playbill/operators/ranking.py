@@ -23,7 +23,7 @@ def magnitude_cell(value: Column, per_octave: int = 4096) -> Column:
     """Monotone cell number of a value: equal cells per doubling, so at most about 260,000 per sign
     for 64-bit amounts."""
     size = F.floor(F.log2(F.lit(1.0) + F.abs(value)) * per_octave)
-    return F.when(value < 0, -size - 1).otherwise(size)
+    return F.coalesce(F.when(value < 0, -size - 1).otherwise(size), F.lit(0).cast("long"))
 
 
 def percent_ranks(rows: DataFrame, key: str, group: str, measures: Sequence[str]) -> DataFrame:

@@ -28,22 +28,26 @@ def effectiveness(roi_rank: Column, avg_rating: Column) -> Column:
     return F.least(F.lit(10), 1 + F.floor(9 * (ROI_WEIGHT * roi_rank + RATING_WEIGHT * liked))).cast("int")
 
 
-def _term_counts(pool: DataFrame) -> DataFrame:
-    """Words per text. All words of a text start in one task, so the counts are nearly final before
-    the shuffle."""
-    return (
-        pool.select("movie_id", "genre_keys", F.explode(words(F.col("overview"))).alias("word"))
-        .filter((F.length("word") >= THEME_LETTERS) & ~F.array_contains(F.col("genre_keys"), F.col("word")))
-        .groupBy("movie_id", "word").agg(F.count(F.lit(1)).alias("tf"))
-    )
+def _terms(text: Column, genre_keys: Column) -> Column:
+    """Words long enough to be a theme that do not name a genre of the title."""
+    return F.filter(words(text), lambda w: (F.length(w) >= THEME_LETTERS) & ~F.array_contains(genre_keys, w))
 
 
 def themes(pool: DataFrame, norms: DataFrame | None = None, k: int = THEMES) -> DataFrame:
-    """The ``k`` words of each overview with the highest tf-idf against the overviews of ``norms``."""
-    own = _term_counts(pool)
-    everywhere = own if norms is None else _term_counts(norms)
-    spread = everywhere.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    n = (pool if norms is None else norms).agg(F.count(F.lit(1))).scalar()
+    """The ``k`` words of each overview with the highest tf-idf against the overviews of ``norms``.
+
+    Texts are spread by id before they are split, so the counts per text, and the ranking of a text's
+    words where the word table is small enough to be broadcast, need no further shuffle. Texts are
+    smaller than their exploded words. Document counts leave each task already summed per word."""
+    norms = pool if norms is None else norms
+    terms = _terms(F.col("overview"), F.col("genre_keys"))
+    own = (
+        pool.select("movie_id", "overview", "genre_keys").repartition("movie_id")
+        .select("movie_id", F.explode(terms).alias("word"))
+        .groupBy("movie_id", "word").agg(F.count(F.lit(1)).alias("tf"))
+    )
+    spread = norms.select(F.explode(F.array_distinct(terms)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    n = norms.agg(F.count(F.lit(1))).scalar()
     scored = own.join(spread, "word").select(
         "movie_id", "word", F.round(F.col("tf") * F.ln(n / F.col("df")), 6).alias("score"))
     best = top_per_key(scored, ["movie_id"], [F.desc("score"), F.asc("word")], k)

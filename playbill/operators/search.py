@@ -14,6 +14,7 @@ from playbill.operators.filters import has_genre, in_range, is_released
 from playbill.sources.tables import prepare_catalog
 
 _BY_NAME = {f.name: f for f in FILTER_FIELDS}
+MAX_YEARS = 200  # longer ranges are tested on every row instead of year by year
 
 
 def _checked(field: Field, value: Any) -> Any:
@@ -53,32 +54,43 @@ def with_enrichment(rows: DataFrame, enriched: DataFrame, required: bool = False
     return rows.join(enriched.select(*ENRICHED_COLUMNS), "movie_id", "inner" if required else "left")
 
 
-def candidates(catalog: DataFrame, enriched: DataFrame, **filters: Any) -> DataFrame:
-    """All rows that meet the filters, before sort and limit."""
-    f = check_filters(filters)
-    rows = prepare_catalog(catalog).filter(
+def _catalog_matches(catalog: DataFrame, f: dict[str, Any]) -> DataFrame:
+    return prepare_catalog(catalog).filter(
         is_released()
         & in_range("filter_year", f.get("min_year"), f.get("max_year"))
         & in_range("budget", f.get("min_budget"), f.get("max_budget"))
         & in_range("runtime", f.get("min_runtime"), f.get("max_runtime"))
         & has_genre(f["genres"])
     )
+
+
+def _enriched_conditions(f: dict[str, Any]) -> list[Column]:
     equal = {"budget_tier": "budget_tier", "revenue_tier": "revenue_tier", "sentiment": "overview_sentiment"}
     wanted = [F.col(column) == f[name] for name, column in equal.items() if f.get(name) is not None]
     if f.get("min_score") is not None:
         wanted.append(F.col("production_effectiveness_score") >= f["min_score"])
+    return wanted
+
+
+def candidates(catalog: DataFrame, enriched: DataFrame, **filters: Any) -> DataFrame:
+    """All rows that meet the filters, before sort and limit."""
+    f = check_filters(filters)
+    wanted = _enriched_conditions(f)
     for condition in wanted:
         enriched = enriched.filter(condition)
-    return with_enrichment(rows, enriched, required=bool(wanted)).select(*RESULT_COLUMNS)
+    return with_enrichment(_catalog_matches(catalog, f), enriched, required=bool(wanted)).select(*RESULT_COLUMNS)
 
 
 def search(catalog: DataFrame, enriched: DataFrame, **filters: Any) -> DataFrame:
-    """Best rows for one request. Ties, and requests without a sort key, go by ``movie_id``."""
+    """Best rows for one request. Ties, and requests without a sort key, go by ``movie_id``.
+    If nothing enriched decides which rows win, they are chosen first and only they are joined."""
     f = check_filters(filters)
-    order = [F.asc("movie_id")]
-    if f.get("sort_by"):
-        order.insert(0, F.desc_nulls_last(SORT_COLUMNS[f["sort_by"]]))
-    return candidates(catalog, enriched, **filters).orderBy(*order).limit(f["limit"])
+    sort_column = SORT_COLUMNS.get(f.get("sort_by"))
+    order = ([F.desc_nulls_last(sort_column)] if sort_column else []) + [F.asc("movie_id")]
+    if _enriched_conditions(f) or sort_column in ENRICHED_COLUMNS:
+        return candidates(catalog, enriched, **filters).orderBy(*order).limit(f["limit"])
+    winners = _catalog_matches(catalog, f).orderBy(*order).limit(f["limit"])
+    return with_enrichment(winners, enriched).select(*RESULT_COLUMNS).orderBy(*order)
 
 
 def search_json(catalog: DataFrame, enriched: DataFrame, filter_json: str) -> DataFrame:
@@ -109,45 +121,73 @@ def _spec_accepts() -> Column:
     )
 
 
+def _facet(kind: str, value: Column) -> Column:
+    return F.concat(F.lit(f"{kind}:"), value.cast("string"))
+
+
+def _spec_facets() -> Column:
+    """Where a request looks for rows: under each wanted genre; else among the enriched rows if it
+    asks for an enriched value; else under each year of a closed range of years; else everywhere."""
+    enriched_only = F.coalesce("budget_tier", "revenue_tier", "sentiment", F.col("min_score").cast("string")).isNotNull()
+    years = F.when(
+        F.col("min_year") <= F.col("max_year"),
+        F.transform(F.sequence("min_year", "max_year"), lambda y: _facet("year", y)),
+    ).otherwise(F.array().cast("array<string>"))
+    return (
+        F.when(F.size("wanted") > 0, F.transform("wanted", lambda g: _facet("genre", g)))
+        .when(enriched_only, F.array(F.lit("enriched")))
+        .when((F.col("max_year") - F.col("min_year")).between(-MAX_YEARS, MAX_YEARS), years)
+        .otherwise(F.array(F.lit("any")))
+    )
+
+
+def _item_facets() -> Column:
+    return F.array_compact(F.concat(
+        F.transform("genre_keys", lambda g: _facet("genre", g)),
+        F.array(F.lit("any"), F.when(F.col("overview_sentiment").isNotNull(), F.lit("enriched")), _facet("year", F.col("filter_year"))),
+    ))
+
+
 def search_batch(catalog: DataFrame, enriched: DataFrame, specs: DataFrame, salts: int = 16) -> DataFrame:
     """All requests of a table at once: the best ``limit`` rows per ``spec_id``, with ``rank``.
 
-    Requests and rows meet on a facet: a wanted genre, or ``*`` for requests without genres. A facet
-    may hold a large part of the catalog, so its rows are spread over ``salts`` join keys and the
-    (few) requests repeated per salt. A row that has several wanted genres counts under the first.
-    The remaining bounds are tested inside the join, and each task keeps at most MAX_LIMIT rows per
-    request before the final shuffle."""
-    wanted = F.array_distinct(F.transform("genres", F.lower))
+    Requests and rows meet on facets instead of pairwise. A facet may hold a large part of the
+    catalog, so its rows are spread over ``salts`` join keys and the requests repeated per salt. A row
+    with several wanted genres counts under the first. The remaining bounds are tested inside the
+    join on narrow rows, each task keeps at most MAX_LIMIT of them per request before the final
+    shuffle, and titles and themes are added to the winners only. Only a request without genres, enriched values or a closed range of years is tested on every row."""
     requests = (
-        specs.withColumn("wanted", wanted)
-        .withColumn("facet", F.explode(F.when(F.size("wanted") > 0, F.transform("wanted", lambda g: F.concat(F.lit("g:"), g)))
-                                       .otherwise(F.array(F.lit("*")))))
+        specs.withColumn("wanted", F.array_distinct(F.transform("genres", F.lower)))
+        .withColumn("facet", F.explode(_spec_facets()))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     items = (
         with_enrichment(
             prepare_catalog(catalog).filter(is_released())
-            .select("movie_id", "title", "release_year", "filter_year", "budget", "revenue", "runtime", "genre_keys"),
+            .select("movie_id", "filter_year", "budget", "revenue", "runtime", "genre_keys"),
             enriched,
         )
-        .withColumn("facet", F.explode(F.concat(F.array(F.lit("*")), F.transform("genre_keys", lambda g: F.concat(F.lit("g:"), g)))))
+        .drop("themes")
+        .withColumn("facet", F.explode(_item_facets()))
         .withColumn("salt", F.pmod(F.xxhash64("movie_id"), F.lit(salts)).cast("int"))
     )
     first_common = F.get(F.array_intersect(F.col("s.wanted"), F.col("i.genre_keys")), F.lit(0))
-    once = (F.size("s.wanted") == 0) | (F.col("i.facet") == F.concat(F.lit("g:"), first_common))
+    once = (F.size("s.wanted") == 0) | (F.col("i.facet") == _facet("genre", first_common))
     sort_value = F.lit(None).cast("long")
     for name, column in SORT_COLUMNS.items():
         sort_value = F.when(F.col("s.sort_by") == name, F.col(f"i.{column}").cast("long")).otherwise(sort_value)
     matched = (
         items.alias("i")
         .join(requests.alias("s"),
-              (F.col("i.facet") == F.col("s.facet")) & (F.col("i.salt") == F.col("s.salt")) & once & _spec_accepts())
-        .select("s.spec_id", "s.limit", sort_value.alias("_sort"), *[f"i.{c}" for c in RESULT_COLUMNS])
+              (F.col("i.facet") == F.col("s.facet")) & (F.col("i.salt") == F.col("s.salt")) & _spec_accepts() & once)
+        .select("s.spec_id", "s.limit", sort_value.alias("_sort"), "i.movie_id")
     )
     best = Window.partitionBy("spec_id").orderBy(F.desc_nulls_last("_sort"), "movie_id")
-    return (
+    winners = (
         matched.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= MAX_LIMIT)
         .filter(F.col("rank") <= F.col("limit"))
-        .select("spec_id", "rank", *RESULT_COLUMNS)
+        .select("spec_id", "rank", "movie_id")
     )
+    facts = prepare_catalog(catalog).select("movie_id", "title", "release_year", "budget", "revenue", "runtime")
+    return with_enrichment(winners.join(facts, "movie_id"), enriched).select("spec_id", "rank", *RESULT_COLUMNS)

@@ -45,7 +45,8 @@ def enrichment_prompts(pool: DataFrame) -> DataFrame:
 
 
 def prediction_prompts(prepared: DataFrame, enriched: DataFrame) -> DataFrame:
-    """``user_id, movie_id, prompt`` for the requests that can be predicted (see ``prediction_requests``)."""
+    """``user_id, movie_id, prompt`` for the requests that can be predicted (see
+    ``prediction_requests``, with ``LINE_FACTS``)."""
     facts = enriched.select("movie_id", F.concat_ws(
         "; ",
         F.concat(F.lit("sentiment "), "overview_sentiment"), F.concat(F.lit("budget "), "budget_tier"),
@@ -56,7 +57,7 @@ def prediction_prompts(prepared: DataFrame, enriched: DataFrame) -> DataFrame:
     body = _lines(
         ("Title", F.col("target_title")),
         ("Overview", F.col("target_overview")),
-        ("Genres", F.array_join("target_genres", ", ")),
+        ("Genres", F.array_join("target_genre_names", ", ")),
         ("Enriched", F.coalesce("_facts", F.lit("outside the enriched sample, only overview and genres are known"))),
     )
     head = F.concat(F.lit("Newest ratings of user "), F.col("user_id").cast("string"), F.lit(":"))

@@ -26,13 +26,15 @@ def scan_enriched(spark: SparkSession, path: str, columns: Sequence[str] = ENRIC
 
 def prepare_catalog(catalog: DataFrame) -> DataFrame:
     """Add the parsed columns the operators filter and group on. Store the result once: filters on
-    these columns then reach the parquet scan, which functions of text never do."""
+    these columns then reach the parquet scan, which functions of text never do, and whether there is an
+    overview is known without reading the texts."""
     derived = {
         "genre_names": lambda: parse_names(F.col("genres")),
         "genre_keys": lambda: name_keys(F.col("genre_names")),
         "primary_genre": lambda: primary_name(F.col("genre_names")),
         "release_year": lambda: release_year(F.col("release_date")),
         "filter_year": lambda: filter_year(F.col("release_date")),
+        "has_overview": lambda: F.col("overview").isNotNull() & (F.col("overview") != ""),
     }
     for name, make in derived.items():
         if name not in catalog.columns:

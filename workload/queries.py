@@ -73,7 +73,7 @@ def typed_filters(t: Tables) -> DataFrame:
 
 def pair_requests(t: Tables) -> DataFrame:
     """Every rated pair, and one further pair per customer whose movie is often unknown."""
-    return t.ratings.select("user_id", "movie_id").distinct().union(customer_requests(t)).distinct()
+    return t.ratings.select("user_id", "movie_id").union(customer_requests(t)).distinct()
 
 
 def customer_requests(t: Tables) -> DataFrame:
@@ -144,12 +144,12 @@ def render_prompts(t: Tables) -> DataFrame:
 
 
 def history_lines(t: Tables) -> DataFrame:
-    found = history.pair_histories(pair_requests(t), t.ratings, t.catalog)
+    found = history.pair_histories(pair_requests(t), t.ratings, t.catalog, facts=history.LINE_FACTS)
     return found.select("user_id", "movie_id", history.history_text(F.col("history")).alias("lines"))
 
 
 def render_prediction_prompts(t: Tables) -> DataFrame:
-    prepared = predict.prediction_requests(customer_requests(t), t.ratings, t.catalog)
+    prepared = predict.prediction_requests(customer_requests(t), t.ratings, t.catalog, facts=history.LINE_FACTS)
     return prompts.prediction_prompts(prepared, t.enriched)
 
 

@@ -91,8 +91,9 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     fresh = path is None
     if fresh:
         path = new_run_dir(spark, "tables")
-        prepare_catalog(map_catalog(spark, sf_dir)).write.parquet(f"{path}/catalog")
-        map_ratings(spark, sf_dir).write.parquet(f"{path}/ratings")
+        files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        prepare_catalog(map_catalog(spark, sf_dir).repartition(files, "movie_id")).write.parquet(f"{path}/catalog")
+        map_ratings(spark, sf_dir).repartition(files).write.parquet(f"{path}/ratings")
     catalog, ratings = spark.read.parquet(f"{path}/catalog"), spark.read.parquet(f"{path}/ratings")
     if fresh:
         labelled = eligible_pool(catalog).join(label_sentiments(spark, sf_dir).select("movie_id"), "movie_id", "left_semi")
