@@ -31,27 +31,42 @@ def top_and_bottom(ratings: DataFrame, catalog: DataFrame, top: int = TOP_RATED,
     )
 
 
-def _favorites(top: DataFrame, items: str, name: str) -> DataFrame:
-    """The most frequent list items among a user's top titles; ties by mean rating, then by name."""
+def _traits(top: DataFrame) -> DataFrame:
+    """Favourite genres and themes and the typical sentiment of each user's top titles.
+
+    Genres and themes go by frequency, then mean rating, then name. A sentiment is typical when more
+    than half of the enriched top titles have it, otherwise the user is ``mixed``. A user has at most
+    TOP_RATED rows here, so they are brought together once and everything after stays in place."""
+    def tagged(kind: str, items: Column) -> Column:
+        return F.transform(items, lambda item: F.struct(F.lit(kind).alias("kind"), item.alias("item")))
+
+    nothing = F.array().cast("array<string>")
+    traits = F.concat(
+        tagged("genre", F.array_distinct("genre_names")),
+        tagged("theme", F.array_distinct(F.coalesce("themes", nothing))),
+        tagged("tone", F.array_compact(F.array("overview_sentiment"))),
+    )
     counts = (
-        top.select("user_id", "rating", F.explode(F.array_distinct(items)).alias("item"))
-        .groupBy("user_id", "item").agg(F.count(F.lit(1)).alias("n"), F.avg("rating").alias("mean"))
+        top.select("user_id", "rating", traits.alias("traits")).repartition("user_id")
+        .select("user_id", "rating", F.inline("traits"))
+        .groupBy("user_id", "kind", "item").agg(F.count(F.lit(1)).alias("n"), F.avg("rating").alias("mean"))
     )
-    ranked = top_per_key(counts, ["user_id"], [F.desc("n"), F.desc("mean"), F.asc("item")], MAX_FAVORITES)
-    return ranked.groupBy("user_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"]).alias(name))
+    ranked = top_per_key(counts, ["user_id", "kind"], [F.desc("n"), F.desc("mean"), F.asc("item")], MAX_FAVORITES)
 
+    def favorites(kind: str) -> Column:
+        listed = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", "item"))))
+        return F.transform(listed, lambda x: x["item"])
 
-def _typical_sentiment(top: DataFrame) -> DataFrame:
-    """The sentiment of more than half of a user's enriched top titles, otherwise ``mixed``."""
-    counts = (
-        top.filter(F.col("overview_sentiment").isNotNull())
-        .groupBy("user_id", "overview_sentiment").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("user_id").agg(F.sum("n").alias("total"), F.max(F.struct("n", "overview_sentiment")).alias("most"))
+    tone = F.col("kind") == "tone"
+    most = F.max(F.when(tone & (F.col("rank") == 1), F.struct("n", "item")))
+    return (
+        ranked.groupBy("user_id").agg(
+            favorites("genre").alias("favorite_genres"), favorites("theme").alias("favorite_themes"),
+            most.alias("most"), F.sum(F.when(tone, F.col("n"))).alias("n_tone"))
+        .select("user_id", "favorite_genres", "favorite_themes",
+                F.when(F.col("most.n") * 2 > F.col("n_tone"), F.col("most.item"))
+                .when(F.col("n_tone").isNotNull(), F.lit("mixed")).alias("typical_sentiment"))
     )
-    return counts.select(
-        "user_id",
-        F.when(F.col("most.n") * 2 > F.col("total"), F.col("most.overview_sentiment")).otherwise(F.lit("mixed")).alias("typical_sentiment"))
 
 
 def _listed(items: Column, none: str) -> Column:
@@ -69,9 +84,7 @@ def user_profiles(ratings: DataFrame, catalog: DataFrame, enriched: DataFrame) -
     nothing = F.array().cast("array<string>")
     return (
         user_stats(known)
-        .join(_favorites(top, "genre_names", "favorite_genres"), "user_id", "left")
-        .join(_favorites(top, "themes", "favorite_themes"), "user_id", "left")
-        .join(_typical_sentiment(top), "user_id", "left")
+        .join(_traits(top), "user_id", "left")
         .withColumn("favorite_genres", F.coalesce("favorite_genres", nothing))
         .withColumn("favorite_themes", F.coalesce("favorite_themes", nothing))
         .withColumn("summary", F.format_string(

@@ -79,17 +79,20 @@ def _read(doc: Column, field: Field) -> tuple[Column, Column]:
 
 
 def read_fields(rows: DataFrame, text: Column, fields: Sequence[Field], keep: Sequence[str] = ()) -> DataFrame:
-    """Read ``fields`` from JSON text into typed columns, with the verdict beside them."""
-    parsed = rows.select(*keep, F.try_parse_json(text).alias("_doc"))
+    """Read ``fields`` from JSON text into typed columns, with the verdict beside them. The values are
+    taken out by ``inline``, so that filters on them are not rewritten into repeated parsing."""
     doc = F.col("_doc")
-    is_object = F.coalesce(F.startswith(F.schema_of_variant(doc), F.lit("OBJECT")), F.lit(False))
-    typed, reasons = {}, [F.when(~is_object, F.lit("not a JSON object"))]
+    values, reasons = [], [F.when(~F.col("_object"), F.lit("not a JSON object"))]
     for field in fields:
         raw = F.try_variant_get(doc, f"$.{field.name}", "variant")
         value, type_ok = _read(doc, field)
-        typed[field.name] = value.cast(_TYPES[field.kind])
         refused = raw.isNotNull() & F.when(F.is_variant_null(raw), F.lit(field.required or not field.nullable)).otherwise(~type_ok)
-        reasons.append(
-            F.when(is_object, F.when(refused, F.lit(f"{field.name}: wrong type")).otherwise(_value_reason(field, F.col(field.name))))
-        )
-    return _with_verdict(parsed.withColumns(typed), reasons).drop("_doc")
+        values += [value.cast(_TYPES[field.kind]).alias(field.name), F.coalesce(refused, F.lit(False)).alias(f"_bad_{field.name}")]
+        reasons.append(F.when(F.col("_object"), F.when(F.col(f"_bad_{field.name}"), F.lit(f"{field.name}: wrong type"))
+                              .otherwise(_value_reason(field, F.col(field.name)))))
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(doc), F.lit("OBJECT")), F.lit(False)).alias("_object")
+    typed = (
+        rows.select(*keep, F.try_parse_json(text).alias("_doc"))
+        .select(*keep, F.inline(F.array(F.struct(is_object, *values))))
+    )
+    return _with_verdict(typed, reasons).drop("_object", *[f"_bad_{f.name}" for f in fields])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from playbill.functions.numbers import abs_error, token_cost
 from playbill.operators.predict import predict_ratings
@@ -60,15 +60,15 @@ def dry_run_table(enriched: DataFrame) -> DataFrame:
 
 def cost_report(enriched: DataFrame, prices: dict[str, tuple[float, float]] = PRICES) -> DataFrame:
     """Rows, tokens, total cost and cost per row for each model; cost is null without a price."""
-    price_rows = [(model, *price) for model, price in prices.items()]
-    table = enriched.sparkSession.createDataFrame(price_rows, "model string, input_price double, output_price double")
+    def price(which: int) -> Column:
+        pairs = [part for model, both in prices.items() for part in (F.lit(model), F.lit(both[which]))]
+        return F.try_element_at(F.create_map(*pairs), F.col("model"))
+
     return (
         enriched.groupBy("model").agg(
             F.count(F.lit(1)).alias("n_movies"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
-        .join(table, "model", "left")
-        .withColumn("cost", token_cost(F.col("input_tokens"), F.col("output_tokens"), F.col("input_price"), F.col("output_price")))
+        .withColumn("cost", token_cost(F.col("input_tokens"), F.col("output_tokens"), price(0), price(1)))
         .withColumn("cost_per_movie", F.col("cost") / F.col("n_movies"))
-        .drop("input_price", "output_price")
     )
 
 

@@ -112,11 +112,10 @@ def damaged_enrichment(t: Tables) -> DataFrame:
     )
 
 
-def title_scorer(batch: pd.Series, attempt: int) -> pd.DataFrame:
-    """A small deterministic scorer that fails in known ways, by the length of the title."""
-    sizes = batch.str.extract(r"^Title: (.*)", expand=False).str.len()
-
-    def answer(size: int) -> str:
+def title_scorer() -> inference.Scorer:
+    """A small deterministic scorer that fails in known ways, by the length of the title. It is made
+    here, not imported, so that workers need no module of this repo."""
+    def answer(size: int, attempt: int) -> str:
         if size % 3 == 0 and attempt == 0:
             return "not JSON"
         score = 11 if size % 6 == 0 and attempt <= 1 or size % 12 == 0 else 1 + size % 10
@@ -125,8 +124,12 @@ def title_scorer(batch: pd.Series, attempt: int) -> pd.DataFrame:
             f'"production_effectiveness_score": {score}.0, "themes": ["a", "b", "c{size}"]}}\n```'
         )
 
-    content = sizes.map(lambda n: [{"text": None, "reasoning": "thinking"}, {"text": answer(int(n)), "reasoning": None}])
-    return pd.DataFrame({"content": content, "input_tokens": sizes, "output_tokens": attempt + 1})
+    def score(batch: pd.Series, attempt: int) -> pd.DataFrame:
+        sizes = batch.str.extract(r"^Title: (.*)", expand=False).str.len()
+        content = sizes.map(lambda n: [{"text": None, "reasoning": "thinking"}, {"text": answer(int(n), attempt), "reasoning": None}])
+        return pd.DataFrame({"content": content, "input_tokens": sizes, "output_tokens": attempt + 1})
+
+    return score
 
 
 # Queries.
@@ -317,7 +320,7 @@ def enrich_incremental(t: Tables) -> DataFrame:
 
 def batch_inference(t: Tables) -> DataFrame:
     asked = prompts.enrichment_prompts(enrichment.rated_pool(t.catalog, t.ratings))
-    return themes_text(inference.run_inference(asked, title_scorer, ENRICHED_FIELDS, "title-length")).withColumn(
+    return themes_text(inference.run_inference(asked, title_scorer(), ENRICHED_FIELDS, "title-length")).withColumn(
         "attempts", F.col("attempts").cast("long"))
 
 
