@@ -17,12 +17,10 @@ def parse_names(raw: Column) -> Column:
         lambda name: name.isNotNull(),
     )
     parts = F.filter(F.transform(F.split(raw, "[|]"), strip), lambda part: part != "")
-    return (
-        F.when(raw.isNull() | (strip(raw) == ""), F.array().cast("array<string>"))
-        .when(F.size(from_json) > 0, from_json)
-        .when(F.size(parts) > 0, parts)
-        .otherwise(F.array(strip(raw)))
-    )
+    by_pipe = F.when(F.size(parts) > 0, parts).otherwise(F.array(strip(raw)))
+    # The lambda names the parsed list, so that the JSON is parsed once.
+    chosen = F.get(F.transform(F.array(from_json), lambda found: F.when(F.size(found) > 0, found).otherwise(by_pipe)), F.lit(0))
+    return F.when(raw.isNull() | (strip(raw) == ""), F.array().cast("array<string>")).otherwise(chosen)
 
 
 def name_keys(names: Column) -> Column:

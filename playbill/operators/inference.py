@@ -64,10 +64,13 @@ def run_inference(
     Each round's answers are written to ``run_dir`` before anything reads them: a later action or a
     lost executor then reads the table instead of paying the scorer again. With an earlier run's
     ``run_dir`` only rows without a written answer are asked. Turn speculation off for these jobs.
+    ``partitions`` is the number of calls in flight; by default one per core, as small prompts would
+    otherwise be packed into a few tasks.
 
     Result: ``key``, the fields, ``status`` (ok, invalid, error), ``attempts``, ``reject_reason``,
     tokens summed over all attempts, and ``model``."""
     spark = prompts.sparkSession
+    partitions = partitions or spark.sparkContext.defaultParallelism
     run_dir = run_dir or new_run_dir(spark, "inference")
     key_type = dict(prompts.dtypes)[key]
     asked = prompts.select(F.col(key).alias("key"), "prompt")
@@ -76,9 +79,7 @@ def run_inference(
         path = f"{run_dir}/round-{attempt}"
         earlier = _written(spark, path)
         todo = pending if earlier is None else pending.join(earlier.select("key"), "key", "left_anti")
-        if partitions:
-            todo = todo.repartition(partitions, "key")
-        todo.mapInPandas(_asker(scorer, attempt), f"key {key_type}, {_ANSWER}").write.mode("append").parquet(path)
+        todo.repartition(partitions, "key").mapInPandas(_asker(scorer, attempt), f"key {key_type}, {_ANSWER}").write.mode("append").parquet(path)
         answers = spark.read.parquet(path)
         refused = answers.filter("denied").select("error").head(1)
         if refused:

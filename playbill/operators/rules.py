@@ -55,6 +55,18 @@ def themes(pool: DataFrame, norms: DataFrame | None = None, k: int = THEMES) ->
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("themes"))
 
 
+def sentiments_from_lexicon(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Tone of each overview: the sign of the summed ``weight`` of its words in ``lexicon`` (word,
+    weight); neutral when they cancel out or none occurs. Words are counted before they are joined."""
+    counts = (
+        texts.select("movie_id", F.explode(words(F.col("overview"))).alias("word"))
+        .groupBy("movie_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    )
+    tones = counts.join(lexicon.select("word", "weight"), "word").groupBy("movie_id").agg(F.sum(F.col("n") * F.col("weight")).alias("tone"))
+    named = F.when(F.col("tone") > 0, F.lit("positive")).when(F.col("tone") < 0, F.lit("negative")).otherwise(F.lit("neutral"))
+    return texts.select("movie_id").join(tones, "movie_id", "left").select("movie_id", named.alias("overview_sentiment"))
+
+
 def enrich_by_rules(
     pool: DataFrame, stats: DataFrame, sentiments: DataFrame, norms: DataFrame | None = None,
     cuts: tuple[float, float] = TIER_CUTS, k: int = THEMES,

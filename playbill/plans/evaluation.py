@@ -8,6 +8,7 @@ from playbill.functions.numbers import abs_error, token_cost
 from playbill.operators.predict import predict_ratings
 from playbill.operators.ranking import seeded_hash, top_per_key
 from playbill.operators.ratings import active_users
+from playbill.session import written
 
 CATEGORICAL = ("overview_sentiment", "budget_tier", "revenue_tier", "production_effectiveness_score")
 COMPARED = (*CATEGORICAL, "themes")
@@ -100,8 +101,8 @@ def score_predictions(pairs: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def evaluate_predictions(ratings: DataFrame, catalog: DataFrame, enriched: DataFrame, n: int = 5, seed: int = 7) -> DataFrame:
-    """The sampled pairs are few, so histories are built for their users only."""
-    pairs = eval_pairs(eval_candidates(ratings, catalog, enriched), n, seed)
+    """The ``n`` sampled pairs are written once, and histories are built for their users only."""
+    pairs = written(eval_pairs(eval_candidates(ratings, catalog, enriched), n, seed), "pairs")
     return score_predictions(pairs, predict_ratings(pairs.select("user_id", "movie_id"), ratings, catalog, users=pairs))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
 
@@ -34,3 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """Write ``rows`` to a new folder of the shared directory and read them back: several uses then
+    cost one computation, and a lost executor repeats none of it."""
+    path = new_run_dir(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from frames import catalog, enriched, movie, ratings, rich
 from playbill.contracts import ENRICHED_FIELDS, Field
 from playbill.operators.inference import run_inference
-from playbill.operators.rules import enrich_by_rules, themes
+from playbill.operators.rules import enrich_by_rules, sentiments_from_lexicon, themes
 from playbill.plans import enrichment, evaluation, prompts
 from playbill.sources.sinks import append_enriched
 from playbill.sources.tables import duplicate_keys, prepare_catalog, scan_enriched
@@ -193,3 +193,10 @@ def test_evaluation_pairs(spark):
     assert first == {1: 1, 2: 1, 3: 1, 25: 3, 26: 3, 27: 3}
     scored = evaluation.evaluate_predictions(rows, movies, enriched(spark, [rich(m) for m in (1, 2, 3, 25, 26, 27)])).collect()
     assert len(scored) == 5 and all(r.delta == abs(r.predicted_rating - r.actual) for r in scored)
+
+
+def test_lexicon(spark):
+    texts = spark.createDataFrame([(1, "Good good BAD"), (2, "bad, day"), (3, "plain"), (4, None), (5, "good bad")], "movie_id bigint, overview string")
+    lexicon = spark.createDataFrame([("good", 1.0), ("bad", -1.0)], "word string, weight double")
+    got = {r.movie_id: r.overview_sentiment for r in sentiments_from_lexicon(texts, lexicon).collect()}
+    assert got == {1: "positive", 2: "negative", 3: "neutral", 4: "neutral", 5: "neutral"}

@@ -119,3 +119,47 @@ def test_profile_prompt(spark, world):
 def test_mean_of_two_decimals(spark):
     rows = ratings(spark, [(1, m, 2.5 if m > 3 else 2, m) for m in range(1, 5)])
     assert user_stats(rows).first().mean_rating == round(8.5 / 4, 2)
+
+
+def test_model_predictions_and_profiles(spark, world):
+    import json
+
+    import pandas as pd
+
+    from playbill.plans.models import predict_with_scorer, profiles_with_scorer
+
+    def scorer(batch, attempt):
+        def reply(prompt):
+            n = prompt.count("/5.0 ")
+            if "Movie to rate" in prompt:
+                return json.dumps({"predicted_rating": n / 2, "rationale": f"{n} lines"})
+            return json.dumps({"favorite_genres": ["Drama"], "favorite_themes": [], "typical_sentiment": "mixed", "summary": f"{n} lines"})
+
+        return pd.DataFrame({"content": [[{"text": reply(p), "reasoning": None}] for p in batch], "input_tokens": 1, "output_tokens": 1})
+
+    rows, movies = world
+    asked = spark.createDataFrame([(2, 14), (2, 14), (1, 13), (2, 1), (1, 99)], "user_id bigint, movie_id bigint")
+    got = sorted(tuple(r) for r in predict_with_scorer(asked, rows, movies, enriched(spark, []), scorer, "m", retries=0).collect() if r.status in ("ok", "invalid"))
+    assert got == [(1, 13, "ok", 5.0, "10 lines", 10), (2, 14, "ok", 1.5, "3 lines", 3), (2, 14, "ok", 1.5, "3 lines", 3)]
+    statuses = {r.status for r in predict_with_scorer(asked, rows, movies, enriched(spark, []), scorer, "m").collect()}
+    assert statuses == {"ok", "insufficient_history", "target_not_found"}
+    made = {r.user_id: (r.n_ratings, r.status, r.summary) for r in profiles_with_scorer(rows, movies, enriched(spark, []), scorer, "m").collect()}
+    assert made == {1: (12, "ok", "8 lines"), 2: (3, "ok", "3 lines"), 3: (2, "ok", "2 lines")}
+
+
+def test_desk(spark, world):
+    import json
+
+    from playbill.plans.desk import Desk, as_json
+
+    rows, movies = world
+    desk = Desk(movies, rows, enriched(spark, [rich(1), rich(2)]))
+    assert [r.movie_id for r in desk.query_movies('{"genres": ["drama"], "limit": 2}').collect()] == [1, 3]
+    assert desk.get_enriched_movie(999999999).first().error
+    assert len(desk.compare_movies("[1, 3]").first().movies) == 2 and len(desk.compare_movies("[1, 3, 2]").first().movies) == 3
+    assert desk.compare_movies("[1]").first().error and "999999999" in desk.compare_movies("[1, 999999999]").first().note
+    assert desk.predict_user_rating(999999999, 1).first().status == "insufficient_history"
+    assert desk.predict_user_rating(1, 13).first().predicted_rating == 4.0
+    assert desk.summarize_user_preferences(1).first().n_ratings == 12 and desk.summarize_user_preferences(5).first().error
+    answer = json.loads(as_json(desk.get_enriched_movie(1)).first().answer)
+    assert answer["error"] is None and answer["themes"] == ["a", "b", "c"]

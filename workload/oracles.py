@@ -445,6 +445,21 @@ def _oracles() -> dict[str, str]:
             substr(coalesce(CASE WHEN status = 'ok' THEN printf('mean %.2f over %d ratings, %d of them sharing a genre', round_even(user_mean, 2), n, n_genre) END, status), 1, 100) AS rationale
             FROM sampled_pairs JOIN predictions USING (user_id, movie_id)""",
     }
+    bodies["model_predictions"] = """SELECT p.user_id, p.movie_id,
+            CASE WHEN t.movie_id IS NULL THEN 'target_not_found' WHEN coalesce(n, 0) < 3 THEN 'insufficient_history' ELSE 'ok' END AS status,
+            CASE WHEN t.movie_id IS NOT NULL AND n >= 3 THEN n / 2 END AS predicted_rating,
+            CASE WHEN t.movie_id IS NOT NULL AND n >= 3 THEN concat(n, ' lines') END AS rationale, coalesce(n, 0) AS based_on_n_user_ratings
+        FROM customer_pairs p LEFT JOIN catalog t ON t.movie_id = p.movie_id
+            LEFT JOIN (SELECT user_id, movie_id, count(*) AS n FROM customer_history GROUP BY 1, 2) h ON h.user_id = p.user_id AND h.movie_id = p.movie_id"""
+    bodies["model_profiles"] = """SELECT user_id, n_ratings, mean_rating, 'ok' AS status, 'g' AS favorite_genres, 'mixed' AS typical_sentiment,
+            concat(n, ' lines') AS summary FROM user_means JOIN (SELECT user_id, count(*) AS n FROM ranked_ratings GROUP BY 1) USING (user_id)"""
+    bodies["lexicon_sentiment"] = """SELECT movie_id, CASE WHEN tone > 0 THEN 'positive' WHEN tone < 0 THEN 'negative' ELSE 'neutral' END AS overview_sentiment
+        FROM eligible LEFT JOIN (SELECT movie_id, sum(weight) AS tone FROM (
+                SELECT movie_id, unnest(string_split_regex(lower(overview), '[^\\p{L}]+')) AS word FROM eligible)
+            JOIN (SELECT word, sum(tone) AS weight FROM (
+                SELECT CASE WHEN toxic = 1 THEN -1 WHEN quality = 1 THEN 1 ELSE 0 END AS tone,
+                    unnest(list_distinct(string_split_regex(lower(text), '[^\\p{L}]+'))) AS word FROM documents JOIN labels USING (doc_id)) GROUP BY 1)
+            USING (word) GROUP BY 1) USING (movie_id)"""
     full = """SELECT movie_id, title, overview_sentiment, budget_tier, revenue_tier, production_effectiveness_score, array_to_string(themes, ',') AS themes,
         input_tokens, output_tokens, model FROM all_rules WHERE len(themes) BETWEEN 3 AND 5"""
     bodies["cache_union_new"] = bodies["enrich_incremental"] = full

@@ -14,7 +14,8 @@ from playbill.functions.numbers import abs_error, roi
 from playbill.operators import (
     filters, history, inference, lookup, predict, profile_report as report, profiles, ratings as rated, sampling, search, validate,
 )
-from playbill.plans import enrichment, evaluation, prompts
+from playbill.operators.rules import sentiments_from_lexicon, words
+from playbill.plans import enrichment, evaluation, models, prompts
 from playbill.session import new_run_dir
 from playbill.sources.sinks import append_enriched, format_records
 from playbill.sources.specs import parse_filter_specs
@@ -132,6 +133,31 @@ def title_scorer() -> inference.Scorer:
     return score
 
 
+def line_scorer() -> inference.Scorer:
+    """Rates by the number of history lines and lists their number; also made here, not imported."""
+    def score(batch: pd.Series, attempt: int) -> pd.DataFrame:
+        lines = batch.str.count("  - ")
+        rating = batch.str.contains("Movie to rate", regex=False)
+        texts = [
+            f'{{"predicted_rating": {n / 2}, "rationale": "{n} lines"}}' if rate else
+            f'{{"favorite_genres": ["g"], "favorite_themes": [], "typical_sentiment": "mixed", "summary": "{n} lines"}}'
+            for n, rate in zip(lines, rating)
+        ]
+        return pd.DataFrame({"content": [[{"text": t, "reasoning": None}] for t in texts], "input_tokens": 1, "output_tokens": 1})
+
+    return score
+
+
+def label_lexicon(t: Tables) -> DataFrame:
+    """Weights learned from the labels: documents with a word that are positive, less those that are negative."""
+    tone = F.when(F.col("toxic") == 1, -1).when(F.col("quality") == 1, 1).otherwise(0)
+    labelled = t.read("documents").join(t.read("labels").select("doc_id", tone.cast("long").alias("tone")), "doc_id")
+    return (
+        labelled.select("tone", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+        .groupBy("word").agg(F.sum("tone").alias("weight"))
+    )
+
+
 # Queries.
 
 def scan_catalog_query(t: Tables) -> DataFrame:
@@ -324,6 +350,16 @@ def batch_inference(t: Tables) -> DataFrame:
         "attempts", F.col("attempts").cast("long"))
 
 
+def model_predictions(t: Tables) -> DataFrame:
+    made = models.predict_with_scorer(customer_requests(t), t.ratings, t.catalog, t.enriched, line_scorer(), "lines")
+    return made.withColumn("based_on_n_user_ratings", F.col("based_on_n_user_ratings").cast("long"))
+
+
+def model_profiles(t: Tables) -> DataFrame:
+    made = models.profiles_with_scorer(t.ratings, t.catalog, t.enriched, line_scorer(), "lines")
+    return made.select("user_id", "n_ratings", "mean_rating", "status", F.array_join("favorite_genres", ",").alias("favorite_genres"), "typical_sentiment", "summary")
+
+
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     # scans, sources, sinks
     "scan_catalog": scan_catalog_query,
@@ -414,6 +450,9 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "enrich_incremental": enrich_incremental,
     "batch_inference": batch_inference,
     "prediction_eval": prediction_eval,
+    "lexicon_sentiment": lambda t: sentiments_from_lexicon(enrichment.eligible_pool(t.catalog), label_lexicon(t)),
+    "model_predictions": model_predictions,
+    "model_profiles": model_profiles,
 }
 
 
