@@ -23,7 +23,7 @@ def newest_per_user(ratings: DataFrame, catalog: DataFrame, k: int = HISTORY_LEN
     if users is not None:
         rows = rows.join(users.select("user_id").distinct(), "user_id", "left_semi")
     newest = [F.desc("ts"), F.asc("movie_id"), F.asc("rating")]
-    capped = top_per_key(rows, ["user_id", "movie_id"], newest, k, "_per_movie").drop("_per_movie")
+    capped = top_per_key(rows, ["user_id", "movie_id"], [F.desc("ts"), F.asc("rating")], k, "_per_movie").drop("_per_movie")
     known = capped.join(catalog.select("movie_id"), "movie_id", "left_semi")
     return top_per_key(known, ["user_id"], newest, 2 * k, "recency")
 

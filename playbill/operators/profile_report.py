@@ -20,14 +20,14 @@ def row_counts(catalog: DataFrame, ratings: DataFrame) -> DataFrame:
             F.count_distinct("movie_id").alias("n_rated_movies"),
         )
         .withColumn("n_movies", catalog.agg(F.count(F.lit(1))).scalar())
-        .withColumn("rated_percent", F.round(F.lit(100.0) * F.col("n_rated_movies") / F.col("n_movies"), 1))
+        .withColumn("rated_percent", F.round(F.try_divide(F.lit(100.0) * F.col("n_rated_movies"), F.col("n_movies")), 1))
     )
 
 
 def eligible_share(catalog: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     eligible = F.count_if(is_eligible())
-    return prepare_catalog(catalog).agg(n.alias("n_movies"), eligible.alias("n_eligible"), F.round(eligible / n, 6).alias("share"))
+    return prepare_catalog(catalog).agg(n.alias("n_movies"), eligible.alias("n_eligible"), F.round(F.try_divide(eligible, n), 6).alias("share"))
 
 
 def missing_rates(catalog: DataFrame) -> DataFrame:

@@ -19,16 +19,26 @@ def catalogued(ratings: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def top_and_bottom(ratings: DataFrame, catalog: DataFrame, top: int = TOP_RATED, bottom: int = BOTTOM_RATED) -> DataFrame:
     """Each user's ``top`` best and ``bottom`` worst ratings, as ``side`` and ``rank`` (best first on
-    both sides). The bottom appears only when it cannot overlap the top."""
+    both sides). The bottom appears only when it cannot overlap the top: when the user has
+    ``top + bottom`` ratings, which the ranking from the top shows without counting them all."""
     rows = catalogued(ratings, catalog)
-    best = top_per_key(rows, ["user_id"], [F.desc("rating"), F.asc("movie_id"), F.desc("ts")], top)
-    worst = top_per_key(rows, ["user_id"], [F.asc("rating"), F.desc("movie_id"), F.asc("ts")], bottom, "from_end")
-    enough = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= top + bottom).select("user_id")
-    return best.withColumn("side", F.lit("top")).unionByName(
-        worst.join(enough, "user_id", "left_semi")
-        .withColumn("rank", F.lit(bottom + 1) - F.col("from_end")).drop("from_end")
-        .withColumn("side", F.lit("bottom"))
+
+    def ranked(order: list[Column], k: int, name: str) -> DataFrame:
+        first = top_per_key(rows, ["user_id"], order, k)
+        return first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rank", "movie_id", "rating", "ts"))).alias(name))
+
+    def placed(entries: Column, side: str, rank) -> Column:
+        return F.transform(entries, lambda e: F.struct(e["movie_id"].alias("movie_id"), e["rating"].alias("rating"), e["ts"].alias("ts"),
+                                                       rank(e["rank"]).alias("rank"), F.lit(side).alias("side")))
+
+    best = ranked([F.desc("rating"), F.asc("movie_id"), F.desc("ts")], top + bottom, "best")
+    worst = ranked([F.asc("rating"), F.desc("movie_id"), F.asc("ts")], bottom, "worst")
+    shown = F.when(F.size("best") == top + bottom, F.col("worst")).otherwise(F.slice("worst", 1, 0))
+    both = F.concat(
+        placed(F.slice("best", 1, top), "top", lambda r: r),
+        placed(shown, "bottom", lambda r: F.lit(bottom + 1) - r),
     )
+    return best.join(worst, "user_id").select("user_id", F.inline(both))
 
 
 def _traits(top: DataFrame) -> DataFrame:
