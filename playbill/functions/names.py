@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from playbill.contracts import UNKNOWN_GENRE
+from playbill.functions.documents import let, strict_json
 from playbill.functions.text import strip
 
 
 def parse_names(raw: Column) -> Column:
     """Array of names. Null or blank text gives ``[]``. A JSON list gives the ``name`` of its objects
     if there is any; other text (``[]`` included) is split on ``|``; what yields no part stays whole."""
-    listed = F.try_variant_get(F.try_parse_json(raw), "$", "array<variant>")
+    listed = F.try_variant_get(strict_json(raw), "$", "array<variant>")
     from_json = F.filter(
         F.transform(listed, lambda item: F.try_variant_get(item, "$.name", "string")),
         lambda name: name.isNotNull(),
     )
     parts = F.filter(F.transform(F.split(raw, "[|]"), strip), lambda part: part != "")
     by_pipe = F.when(F.size(parts) > 0, parts).otherwise(F.array(strip(raw)))
-    # The lambda names the parsed list, so that the JSON is parsed once.
-    chosen = F.get(F.transform(F.array(from_json), lambda found: F.when(F.size(found) > 0, found).otherwise(by_pipe)), F.lit(0))
+    chosen = let(from_json, lambda found: F.when(F.size(found) > 0, found).otherwise(by_pipe))
     return F.when(raw.isNull() | (strip(raw) == ""), F.array().cast("array<string>")).otherwise(chosen)
 
 

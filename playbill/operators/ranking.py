@@ -26,17 +26,20 @@ def magnitude_cell(value: Column, per_octave: int = 4096) -> Column:
     return F.coalesce(F.when(value < 0, -size - 1).otherwise(size), F.lit(0).cast("long"))
 
 
-def percent_ranks(rows: DataFrame, key: str, group: str, measures: Sequence[str]) -> DataFrame:
-    """``percent_rank`` of each measure within its group, as ``<measure>_rank`` per key.
+def percent_ranks(rows: DataFrame, key: str, group: str, measures: Sequence[str], among: DataFrame | None = None) -> DataFrame:
+    """``percent_rank`` of each measure within its group, as ``<measure>_rank`` per key; the ranks are
+    those among the rows of ``among`` (default: ``rows``), which must contain ``rows``.
 
     A window over a whole group would put the group into one task. Instead equal values are counted
     first, counts are summed below each cell of the value range, and only the values inside one cell
     are ordered among themselves: rank = rows in lower cells + rows of lower values in the cell."""
     pairs = ", ".join(f"'{m}', cast({m} as double)" for m in measures)
-    long = rows.select(key, group, F.expr(f"stack({len(measures)}, {pairs}) as (measure, value)")).filter("value is not null")
+    stacked = F.expr(f"stack({len(measures)}, {pairs}) as (measure, value)")
+    long = rows.select(key, group, stacked).filter("value is not null")
     by_group = ["measure", group]
     values = (
-        long.groupBy(*by_group, "value").agg(F.count(F.lit(1)).alias("n"))
+        (rows if among is None else among).select(group, stacked).filter("value is not null")
+        .groupBy(*by_group, "value").agg(F.count(F.lit(1)).alias("n"))
         .withColumn("cell", magnitude_cell(F.col("value")))
     )
     before = (Window.unboundedPreceding, -1)

@@ -74,9 +74,11 @@ def enrich_by_rules(
     """Enriched rows for a prepared pool. ``stats`` has ``movie_id, avg_rating``, ``sentiments`` has
     ``movie_id, overview_sentiment`` (missing: neutral). Tiers and scores compare a row with its
     primary genre in ``norms`` (default: the pool itself), which must contain the pool."""
-    base = pool if norms is None else norms
-    measured = base.select("movie_id", "primary_genre", "budget", "revenue", roi(F.col("revenue"), F.col("budget")).alias("roi"))
-    ranks = percent_ranks(measured, "movie_id", "primary_genre", ["budget", "revenue", "roi"])
+    def measured(rows: DataFrame) -> DataFrame:
+        return rows.select("movie_id", "primary_genre", "budget", "revenue", roi(F.col("revenue"), F.col("budget")).alias("roi"))
+
+    among = None if norms is None else measured(norms)
+    ranks = percent_ranks(measured(pool), "movie_id", "primary_genre", ["budget", "revenue", "roi"], among)
     n_words = F.size(F.filter(words(F.col("overview")), lambda w: w != ""))
     return (
         pool.select("movie_id", "title", n_words.cast("long").alias("input_tokens"))

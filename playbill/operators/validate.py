@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from playbill.contracts import ENRICHED_FIELDS, FILTER_FIELDS, PREDICTION_FIELDS, PROFILE_FIELDS, Field
+from playbill.functions.documents import strict_json
 
 _TYPES = {"int": "long", "double": "double", "text": "string", "texts": "array<string>"}
 
@@ -92,7 +93,7 @@ def read_fields(rows: DataFrame, text: Column, fields: Sequence[Field], keep: Se
                               .otherwise(_value_reason(field, F.col(field.name)))))
     is_object = F.coalesce(F.startswith(F.schema_of_variant(doc), F.lit("OBJECT")), F.lit(False)).alias("_object")
     typed = (
-        rows.select(*keep, F.try_parse_json(text).alias("_doc"))
+        rows.select(*keep, strict_json(text).alias("_doc"))
         .select(*keep, F.inline(F.array(F.struct(is_object, *values))))
     )
     return _with_verdict(typed, reasons).drop("_object", *[f"_bad_{f.name}" for f in fields])

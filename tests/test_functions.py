@@ -26,6 +26,8 @@ def test_parse_names(spark):
         '[{"name": NaN}]': ['[{"name": NaN}]'],
         '[{"name": "q"|': ['[{"name": "q"'],
         "[{'name': 'x'}]": ["[{'name': 'x'}]"],
+        '[{"name": "x"}] more': ['[{"name": "x"}] more'], '[{"name": "x"}]]': ['[{"name": "x"}]]'], '[{"name": "x"}],[]': ['[{"name": "x"}],[]'],
+        '[{"name": "x"}, {"name": "y"}]|z': ['[{"name": "x"}, {"name": "y"}]', "z"], ' [{"name": "x"}]\n': ["x"],
     }
     assert one(spark, "string", cases, names.parse_names) == list(cases.values())
 
@@ -85,3 +87,36 @@ def test_histogram_bins(spark):
     values = [0.0, 0.5, 4.9, 5.0, 10.0]
     assert one(spark, "double", values, lambda c: numbers.equal_width_bin(c, F.lit(0.0), F.lit(10.0), 10)) == [0, 0, 4, 5, 9]
     assert one(spark, "double", [3.0], lambda c: numbers.equal_width_bin(c, F.lit(3.0), F.lit(3.0), 10)) == [5]
+
+
+def test_parse_names_like_a_json_reader(spark):
+    """Random near-JSON text against Python's own reader."""
+    import json
+    import random
+
+    rng = random.Random(1)
+    values = ['"A"', '"B c"', "null", "5", "1.5", '"x|y"', '"\\u00e9"', '" s "', '""', "-0", "01", "1e5", "+1", '"\t"', "'q'"]
+
+    def item():
+        v, w = rng.choice(values), rng.choice(values)
+        return rng.choice([f'{{"id": {v}, "name": {w}}}', f'{{"name": {v}}}', v, "{}", f"[{v}]", f'{{"name": {v},}}', f"{{name: {v}}}", f'{{"name": {v}, "name": {w}}}'])
+
+    def text():
+        listed = "[" + ", ".join(item() for _ in range(rng.randrange(3))) + "]"
+        return rng.choice([
+            listed, listed, listed + rng.choice([" x", "|b", ",", "]", " ", "\n", "{}", "//c"]), rng.choice([" ", "\n", "x"]) + listed,
+            listed[: rng.randrange(len(listed))], "|".join(rng.choice(["a", " b ", "", "\t", '{"name":"z"}']) for _ in range(rng.randrange(1, 5)))])
+
+    def expected(raw):
+        if not raw.strip():
+            return []
+        try:
+            doc = json.loads(raw)
+        except ValueError:
+            doc = None
+        named = [str(x["name"]) for x in doc if isinstance(x, dict) and x.get("name") is not None] if isinstance(doc, list) else []
+        return named or [p.strip() for p in raw.split("|") if p.strip()] or [raw.strip()]
+
+    texts = sorted({text() for _ in range(1500)})
+    got = one(spark, "string", texts, names.parse_names)
+    assert [(t, g) for t, g in zip(texts, got) if g != expected(t)] == []

@@ -46,6 +46,7 @@ def test_bad_single_filters_raise(spark, text):
 
 
 def test_broken_json_and_lax_numbers(spark):
+    assert [r.valid for r in parse(spark, "{} {}", "{}}", '{"limit": 5},', ' {"limit": 5}\n')] == [False, False, False, True]
     broken, listed, lax, nulls = parse(spark, "{not json", "[1]", '{"limit": "8", "min_score": 8.0}', '{"min_year": null, "sentiment": null}')
     assert broken.reject_reason == listed.reject_reason == "not a JSON object"
     assert (lax.limit, lax.min_score, lax.valid) == (8, 8, True)
