@@ -17,7 +17,7 @@ from playbill.session import new_run_dir
 # with ``text`` or ``reasoning``), ``input_tokens`` and ``output_tokens``. PermissionError ends the run.
 Scorer = Callable[[pd.Series, int], pd.DataFrame]
 
-_ANSWER = "content array<struct<text:string,reasoning:string>>, input_tokens bigint, output_tokens bigint, error string, denied boolean"
+_ANSWER = "prompt string, content array<struct<text:string,reasoning:string>>, input_tokens bigint, output_tokens bigint, error string, denied boolean"
 
 
 def clean_answers(answers: DataFrame, content: str = "content") -> DataFrame:
@@ -37,7 +37,7 @@ def _asker(scorer: Scorer, attempt: int):
                     error = refusal = f"denied: {exc}"
                 except Exception as exc:  # the rows of this batch are reported as failed
                     error = f"{type(exc).__name__}: {exc}"
-            out = batch[["key"]].reset_index(drop=True)
+            out = batch[["key", "prompt"]].reset_index(drop=True)
             if error is None:
                 out = out.assign(content=scored["content"], input_tokens=scored["input_tokens"],
                                  output_tokens=scored["output_tokens"], error=None)
@@ -61,8 +61,9 @@ def run_inference(
 ) -> DataFrame:
     """Ask for every row of ``prompts`` (``key``, ``prompt``), up to ``1 + retries`` times.
 
-    Each round's answers are written to ``run_dir`` before anything reads them: a later action or a
-    lost executor then reads the table instead of paying the scorer again. With an earlier run's
+    Each round's prompts and answers are written to ``run_dir`` before anything reads them: a retry, a
+    later action or a lost executor then reads the table instead of rendering prompts or paying the
+    scorer again. With an earlier run's
     ``run_dir`` only rows without a written answer are asked. Turn speculation off for these jobs.
     ``partitions`` is the number of calls in flight; by default one per core, as small prompts would
     otherwise be packed into a few tasks.
@@ -73,8 +74,7 @@ def run_inference(
     partitions = partitions or spark.sparkContext.defaultParallelism
     run_dir = run_dir or new_run_dir(spark, "inference")
     key_type = dict(prompts.dtypes)[key]
-    asked = prompts.select(F.col(key).alias("key"), "prompt")
-    pending, rounds = asked, []
+    pending, rounds = prompts.select(F.col(key).alias("key"), "prompt"), []
     for attempt in range(retries + 1):
         path = f"{run_dir}/round-{attempt}"
         earlier = _written(spark, path)
@@ -86,13 +86,12 @@ def run_inference(
             raise PermissionError(refused[0]["error"])
         judged = read_fields(
             clean_answers(answers).withColumn("attempt", F.lit(attempt)), F.col("answer"), fields,
-            keep=["key", "attempt", "input_tokens", "output_tokens", "error"],
+            keep=["key", "prompt", "attempt", "input_tokens", "output_tokens", "error"],
         )
-        rounds.append(judged)
-        retry = judged.filter(~F.col("valid") & F.col("error").isNull()).select("key")
-        if attempt == retries or retry.isEmpty():
+        rounds.append(judged.drop("prompt"))
+        pending = judged.filter(~F.col("valid") & F.col("error").isNull()).select("key", "prompt")
+        if attempt == retries or pending.isEmpty():
             break
-        pending = asked.join(retry, "key", "left_semi")
     every = rounds[0]
     for judged in rounds[1:]:
         every = every.unionByName(judged)
