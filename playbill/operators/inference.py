@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -17,7 +18,7 @@ from playbill.session import new_run_dir
 # with ``text`` or ``reasoning``), ``input_tokens`` and ``output_tokens``. PermissionError ends the run.
 Scorer = Callable[[pd.Series, int], pd.DataFrame]
 
-_ANSWER = "prompt string, content array<struct<text:string,reasoning:string>>, input_tokens bigint, output_tokens bigint, error string, denied boolean"
+_ANSWER = "prompt string, content array<struct<text:string,reasoning:string>>, input_tokens bigint, output_tokens bigint, error string, denied boolean, run string"
 
 
 def clean_answers(answers: DataFrame, content: str = "content") -> DataFrame:
@@ -25,7 +26,7 @@ def clean_answers(answers: DataFrame, content: str = "content") -> DataFrame:
     return answers.withColumn("answer", without_fences(answer_text(F.col(content))))
 
 
-def _asker(scorer: Scorer, attempt: int):
+def _asker(scorer: Scorer, attempt: int, run: str):
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         refusal = None
         for batch in batches:
@@ -43,7 +44,7 @@ def _asker(scorer: Scorer, attempt: int):
                                  output_tokens=scored["output_tokens"], error=None)
             else:
                 out = out.assign(content=None, input_tokens=0, output_tokens=0, error=error)
-            yield out.assign(denied=refusal is not None)
+            yield out.assign(denied=refusal is not None, run=run)
 
     return ask
 
@@ -64,7 +65,7 @@ def run_inference(
     Each round's prompts and answers are written to ``run_dir`` before anything reads them: a retry, a
     later action or a lost executor then reads the table instead of rendering prompts or paying the
     scorer again. With an earlier run's
-    ``run_dir`` only rows without a written answer are asked. Turn speculation off for these jobs.
+    ``run_dir`` only rows without a written answer are asked; rows that failed count as unanswered. Turn speculation off for these jobs.
     ``partitions`` is the number of calls in flight; by default one per core, as small prompts would
     otherwise be packed into a few tasks.
 
@@ -72,15 +73,18 @@ def run_inference(
     tokens summed over all attempts, and ``model``."""
     spark = prompts.sparkSession
     partitions = partitions or spark.sparkContext.defaultParallelism
-    run_dir = run_dir or new_run_dir(spark, "inference")
+    run_dir, run = run_dir or new_run_dir(spark, "inference"), uuid.uuid4().hex
     key_type = dict(prompts.dtypes)[key]
     pending, rounds = prompts.select(F.col(key).alias("key"), "prompt"), []
     for attempt in range(retries + 1):
         path = f"{run_dir}/round-{attempt}"
         earlier = _written(spark, path)
-        todo = pending if earlier is None else pending.join(earlier.select("key"), "key", "left_anti")
-        todo.repartition(partitions, "key").mapInPandas(_asker(scorer, attempt), f"key {key_type}, {_ANSWER}").write.mode("append").parquet(path)
-        answers = spark.read.parquet(path)
+        todo = pending if earlier is None else pending.join(earlier.filter("error is null").select("key"), "key", "left_anti")
+        todo.repartition(partitions, "key").mapInPandas(_asker(scorer, attempt, run), f"key {key_type}, {_ANSWER}").write.mode("append").parquet(path)
+        # Failures of an earlier run are asked again; only this run's failures stand.
+        answers = spark.read.parquet(path).filter(F.col("error").isNull() | (F.col("run") == run))
+        if earlier is not None:
+            answers = answers.join(pending.select("key"), "key", "left_semi")
         refused = answers.filter("denied").select("error").head(1)
         if refused:
             raise PermissionError(refused[0]["error"])

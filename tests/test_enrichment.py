@@ -95,6 +95,28 @@ def test_written_answers_are_not_asked_again(spark, tmp_path):
     assert len(list((tmp_path / "calls").iterdir())) == 4  # two actions, one call per row
     assert run_inference(asked, scorer, EXAMPLE, "m", run_dir=run).count() == 6
     assert len(list((tmp_path / "calls").iterdir())) == 6
+    fewer = run_inference(asked.filter("movie_id = 2"), scorer, EXAMPLE, "m", run_dir=run)
+    assert [r.movie_id for r in fewer.collect()] == [2] and len(list((tmp_path / "calls").iterdir())) == 6
+
+
+def test_a_refused_run_can_be_resumed(spark, tmp_path):
+    asked = spark.createDataFrame([(i, "p") for i in range(4)], "movie_id bigint, prompt string")
+    run = str(tmp_path / "run")
+
+    def refuse(batch, attempt):
+        raise PermissionError("no access")
+
+    def fail(batch, attempt):
+        raise TimeoutError("slow")
+
+    def reply(batch, attempt):
+        return answers(['{"x": 1, "y": "a"}'] * len(batch))
+
+    with pytest.raises(PermissionError):
+        run_inference(asked, refuse, EXAMPLE, "m", run_dir=run)
+    assert {r.status for r in run_inference(asked, fail, EXAMPLE, "m", run_dir=run).collect()} == {"error"}
+    got = run_inference(asked, reply, EXAMPLE, "m", run_dir=run).collect()
+    assert [(r.movie_id, r.status, r.attempts) for r in sorted(got)] == [(i, "ok", 1) for i in range(4)]
 
 
 def test_cache_is_used_and_kept(spark, tmp_path):
