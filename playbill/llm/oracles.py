@@ -4,7 +4,61 @@ from __future__ import annotations
 
 WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+SPACE = r"[\x20\x09-\x0D]"
+
+
+def escaped(text: str) -> str:
+    return rf"regexp_replace(replace({text}, '\', '\\'), '(<|\[)(\||/?s>|</?SYS>>|/?INST\])', '\1\\\2', 'g')"
+
+
+def canonical(url: str) -> str:
+    bare = rf"regexp_replace(regexp_replace(trim({url}), '^https?://', '', 'i'), '#.*$', '')"
+    host = rf"regexp_replace(regexp_replace(lower(regexp_extract({bare}, '^[^/?]*')), '^(?:www|m)\.', ''), ':(?:80|443)$', '')"
+    rest = rf"regexp_replace({bare}, '^[^/?]*', '')"
+    path = rf"regexp_replace(regexp_extract({rest}, '^[^?]*'), '/+$', '')"
+    params = rf"""array_to_string(list_sort(list_filter(string_split(regexp_extract({rest}, '\?(.*)$', 1), '&'),
+        lambda p: p <> '' AND NOT regexp_matches(p, '^(?:utm_[a-z]+|ref|fbclid|gclid|sessionid)='))), '&')"""
+    return f"{host} || {path} || CASE WHEN {params} = '' THEN '' ELSE '?' || {params} END"
+
+
 ORACLES = {
+    "op5_quality_cascade": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, string_split(t, chr(10)) AS lines,
+             list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS full_lines FROM d),
+g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM w, unnest(range(1, len(w) - 1)) AS t(i) WHERE len(w) >= 3),
+m AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1),
+p AS (SELECT r, count(DISTINCT i + k) AS n FROM m, unnest(range(0, 3)) AS t(k) GROUP BY r),
+a AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{SPACE}', '', 'g'))::BIGINT AS word_chars,
+             len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(full_lines) - len(list_distinct(full_lines)))::BIGINT AS n_dup_lines,
+             coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, length(t) - length(replace(t, '!!', '!')) AS n_shouts
+      FROM w LEFT JOIN p USING (r)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR n_symbols * 10 > word_chars OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR n_shouts * 2 > n_words OR n_dup_lines * 2 > n_lines) AS kept
+FROM f""",
+    "op6_chat_schema": f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|im_start|>') + length(replace({escaped("role")}, chr(10), '\\' || chr(10))) + 1 + length({escaped("text")}) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id""",
+    "op10_revisits": f"""
+WITH p AS (SELECT page_id::BIGINT AS page_id, {canonical("url")} AS response_url, {canonical("regexp_replace(url, '^http:', 'https:') || '#seen'")} AS revisit_url,
+                  sha256(coalesce(html, '')) AS d, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
+m AS (SELECT v.page_id, v.revisit_url AS canonical_url, v.d, max(r.page_id) AS refers_to_page
+      FROM p AS v LEFT JOIN p AS r ON r.response_url = v.revisit_url AND 2 * r.page_id < 2 * v.page_id + 3 GROUP BY ALL),
+s AS (SELECT m.*, r.d AS stored, r.n, CASE WHEN m.refers_to_page IS NULL THEN 'unmatched'
+             WHEN m.page_id % 7 <> 0 AND left(m.d, 16) = left(r.d, 16) THEN 'resolved' ELSE 'validator_mismatch' END AS status
+      FROM m LEFT JOIN p AS r ON r.page_id = m.refers_to_page),
+h AS (SELECT *, 'date=day ' || (page_id + 1) || chr(10) || 'etag=' || CASE WHEN page_id % 7 = 0 THEN '"outdated"' ELSE 'W/"' || left(d, 16) || '"' END AS own FROM s)
+SELECT page_id, canonical_url, status, refers_to_page, CASE WHEN status = 'resolved' THEN stored END AS payload_digest,
+       CASE WHEN status = 'resolved' THEN n END AS payload_length,
+       sha256('content-length=' || CASE WHEN status = 'resolved' THEN n ELSE 0 END || chr(10) || own || CASE WHEN status = 'resolved' THEN chr(10) || 'server=origin' ELSE '' END) AS headers_sha256
+FROM h""",
     "op8_decontaminate": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
 b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
