@@ -126,8 +126,9 @@ def without_spans(marked: DataFrame) -> DataFrame:
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
-    """The documents in which no benchmark window occurs."""
-    return contaminated_spans(documents, benchmark, n).where(F.size("spans") == 0).select(*documents.columns)
+    """The documents in which no benchmark window occurs, with all their columns."""
+    marked = contaminated_spans(documents.select(F.struct(*documents.columns).alias("_row"), "text"), benchmark, n)
+    return marked.where(F.size("spans") == 0).select("_row.*")
 
 
 def digest(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -68,9 +68,10 @@ def _let(value: Column, body) -> Column:
 
 
 def count_repeat_words(w: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more in the text; texts without such a window stop at a hash set."""
-    found = _let(_windows(w), lambda v: F.when(F.size(F.array_distinct(v)) < F.size(v), _covered(v)).otherwise(0))
-    return F.when(F.size(w) < 4, F.lit(0)).otherwise(found).cast("long")
+    """Words inside 3-word windows that occur twice or more in the text; texts without such a window stop at a hash set.
+    The word list is bound first: a filter may inline it, and it must not be made again for every window."""
+    found = lambda v: F.when(F.size(F.array_distinct(v)) < F.size(v), _covered(v)).otherwise(0)
+    return _let(w, lambda x: F.when(F.size(x) < 4, F.lit(0)).otherwise(_let(_windows(x), found))).cast("long")
 
 
 @dataclass(frozen=True)

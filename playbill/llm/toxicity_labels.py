@@ -31,13 +31,14 @@ THRESHOLD = 0.7
 TERMS, VOTERS = 1500, 48
 BEGINNINGS = range(3, 9)
 USES = (1, 2, 4)
-LEAST_ROWS, LEAST_Z = 5, 4.0
+LEAST_ROWS, LEAST_SHARE, LEAST_Z = 5, 0.01, 4.0
+LABEL_TRUST = 0.95
 MEMORY = 300_000
 
 # Common insults and slurs of contempt, by language.
 LISTS = {
     "english": "idiot idiots moron morons stupid dumb dumbass loser losers scum trash garbage worthless pathetic disgusting clown imbecile bastard bitch asshole jerk "
-               "creep freak filth filthy vermin parasite ugly fool foolish retard pig swine coward liar shut hate kill die",
+               "creep freak filth filthy vermin parasite ugly fool foolish retard pig swine coward liar shut hate kill",
     "german": "idiot idioten dumm dummkopf depp trottel arsch arschloch schwein dreck abschaum versager wertlos erbärmlich widerlich clown lügner feigling hure bastard hasse",
     "french": "idiot idiote imbécile crétin débile abruti connard connasse salaud salope ordure déchet minable pathétique dégoûtant clown menteur lâche bâtard pute haine",
     "spanish": "idiota imbécil estúpido estúpida tonto tonta basura escoria inútil patético asqueroso payaso mentiroso cobarde cabrón puta mierda bastardo odio perdedor",
@@ -75,11 +76,12 @@ def fit_rows(documents: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, cl
     share = F.when(F.col("toxic") == 1, F.lit(int(grain * min(1, toxic / max(1, have.get(1, 0)))))).otherwise(F.lit(int(grain * min(1, clean / max(1, have.get(0, 0))))))
     sample = usable.where(F.pmod(F.xxhash64("_id"), F.lit(grain)) < share)
     # At most about toxic + clean ids of eight bytes.
-    return documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("text", "toxic")
+    return documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("text", "toxic").dropDuplicates()
 
 
-def mined_terms(rows: DataFrame, most: int = TERMS) -> list[str]:
-    """Terms that occur in toxic rows far above their share, strongest first. Counts are summed in tasks, then by term."""
+def mined_terms(rows: DataFrame, most: int = TERMS) -> tuple[list[str], list[str]]:
+    """Terms that occur in toxic rows far above their share, strongest first, and those of them that are precise enough to
+    vote. Counts are summed in tasks, then by term."""
     def counted(batches):
         counts: dict[str, list[int]] = {}
         totals = [0, 0]
@@ -103,22 +105,34 @@ def mined_terms(rows: DataFrame, most: int = TERMS) -> list[str]:
     counts = map_rows(rows, "term string, toxic long, clean long", counted).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     totals = counts.where("term = ''").first()
     if totals is None or not totals.toxic or not totals.clean:
-        return []
+        return [], []
     share = totals.toxic / (totals.toxic + totals.clean)
     seen = F.col("toxic") + F.col("clean")
     z = (F.col("toxic") - seen * share) / F.sqrt(seen * share * (1 - share))
     odds = F.log((F.col("toxic") + 0.5) * totals.clean / ((F.col("clean") + 0.5) * totals.toxic))
-    strong = counts.where((F.col("term") != "") & (F.col("toxic") >= LEAST_ROWS)).withColumns({"z": z, "gain": F.col("toxic") * odds}).where(
+    strong = counts.where((F.col("term") != "") & (F.col("toxic") >= max(LEAST_ROWS, LEAST_SHARE * totals.toxic))).withColumns({"z": z, "gain": F.col("toxic") * odds}).where(
         (F.col("z") >= LEAST_Z) & (odds > 1))
-    return [r.term for r in strong.orderBy(F.desc("gain"), "term").limit(most).select("term").toLocalIterator()]
+    kept = [(r.term, r.toxic, r.clean) for r in strong.orderBy(F.desc("gain"), "term").limit(2 * most).toLocalIterator()]
+    return unlike(kept)[:most], [t for t, toxic, clean in kept if toxic >= 4 * clean]
+
+
+def unlike(counted: list[tuple[str, int, int]]) -> list[str]:
+    """The terms, strongest first, without those that are beginnings of another with the same counts."""
+    alike: dict[tuple, str] = {}
+    for term, toxic, clean in counted:
+        key = (term[:4], toxic, clean)
+        if len(term) > len(alike.get(key, "")):
+            alike[key] = term
+    longest = set(alike.values())
+    return [t for t, _, _ in counted if t in longest]
 
 
 def varied(terms: list[str], most: int = VOTERS) -> list[str]:
-    """The strongest terms of which none begins or continues another at the same uses."""
+    """The strongest terms of which none begins or continues another."""
     chosen: list[str] = []
     for term in terms:
-        bare = term.rstrip("$")
-        if not any(bare.startswith(c.rstrip("$")) or c.rstrip("$").startswith(bare) for c in chosen):
+        bare = term.partition(":")[2].rstrip("$")
+        if not any(bare.startswith(c) or c.startswith(bare) for c in (x.partition(":")[2].rstrip("$") for x in chosen)):
             chosen.append(term)
         if len(chosen) >= most:
             break
@@ -161,41 +175,52 @@ class Reader(dict):
 def label_posteriors(votes: np.ndarray, weights: np.ndarray, prior: float, rounds: int = 60) -> np.ndarray:
     """P(toxic) of each vote pattern (rows of 0/1, ``weights`` times seen), the last column being the given label.
 
-    Expectation maximisation of a two-class latent model, started from the given label; then the log odds of each voter are
-    divided by one plus what it shares with the others within the classes (the sum of its residual correlations)."""
+    Expectation maximisation of a two-class latent model, started from the given label. A voter that does not fire
+    abstains; the label always votes, and is right in LABEL_TRUST of either class at least (else the classes could drift). At the end the log odds of each voter are divided by one plus what it shares with the
+    others within the classes (the sum of its residual correlations)."""
     v, total = votes.astype(float), weights.sum()
-    post = np.clip(v[:, -1] * 0.9 + 0.05, 0.05, 0.95)
+
+    def odds(fires: np.ndarray, share: np.ndarray) -> np.ndarray:
+        against = np.log((1 - fires[1, -1]) / (1 - fires[0, -1]))
+        return v @ (share * np.log(fires[1] / fires[0])) + (1 - v[:, -1]) * against + np.log(prior / (1 - prior))
+
+    def sure(x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+    post = v[:, -1] * 0.9 + 0.05
     for _ in range(rounds):
         on, off = weights * post, weights * (1 - post)
         fires = np.clip(np.stack([(off @ v + 0.5) / (off.sum() + 1), (on @ v + 0.5) / (on.sum() + 1)]), 1e-4, 1 - 1e-4)
-        odds = v @ np.log(fires[1] / fires[0]) + (1 - v) @ np.log((1 - fires[1]) / (1 - fires[0])) + np.log(prior / (1 - prior))
-        before, post = post, 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        fires[:, -1] = min(fires[0, -1], 1 - LABEL_TRUST), max(fires[1, -1], LABEL_TRUST)
+        before, post = post, sure(odds(fires, np.ones(v.shape[1])))
         if np.abs(before - post).max() < 1e-4:
             break
-    expected = post[:, None] * fires[1] + (1 - post)[:, None] * fires[0]
-    rest = v - expected
+    rest = v - (post[:, None] * fires[1] + (1 - post)[:, None] * fires[0])
     shared = (rest * weights[:, None]).T @ rest / total
     spread = np.sqrt(np.clip(np.diag(shared), 1e-9, None))
-    correlation = np.clip(shared / spread / spread[:, None], 0, 1)
-    discount = 1 / (1 + np.where(correlation > 0.1, correlation, 0).sum(0) - np.diag(correlation))
-    odds = v @ (discount * np.log(fires[1] / fires[0])) + (1 - v) @ (discount * np.log((1 - fires[1]) / (1 - fires[0]))) + np.log(prior / (1 - prior))
-    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    correlation = shared / spread / spread[:, None]
+    correlated = np.where(correlation > 0.1, correlation, 0).sum(0) - np.diag(correlation)
+    return sure(odds(fires, 1 / (1 + np.clip(correlated, 0, None))))
 
 
-def fit_linear(rows: list[list[int]], targets: np.ndarray, n: int, penalty: float = 1.0, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets by gradient steps scaled per weight; features are lists of active numbers."""
+def fit_linear(rows: list[list[int]], targets: np.ndarray, n: int, penalty: float = 0.1, rounds: int = 500) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft targets by accelerated gradient steps; features are lists of active numbers."""
     flat = np.array([i for r in rows for i in r], np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    # Each weight's step is bounded by its curvature: a quarter of the lengths of the rows it is active in (and the bias).
+    length = np.array([len(r) + 1 for r in rows], float)
+    step = 1 / (0.25 * np.bincount(flat, length[owner], n) + penalty)
+    bias_step = 1 / (0.25 * length.sum())
     weights, bias = np.zeros(n), float(np.log(targets.mean() / (1 - targets.mean())))
-    scale, bias_scale = np.full(n, 1e-8), 1e-8
+    ahead, bias_ahead, t = weights, bias, 1.0
     for _ in range(rounds):
-        odds = bias + np.bincount(owner, weights[flat], len(rows))
+        odds = bias_ahead + np.bincount(owner, ahead[flat], len(rows))
         error = 1 / (1 + np.exp(-np.clip(odds, -30, 30))) - targets
-        slope = np.bincount(flat, error[owner], n) + penalty * weights
-        scale += slope ** 2
-        bias_scale += error.sum() ** 2
-        weights -= 0.5 * slope / np.sqrt(scale)
-        bias -= 0.5 * error.sum() / np.sqrt(bias_scale)
+        new = ahead - step * (np.bincount(flat, error[owner], n) + penalty * ahead)
+        bias_new = bias_ahead - bias_step * error.sum()
+        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        ahead, bias_ahead = new + (t - 1) / t_new * (new - weights), bias_new + (t - 1) / t_new * (bias_new - bias)
+        weights, bias, t = new, bias_new, t_new
     return weights, bias
 
 
@@ -216,7 +241,8 @@ def listed_only() -> Model:
 
 def fit(documents: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, clean: int = FIT_CLEAN) -> Model:
     rows = fit_rows(documents, labels, toxic, clean)
-    terms = mined_terms(rows)
+    terms, precise = mined_terms(rows)
+    ballot = {*varied([t for t in precise if t in set(terms)]), *PATTERNS}
     reader = Reader(terms)
 
     def read(batches):
@@ -230,7 +256,7 @@ def fit(documents: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, clean:
         active.append(sorted(r.active))
     if not given or len(set(given)) < 2:
         return listed_only()
-    voters = [i for i, name in enumerate(reader.names) if name in {*varied(terms), *PATTERNS} or "#" in name]
+    voters = [i for i, name in enumerate(reader.names) if name in ballot or "#" in name]
     place = {f: k for k, f in enumerate(voters)}
     patterns = Counter((tuple(place[f] for f in a if f in place), g) for a, g in zip(active, given))
     votes = np.zeros((len(patterns), len(voters) + 1), np.int8)
