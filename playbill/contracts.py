@@ -26,10 +26,13 @@ ACTIVE_USER_RATINGS = 20
 UNKNOWN_GENRE = "Unknown"
 RELEASED = "Released"
 
+# Column names of the data contract.
 CATALOG_COLUMNS = (
     "movie_id", "title", "overview", "budget", "revenue", "runtime",
     "language", "genres", "release_date", "status",
 )
+#: Columns that a catalog may have besides; they are passed through.
+EXTRA_CATALOG_COLUMNS = ("production_companies", "imdb_id")
 RATING_COLUMNS = ("user_id", "movie_id", "rating", "ts")
 ENRICHED_COLUMNS = (
     "movie_id", "overview_sentiment", "budget_tier", "revenue_tier",

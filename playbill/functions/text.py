@@ -50,6 +50,6 @@ def runtime_phrase(runtime: Column) -> Column:
 
 
 def rated_line(rating: Column, title: Column, names: Column) -> Column:
-    """One history line: rating, title and up to three genres."""
+    """One history line: rating, title and up to three genres. A missing title or genre list is empty, so that no line is lost."""
     shown = F.array_join(F.slice(names, 1, 3), ", ")
-    return F.concat(F.lit("  - "), rating.cast("string"), F.lit("/5.0 — "), title, F.lit(" ["), shown, F.lit("]"))
+    return F.concat(F.lit("  - "), F.coalesce(rating.cast("string"), F.lit("?")), F.lit("/5.0 — "), F.coalesce(title, F.lit("")), F.lit(" ["), F.coalesce(shown, F.lit("")), F.lit("]"))

@@ -15,9 +15,11 @@ from playbill.operators.validate import read_fields
 from playbill.session import new_run_dir
 
 # A scorer gets prompts and the attempt number and returns, row by row, ``content`` (a list of blocks
-# with ``text`` or ``reasoning``), ``input_tokens`` and ``output_tokens``. PermissionError ends the run.
+# with ``text`` or ``reasoning``), ``input_tokens`` and ``output_tokens``, and optionally ``error``. PermissionError ends the run.
 Scorer = Callable[[pd.Series, int], pd.DataFrame]
 
+ROWS_PER_TASK = 2_000
+
 _ANSWER = "prompt string, content array<struct<text:string,reasoning:string>>, input_tokens bigint, output_tokens bigint, error string, denied boolean, run string"
 
 
@@ -26,25 +28,41 @@ def clean_answers(answers: DataFrame, content: str = "content") -> DataFrame:
     return answers.withColumn("answer", without_fences(answer_text(F.col(content))))
 
 
+def _asked(scorer: Scorer, prompts: pd.Series, attempt: int) -> pd.DataFrame:
+    """Scored prompts, in order, with ``error``. A call that fails is repeated in halves, down to the rows that fail."""
+    try:
+        scored = scorer(prompts, attempt).reset_index(drop=True)
+        return scored if "error" in scored else scored.assign(error=None)
+    except PermissionError:
+        raise
+    except Exception as exc:
+        if len(prompts) > 1:
+            half = len(prompts) // 2
+            return pd.concat([_asked(scorer, prompts.iloc[:half], attempt), _asked(scorer, prompts.iloc[half:], attempt)], ignore_index=True)
+        return pd.DataFrame({"content": [None], "input_tokens": [0], "output_tokens": [0], "error": [f"{type(exc).__name__}: {exc}"]})
+
+
 def _asker(scorer: Scorer, attempt: int, run: str):
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        refusal = None
+        refusal, first = None, True
         for batch in batches:
-            error = refusal
-            if error is None:
-                try:
-                    scored = scorer(batch["prompt"], attempt).reset_index(drop=True)
-                except PermissionError as exc:
-                    error = refusal = f"denied: {exc}"
-                except Exception as exc:  # the rows of this batch are reported as failed
-                    error = f"{type(exc).__name__}: {exc}"
-            out = batch[["key", "prompt"]].reset_index(drop=True)
-            if error is None:
-                out = out.assign(content=scored["content"], input_tokens=scored["input_tokens"],
-                                 output_tokens=scored["output_tokens"], error=None)
-            else:
-                out = out.assign(content=None, input_tokens=0, output_tokens=0, error=error)
-            yield out.assign(denied=refusal is not None, run=run)
+            # A task asks for one row first, so that a refusal costs one call.
+            for part in (batch.iloc[:1], batch.iloc[1:]) if first else (batch,):
+                if not len(part):
+                    continue
+                first = False
+                out = part[["key", "prompt"]].reset_index(drop=True)
+                if refusal is None:
+                    try:
+                        scored = _asked(scorer, part["prompt"], attempt)
+                    except PermissionError as exc:
+                        refusal = f"denied: {exc}"
+                if refusal is None:
+                    out = out.assign(content=scored["content"], input_tokens=scored["input_tokens"],
+                                     output_tokens=scored["output_tokens"], error=scored["error"])
+                else:
+                    out = out.assign(content=None, input_tokens=0, output_tokens=0, error=refusal)
+                yield out.assign(denied=refusal is not None, run=run)
 
     return ask
 
@@ -52,7 +70,9 @@ def _asker(scorer: Scorer, attempt: int, run: str):
 def _written(spark, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -66,16 +86,17 @@ def run_inference(
     later action or a lost executor then reads the table instead of rendering prompts or paying the
     scorer again. With an earlier run's
     ``run_dir`` only rows without a written answer are asked; rows that failed count as unanswered. Turn speculation off for these jobs.
-    ``partitions`` is the number of calls in flight; by default one per core, as small prompts would
-    otherwise be packed into a few tasks.
+    ``partitions`` is the number of tasks; by default one per core, or as many as keep each at ROWS_PER_TASK rows, so that
+    a lost executor repeats few calls. A key that is given twice is asked once.
 
     Result: ``key``, the fields, ``status`` (ok, invalid, error), ``attempts``, ``reject_reason``,
     tokens summed over all attempts, and ``model``."""
     spark = prompts.sparkSession
-    partitions = partitions or spark.sparkContext.defaultParallelism
+    if partitions is None:
+        partitions = max(spark.sparkContext.defaultParallelism, -(-prompts.count() // ROWS_PER_TASK))
     run_dir, run = run_dir or new_run_dir(spark, "inference"), uuid.uuid4().hex
     key_type = dict(prompts.dtypes)[key]
-    pending, rounds = prompts.select(F.col(key).alias("key"), "prompt"), []
+    pending, rounds = prompts.select(F.col(key).alias("key"), "prompt").dropDuplicates(["key"]), []
     for attempt in range(retries + 1):
         path = f"{run_dir}/round-{attempt}"
         earlier = _written(spark, path)

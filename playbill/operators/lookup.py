@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from playbill.contracts import ENRICHED_COLUMNS, RESULT_COLUMNS
+from playbill.functions.text import strip
 from playbill.operators.search import with_enrichment
 from playbill.sources.tables import prepare_catalog
 
@@ -20,6 +21,13 @@ def lookup_enriched(requests: DataFrame, enriched: DataFrame) -> DataFrame:
     )
 
 
+def find_titles(requests: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Catalog ids for each requested ``title``, compared in lower case without outer spaces; null where there is none."""
+    key = lambda title: F.lower(strip(title))
+    known = catalog.select("movie_id", F.col("title").alias("catalog_title"), key(F.col("title")).alias("_key"))
+    return requests.withColumn("_key", key(F.col("title"))).join(known, "_key", "left").drop("_key")
+
+
 def compare_rows(requests: DataFrame, catalog: DataFrame, enriched: DataFrame) -> DataFrame:
     """Long form of ``compare``: one row per requested id, with ``position``, ``in_catalog`` and ``is_enriched``."""
     asked = requests.select("request_id", F.posexplode("movie_ids").alias("position", "movie_id"))

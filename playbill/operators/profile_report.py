@@ -13,14 +13,13 @@ from playbill.sources.tables import prepare_catalog
 
 def row_counts(catalog: DataFrame, ratings: DataFrame) -> DataFrame:
     """One row: movies, ratings, users, rated movies and their share of the catalog in percent."""
+    per_movie, users = ratings.groupBy("movie_id").agg(F.count(F.lit(1)).alias("n")), ratings.select("user_id").distinct()
     return (
-        ratings.agg(
-            F.count(F.lit(1)).alias("n_ratings"),
-            F.count_distinct("user_id").alias("n_users"),
-            F.count_distinct("movie_id").alias("n_rated_movies"),
-        )
+        per_movie.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_ratings"), F.count("movie_id").alias("n_rated_movies"))
+        .withColumn("n_users", users.agg(F.count("user_id")).scalar())
         .withColumn("n_movies", catalog.agg(F.count(F.lit(1))).scalar())
         .withColumn("rated_percent", F.round(F.try_divide(F.lit(100.0) * F.col("n_rated_movies"), F.col("n_movies")), 1))
+        .select("n_ratings", "n_users", "n_rated_movies", "n_movies", "rated_percent")
     )
 
 
@@ -88,8 +87,8 @@ def histogram(rows: DataFrame, column: str, bins: int) -> DataFrame:
     the range and the bins come from those counts."""
     counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     placed = (
-        counts.withColumn("low", counts.agg(F.min("value")).scalar())
-        .withColumn("high", counts.agg(F.max("value")).scalar())
+        counts.withColumn("range", counts.agg(F.struct(F.min("value").alias("low"), F.max("value").alias("high"))).scalar())
+        .select("*", "range.low", "range.high")
         .groupBy(equal_width_bin(F.col("value"), F.col("low"), F.col("high"), bins).alias("bin"))
         .agg(F.sum("n").alias("n"))
     )

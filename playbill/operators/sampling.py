@@ -2,32 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Callable
 
-from playbill.operators.ranking import seeded_hash, top_per_key
+from pyspark.sql import DataFrame, Window, functions as F
 
-# Up to this many sampled ids, ranks are cut per task and the ids are broadcast (a few MB at most).
-SMALL_SAMPLE = 100_000
+from playbill.operators.ranking import seeded_hash
 
 
 def allocate(pool: DataFrame, group: str, n: int) -> DataFrame:
     """Seats per stratum by largest remainder: every stratum gets the whole part of its share of
     ``n``, the rest goes to the largest remainders (ties by name), strata without a seat drop out.
-    Integer arithmetic throughout. Only the ``n`` largest remainders can win a seat, so only those
-    are ranked."""
+    Decimal arithmetic throughout; the largest remainders are found by cells, without ordering all strata in one task."""
     strata = pool.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
+    product = F.lit(n).cast("decimal(19,0)") * F.col("size").cast("decimal(19,0)")
     shares = (
         strata.withColumn("total", strata.agg(F.sum("size")).scalar())
-        .withColumn("left_over", (F.lit(n).cast("long") * F.col("size")) % F.col("total"))
-        .withColumn("seats", ((F.lit(n).cast("long") * F.col("size") - F.col("left_over")) / F.col("total")).cast("long"))
-    )
-    spare = F.lit(n).cast("long") - shares.agg(F.sum("seats")).scalar()
-    winners = (
-        shares.orderBy(F.desc("left_over"), group).limit(n)
-        .withColumn("place", F.row_number().over(Window.orderBy(F.desc("left_over"), group)))
-        .filter(F.col("place") <= spare)
-        .select(group, F.lit(1).alias("extra"))
+        .withColumn("product", product)
+        .withColumn("seats", F.expr("(product div total)"))
+        .withColumn("left_over", F.expr("product % total").cast("decimal(19,0)"))
+        .drop("product")
     )
+    spare = shares.agg((F.lit(n).cast("decimal(19,0)") - F.sum("seats")).cast("long")).scalar()
+    # Largest remainders first: the smaller what is missing to the total, the earlier.
+    lacking = F.col("total").cast("decimal(19,0)") - F.col("left_over")
+    ranked = shares.select(
+        group, F.lpad(lacking.cast("string"), 20, "0").alias("_h"),
+        F.floor(lacking / F.col("total") * 65535).cast("int").alias("cell"))
+    winners = _draw(ranked, [], lambda cells: cells.withColumn("seats", spare), group).select(group, F.lit(1).alias("extra"))
     return (
         shares.join(winners, group, "left")
         .select(group, "size", (F.col("seats") + F.coalesce("extra", F.lit(0))).cast("long").alias("seats"))
@@ -35,37 +36,28 @@ def allocate(pool: DataFrame, group: str, n: int) -> DataFrame:
     )
 
 
-def sample_per_stratum(pool: DataFrame, group: str, seats: DataFrame, n: int, seed: int, key: str = "movie_id") -> DataFrame:
-    """For each stratum the ``seats`` rows with the smallest seeded hash, or all if there are fewer.
-    ``n`` is the sum of all seats and bounds any single stratum."""
-    drawn = pool.select(key, group).withColumn("_h", seeded_hash(seed, key))
-    if n <= SMALL_SAMPLE:
-        ids = (
-            top_per_key(drawn, [group], [F.asc("_h"), F.asc(key)], n)
-            .join(seats.select(group, "seats"), group)
-            .filter("rank <= seats")
-            .select(key)
-        )
-        return pool.join(F.broadcast(ids), key, "left_semi")  # at most n <= SMALL_SAMPLE ids
-    return pool.join(_large_draw(drawn, group, seats, key), key, "left_semi")
-
-
-def _large_draw(drawn: DataFrame, group: str, seats: DataFrame, key: str) -> DataFrame:
-    """The same draw without ordering a whole stratum: the first four hash digits split it into
-    65,536 even cells; cells below the cut are taken whole and only the cell at the cut is ordered."""
-    drawn = drawn.withColumn("cell", F.substring("_h", 1, 4))
-    before = Window.partitionBy(group).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = (
-        drawn.groupBy(group, "cell").agg(F.count(F.lit(1)).alias("cell_n"))
-        .withColumn("below", F.coalesce(F.sum("cell_n").over(before), F.lit(0)))
-        .join(seats.select(group, "seats"), group)
-        .filter("below < seats")
-    )
-    near = drawn.join(cells, [group, "cell"])
+def sample_per_stratum(pool: DataFrame, group: str, seats: DataFrame, seed: int, key: str = "movie_id") -> DataFrame:
+    """For each stratum the ``seats`` rows with the smallest seeded hash, or all if there are fewer."""
+    drawn = pool.select(key, group).withColumn("_h", seeded_hash(seed, key)).withColumn("cell", _hash_cell())
+    return pool.join(_draw(drawn, [group], lambda cells: cells.join(seats.select(group, "seats"), group), key), key, "left_semi")
+
+
+def _hash_cell():
+    """The first four hash digits split a stratum into 65,536 even cells."""
+    return F.substring("_h", 1, 4)
+
+
+def _draw(drawn: DataFrame, groups: list[str], with_seats: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
+    """The first ``seats`` keys of each group by ``_h``, without ordering a whole group: ``cell`` follows the same order;
+    cells below the cut are taken whole and only the cell at the cut is ordered. ``with_seats`` adds the seats to the cells."""
+    before = Window.partitionBy(*groups).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = drawn.groupBy(*groups, "cell").agg(F.count(F.lit(1)).alias("cell_n"))
+    cells = with_seats(cells.withColumn("below", F.coalesce(F.sum("cell_n").over(before), F.lit(0)))).filter("below < seats")
+    near = drawn.join(cells, [*groups, "cell"])
     whole = near.filter("below + cell_n <= seats").select(key)
     at_cut = (
         near.filter("below + cell_n > seats")
-        .withColumn("place", F.row_number().over(Window.partitionBy(group, "cell").orderBy("_h", key)))
+        .withColumn("place", F.row_number().over(Window.partitionBy(*groups, "cell").orderBy("_h", key)))
         .filter("place <= seats - below")
         .select(key)
     )
@@ -73,15 +65,13 @@ def _large_draw(drawn: DataFrame, group: str, seats: DataFrame, key: str) -> Dat
 
 
 def stratified_sample(pool: DataFrame, n: int, seed: int, group: str = "primary_genre", key: str = "movie_id") -> DataFrame:
-    return sample_per_stratum(pool, group, allocate(pool, group, n), n, seed, key)
+    return sample_per_stratum(pool, group, allocate(pool, group, n), seed, key)
 
 
 def simple_sample(pool: DataFrame, n: int, seed: int, key: str = "movie_id") -> DataFrame:
-    """The ``n`` rows with the smallest seeded hash."""
-    ids = pool.select(key).withColumn("_h", seeded_hash(seed, key)).orderBy("_h", key).limit(n).select(key)
-    if n <= SMALL_SAMPLE:
-        ids = F.broadcast(ids)  # at most n ids
-    return pool.join(ids, key, "left_semi")
+    """The ``n`` rows with the smallest seeded hash: the draw of a single stratum."""
+    drawn = pool.select(key).withColumn("_h", seeded_hash(seed, key)).withColumn("cell", _hash_cell())
+    return pool.join(_draw(drawn, [], lambda cells: cells.withColumn("seats", F.lit(n).cast("long")), key), key, "left_semi")
 
 
 def sample(pool: DataFrame, n: int, seed: int, group: str = "primary_genre", key: str = "movie_id") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from decimal import Decimal, InvalidOperation
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -14,7 +15,6 @@ from playbill.operators.filters import has_genre, in_range, is_released
 from playbill.sources.tables import prepare_catalog
 
 _BY_NAME = {f.name: f for f in FILTER_FIELDS}
-MAX_YEARS = 200  # longer ranges are tested on every row instead of year by year
 
 
 def _checked(field: Field, value: Any) -> Any:
@@ -32,10 +32,10 @@ def _checked(field: Field, value: Any) -> Any:
             raise ValueError(f"{field.name}: {value!r} is not allowed")
         return value
     try:
-        number = float(value)
-    except (TypeError, ValueError):
+        number = Decimal(value.strip() if isinstance(value, str) else str(value))
+    except (InvalidOperation, ValueError):
         raise ValueError(f"{field.name}: {value!r} is not a whole number") from None
-    if number != number or number in (float("inf"), float("-inf")) or number != int(number):
+    if isinstance(value, bool) or (isinstance(value, str) and "e" in value.lower()) or not number.is_finite() or number != int(number):
         raise ValueError(f"{field.name}: {value!r} is not a whole number")
     if (field.low is not None and number < field.low) or (field.high is not None and number > field.high):
         raise ValueError(f"{field.name}: {value!r} is out of range")
@@ -127,16 +127,16 @@ def _facet(kind: str, value: Column) -> Column:
 
 def _spec_facets() -> Column:
     """Where a request looks for rows: under each wanted genre; else among the enriched rows if it
-    asks for an enriched value; else under each year of a closed range of years; else everywhere."""
+    asks for an enriched value; else under each year it allows of those the catalog has (``first_year`` to
+    ``last_year``); without any of these, everywhere."""
     enriched_only = F.coalesce("budget_tier", "revenue_tier", "sentiment", F.col("min_score").cast("string")).isNotNull()
-    years = F.when(
-        F.col("min_year") <= F.col("max_year"),
-        F.transform(F.sequence("min_year", "max_year"), lambda y: _facet("year", y)),
-    ).otherwise(F.array().cast("array<string>"))
+    low = F.greatest(F.coalesce("min_year", "first_year"), "first_year")
+    high = F.least(F.coalesce("max_year", "last_year"), "last_year")
+    years = F.when(low <= high, F.transform(F.sequence(low, high), lambda y: _facet("year", y))).otherwise(F.array().cast("array<string>"))
     return (
         F.when(F.size("wanted") > 0, F.transform("wanted", lambda g: _facet("genre", g)))
         .when(enriched_only, F.array(F.lit("enriched")))
-        .when((F.col("max_year") - F.col("min_year")).between(-MAX_YEARS, MAX_YEARS), years)
+        .when(F.coalesce("min_year", "max_year").isNotNull(), years)
         .otherwise(F.array(F.lit("any")))
     )
 
@@ -156,6 +156,11 @@ def search_batch(catalog: DataFrame, enriched: DataFrame, specs: DataFrame, salt
     with several wanted genres counts under the first. The remaining bounds are tested inside the
     join on narrow rows, each task keeps at most MAX_LIMIT of them per request before the final
     shuffle, and titles and themes are added to the winners only. Only a request without genres, enriched values or a closed range of years is tested on every row."""
+    if "valid" in specs.columns:
+        specs = specs.filter("valid")
+    years = prepare_catalog(catalog).filter(is_released()).agg(
+        F.min("filter_year").cast("long").alias("first_year"), F.max("filter_year").cast("long").alias("last_year")).first()
+    specs = specs.withColumns({name: F.lit(years[name]).cast("long") for name in ("first_year", "last_year")})
     requests = (
         specs.withColumn("wanted", F.array_distinct(F.transform("genres", F.lower)))
         .withColumn("facet", F.explode(_spec_facets()))
@@ -169,6 +174,7 @@ def search_batch(catalog: DataFrame, enriched: DataFrame, specs: DataFrame, salt
         )
         .drop("themes")
         .withColumn("facet", F.explode(_item_facets()))
+        .join(requests.select("facet").distinct(), "facet", "left_semi")
         .withColumn("salt", F.pmod(F.xxhash64("movie_id"), F.lit(salts)).cast("int"))
     )
     first_common = F.get(F.array_intersect(F.col("s.wanted"), F.col("i.genre_keys")), F.lit(0))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from playbill.session import configure
 from playbill.contracts import ENRICHED_FIELDS, FILTER_FIELDS, PREDICTION_FIELDS, PROFILE_FIELDS, Field
 from playbill.functions.documents import strict_json
 
@@ -66,10 +67,14 @@ def _read(doc: Column, field: Field) -> tuple[Column, Column]:
     path = f"$.{field.name}"
     raw = F.try_variant_get(doc, path, "variant")
     if field.kind in ("int", "double"):
-        number = F.try_variant_get(doc, path, "double")
         if field.kind == "double":
+            number = F.try_variant_get(doc, path, "double")
             return number, number.isNotNull()
-        whole = F.when(number == F.floor(number), number.try_cast("long"))
+        # Exact: a whole JSON number or digits in a text as long, other numbers only if their decimal value is whole.
+        text = F.try_variant_get(doc, path, "string")
+        digits = F.regexp_like(text, F.lit(r"^\s*[+-]?[0-9]+(?:\.0*)?\s*$"))
+        whole = F.when(digits, F.regexp_replace(F.trim(text), r"\.0*$", "").try_cast("long")).when(
+            F.schema_of_variant(raw) != "STRING", F.when(F.try_variant_get(doc, path, "decimal(38,10)") % 1 == 0, F.try_variant_get(doc, path, "decimal(38,10)").try_cast("long")))
         return whole, whole.isNotNull()
     if field.kind == "text":
         is_text = F.schema_of_variant(raw) == "STRING"
@@ -82,6 +87,7 @@ def _read(doc: Column, field: Field) -> tuple[Column, Column]:
 def read_fields(rows: DataFrame, text: Column, fields: Sequence[Field], keep: Sequence[str] = ()) -> DataFrame:
     """Read ``fields`` from JSON text into typed columns, with the verdict beside them. The values are
     taken out by ``inline``, so that filters on them are not rewritten into repeated parsing."""
+    configure(rows.sparkSession)
     doc = F.col("_doc")
     values, reasons = [], [F.when(~F.col("_object"), F.lit("not a JSON object"))]
     for field in fields:

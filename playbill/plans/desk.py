@@ -8,10 +8,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from playbill.operators.lookup import compare, lookup_enriched
+from playbill.operators.inference import Scorer
+from playbill.operators.lookup import compare, find_titles, lookup_enriched
 from playbill.operators.predict import predict_ratings
 from playbill.operators.profiles import profiles_for, user_profiles
 from playbill.operators.search import search_json
+from playbill.plans.models import predict_with_scorer, profiles_with_scorer
 from playbill.session import configure
 
 
@@ -20,6 +22,9 @@ class Desk:
     catalog: DataFrame
     ratings: DataFrame
     enriched: DataFrame
+    #: Optional: predictions and profiles then come from the scorer instead of rules.
+    scorer: Scorer | None = None
+    model: str = "scorer"
 
     def __post_init__(self) -> None:
         configure(self.catalog.sparkSession)
@@ -44,10 +49,22 @@ class Desk:
         return compare(self._request("request_id int, movie_ids array<bigint>", 1, ids), self.catalog, self.enriched).drop("request_id")
 
     def predict_user_rating(self, user_id: int, movie_id: int) -> DataFrame:
-        return predict_ratings(self._request("user_id bigint, movie_id bigint", user_id, movie_id), self._ratings_of(user_id), self.catalog)
+        asked, ratings = self._request("user_id bigint, movie_id bigint", user_id, movie_id), self._ratings_of(user_id)
+        if self.scorer is None:
+            return predict_ratings(asked, ratings, self.catalog)
+        return predict_with_scorer(asked, ratings, self.catalog, self.enriched, self.scorer, self.model)
 
     def summarize_user_preferences(self, user_id: int) -> DataFrame:
-        return profiles_for(self._request("user_id bigint", user_id), user_profiles(self._ratings_of(user_id), self.catalog, self.enriched))
+        ratings = self._ratings_of(user_id)
+        if self.scorer is None:
+            profiles = user_profiles(ratings, self.catalog, self.enriched)
+        else:
+            profiles = profiles_with_scorer(ratings, self.catalog, self.enriched, self.scorer, self.model)
+        return profiles_for(self._request("user_id bigint", user_id), profiles)
+
+    def find_movies(self, title: str) -> DataFrame:
+        """Ids of the titles equal to ``title``, letter case and outer spaces aside."""
+        return find_titles(self._request("title string", title), self.catalog)
 
 
 def as_json(rows: DataFrame) -> DataFrame:

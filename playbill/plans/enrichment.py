@@ -11,6 +11,7 @@ from playbill.contracts import ENRICHED_FIELDS, ENRICHED_SCHEMA
 from playbill.operators.filters import is_eligible
 from playbill.operators.inference import Scorer, run_inference
 from playbill.operators.ratings import with_rating_stats
+from playbill.operators.sampling import stratified_sample
 from playbill.operators.validate import validate_enriched
 from playbill.plans.prompts import enrichment_prompts
 from playbill.sources.sinks import append_enriched
@@ -28,8 +29,15 @@ def rated_pool(catalog: DataFrame, ratings: DataFrame) -> DataFrame:
     return with_rating_stats(eligible_pool(catalog), ratings)
 
 
+def sampled_pool(catalog: DataFrame, ratings: DataFrame, n: int, seed: int) -> DataFrame:
+    """A stratified sample of the eligible pool with rating statistics: drawn first, so that only ratings of drawn rows are met."""
+    drawn = stratified_sample(eligible_pool(catalog), n, seed)
+    return with_rating_stats(drawn, ratings.join(drawn.select("movie_id"), "movie_id", "left_semi"))
+
+
 def uncached(requested: DataFrame, cached: DataFrame) -> DataFrame:
-    return requested.join(cached.select("movie_id"), "movie_id", "left_anti")
+    """Requested rows without a cached one; an id that is requested twice counts once."""
+    return requested.join(cached.select("movie_id"), "movie_id", "left_anti").dropDuplicates(["movie_id"])
 
 
 def merge_cached(requested: DataFrame, cached: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -6,13 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from playbill.contracts import CATALOG_COLUMNS, ENRICHED_COLUMNS, ENRICHED_SCHEMA, RATING_COLUMNS
+from playbill.contracts import CATALOG_COLUMNS, ENRICHED_COLUMNS, ENRICHED_SCHEMA, EXTRA_CATALOG_COLUMNS, RATING_COLUMNS
 from playbill.functions.dates import filter_year, release_year
 from playbill.functions.names import name_keys, parse_names, primary_name
+from playbill.session import configure
 
 
-def scan_catalog(spark: SparkSession, path: str, columns: Sequence[str] = CATALOG_COLUMNS) -> DataFrame:
-    return spark.read.parquet(path).select(*columns)
+def scan_catalog(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """The named columns; by default those of the contract, and the optional ones that the table has."""
+    rows = spark.read.parquet(path)
+    return rows.select(*(columns or (*CATALOG_COLUMNS, *(c for c in EXTRA_CATALOG_COLUMNS if c in rows.columns))))
 
 
 def scan_ratings(spark: SparkSession, path: str, columns: Sequence[str] = RATING_COLUMNS) -> DataFrame:
@@ -28,6 +31,7 @@ def prepare_catalog(catalog: DataFrame) -> DataFrame:
     """Add the parsed columns the operators filter and group on. Store the result once: filters on
     these columns then reach the parquet scan, which functions of text never do, and whether there is an
     overview is known without reading the texts."""
+    configure(catalog.sparkSession)
     derived = {
         "genre_names": lambda: parse_names(F.col("genres")),
         "genre_keys": lambda: name_keys(F.col("genre_names")),
@@ -45,3 +49,10 @@ def prepare_catalog(catalog: DataFrame) -> DataFrame:
 def duplicate_keys(table: DataFrame, *keys: str) -> DataFrame:
     """Keys that occur more than once; empty for a sound catalog or enrichment table."""
     return table.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def assert_unique(table: DataFrame, *keys: str) -> None:
+    """ValueError with one example if a key occurs more than once: joins on it would double rows."""
+    twice = duplicate_keys(table, *keys).first()
+    if twice is not None:
+        raise ValueError(f"{', '.join(f'{k}={twice[k]}' for k in keys)} occurs {twice['n']} times")

@@ -15,7 +15,7 @@ from playbill.plans import enrichment, evaluation, prompts
 from playbill.sources.sinks import append_enriched
 from playbill.sources.tables import duplicate_keys, prepare_catalog, scan_enriched
 
-EXAMPLE = (Field("x", "int", required=True), Field("y", "text", required=True))
+EXAMPLE = (Field("seats", "int", required=True), Field("town", "text", required=True))
 
 
 def answers(texts, **more):
@@ -34,17 +34,17 @@ def ask(spark, replies, **options):
 
 
 def test_parse_retry_and_give_up(spark):
-    good = '{"x": 2, "y": "ok"}'
+    good = '{"seats": 40, "town": "Ulm"}'
     got = ask(spark, [
         [good, "", ""],
-        ["not json", good, ""],
-        ['{"x": "not an int", "y": "bad"}', '{"x": 7, "y": "good"}', ""],
+        ["forty seats in Ulm", good, ""],
+        ['{"seats": [3], "town": "Linz"}', '{"seats": 12, "town": "Graz"}', ""],
         ["```json\n" + good + "\n```", "", ""],
-        ["never", "ever", "json"],
+        ["<seats>", "town: Ulm", "40"],
     ])
     assert [got[i].status for i in range(5)] == ["ok", "ok", "ok", "ok", "invalid"]
     assert [got[i].attempts for i in range(5)] == [1, 2, 2, 1, 3]
-    assert [got[i].x for i in range(5)] == [2, 2, 7, 2, None]
+    assert [got[i].seats for i in range(5)] == [40, 40, 12, 40, None]
     assert (got[0].input_tokens, got[1].input_tokens, got[4].output_tokens) == (10, 20, 15)  # every attempt counts
     assert got[4].reject_reason == "not a JSON object" and got[0].model == "m"
 
@@ -57,9 +57,22 @@ def test_reasoning_blocks_are_skipped(spark):
     asked = spark.createDataFrame([(1, "p")], "movie_id bigint, prompt string")
 
     def scorer(batch, attempt):
-        return pd.DataFrame({"content": [[{"text": None, "reasoning": "hm"}, {"text": '{"x": 4, "y": "after"}', "reasoning": None}]], "input_tokens": 1, "output_tokens": 1})
+        return pd.DataFrame({"content": [[{"text": None, "reasoning": "hm"}, {"text": '{"seats": 9, "town": "Bern"}', "reasoning": None}]], "input_tokens": 1, "output_tokens": 1})
 
-    assert run_inference(asked, scorer, EXAMPLE, "m").first().x == 4
+    assert run_inference(asked, scorer, EXAMPLE, "m").first().seats == 9
+
+
+def test_only_failing_rows_are_errors(spark):
+    """A call with one bad prompt fails as a whole; it is repeated in halves until only the bad rows are left."""
+    asked = spark.createDataFrame([(i, f"p{i}") for i in range(100)] * 2, "movie_id bigint, prompt string")
+
+    def picky(batch, attempt):
+        if any(p in ("p13", "p77") for p in batch):
+            raise ValueError("cannot read this")
+        return answers(['{"seats": 1, "town": "a"}'] * len(batch))
+
+    got = {r.movie_id: (r.status, r.attempts) for r in run_inference(asked, picky, EXAMPLE, "m", partitions=2).collect()}
+    assert got == {i: ("error" if i in (13, 77) else "ok", 1) for i in range(100)}
 
 
 def test_refusal_ends_the_run_and_errors_do_not(spark):
@@ -87,7 +100,7 @@ def test_written_answers_are_not_asked_again(spark, tmp_path):
         os.makedirs(calls, exist_ok=True)
         for _ in range(len(batch)):
             open(os.path.join(calls, uuid.uuid4().hex), "w").close()
-        return answers(['{"x": 1, "y": "a"}'] * len(batch))
+        return answers(['{"seats": 1, "town": "a"}'] * len(batch))
 
     run = str(tmp_path / "run")
     first = run_inference(asked.filter("movie_id < 4"), scorer, EXAMPLE, "m", run_dir=run)
@@ -110,7 +123,7 @@ def test_a_refused_run_can_be_resumed(spark, tmp_path):
         raise TimeoutError("slow")
 
     def reply(batch, attempt):
-        return answers(['{"x": 1, "y": "a"}'] * len(batch))
+        return answers(['{"seats": 1, "town": "a"}'] * len(batch))
 
     with pytest.raises(PermissionError):
         run_inference(asked, refuse, EXAMPLE, "m", run_dir=run)

@@ -52,17 +52,21 @@ def drawn(sizes, n, seed):
     return {m for g, k in largest_remainder(sizes, n).items() for m in sorted(ids[g], key=order)[:k]}
 
 
-def test_stratified_sample_is_exact_both_ways(spark, monkeypatch):
+def test_stratified_sample_is_exact(spark):
     sizes = {"hot": 3000, "warm": 500, "rare": 40, "tiny": 1}
     frame = pool(spark, sizes)
-    small = {r.movie_id for r in sampling.stratified_sample(frame, 200, 42).collect()}
-    monkeypatch.setattr(sampling, "SMALL_SAMPLE", 10)
-    large = {r.movie_id for r in sampling.stratified_sample(frame, 200, 42).collect()}
-    assert small == large == drawn(sizes, 200, 42)
+    for n in (3, 200, 2000):
+        assert {r.movie_id for r in sampling.stratified_sample(frame, n, 42).collect()} == drawn(sizes, n, 42)
     whole = sampling.stratified_sample(frame, 5000, 42).collect()
     assert len(whole) == sum(sizes.values())
 
 
+def test_large_shares_are_exact(spark):
+    n = 2**62
+    got = {r.primary_genre: r.seats for r in sampling.allocate(pool(spark, {"a": 3, "b": 1}), "primary_genre", n).collect()}
+    assert got == {"a": 3 * 2**60, "b": 2**60}
+
+
 def test_sample_does_not_depend_on_partitions(spark):
     frame = pool(spark, {"a": 70, "b": 30})
     one = sorted(r.movie_id for r in sampling.stratified_sample(frame.coalesce(1), 13, 1).collect())

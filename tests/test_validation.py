@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frames import catalog, enriched, movie
-from playbill.contracts import ENRICHED_FIELDS, PREDICTION_FIELDS, PROFILE_FIELDS
+from playbill.contracts import DEFAULT_LIMIT, ENRICHED_FIELDS, FILTER_FIELDS, PREDICTION_FIELDS, PROFILE_FIELDS, Field
 from playbill.operators.search import check_filters, search_json
 from playbill.operators.validate import read_fields, validate, validate_enriched
 from playbill.sources.specs import parse_filter_specs
@@ -18,19 +18,21 @@ def parse(spark, *texts):
 
 
 def test_filter_defaults_and_roundtrip(spark):
-    empty, full = parse(spark, "{}", json.dumps({
-        "genres": ["Drama"], "budget_tier": "low", "sentiment": "positive", "min_year": 1990, "max_year": 1999, "min_score": 8,
-        "limit": 5, "sort_by": "revenue_desc", "title": "ignored"}))
-    assert (empty.genres, empty.budget_tier, empty.limit, empty.valid) == ([], None, 10, True)
-    assert (full.genres, full.budget_tier, full.sentiment, full.min_year, full.max_year, full.min_score, full.limit, full.sort_by, full.valid) == (
-        ["Drama"], "low", "positive", 1990, 1999, 8, 5, "revenue_desc", True)
+    asked = {"genres": ["Western", "noir"], "revenue_tier": "medium", "sentiment": "neutral", "min_year": 1931, "max_budget": 9007199254740993,
+             "min_runtime": 61, "limit": 17, "sort_by": "runtime_desc"}
+    empty, full = parse(spark, "{}", json.dumps(asked | {"colour": "ignored"}))
+    assert (empty.genres, empty.revenue_tier, empty.limit, empty.valid) == ([], None, DEFAULT_LIMIT, True)
+    assert full.valid and {name: full[name] for name in asked} == asked
 
 
-BAD = {
-    '{"budget_tier": "huge"}': "budget_tier", '{"sentiment": "DROP TABLE"}': "sentiment", '{"limit": 999}': "limit", '{"limit": 0}': "limit",
-    '{"sort_by": "arbitrary_sql"}': "sort_by", '{"min_score": 0}': "min_score", '{"min_score": 11}': "min_score", '{"min_score": 8.5}': "min_score",
-    '{"limit": null}': "limit", '{"genres": null}': "genres", '{"genres": "Drama"}': "genres", '{"genres": [1]}': "genres", '{"min_year": "x"}': "min_year",
-}
+def beyond(field: Field) -> list:
+    """Values outside the bounds of a field."""
+    outside = [n for n in (None if field.low is None else field.low - 1, None if field.high is None else field.high + 1) if n is not None]
+    return outside + (["not among the choices"] if field.choices else []) + ([2.25, "1e1"] if field.kind == "int" else [])
+
+
+BAD = {json.dumps({f.name: value}): f.name for f in FILTER_FIELDS for value in beyond(f)} | {
+    '{"limit": null}': "limit", '{"genres": null}': "genres", '{"genres": "Western"}': "genres", '{"genres": [7]}': "genres", '{"min_year": "soon"}': "min_year"}
 
 
 def test_bad_filters_are_named(spark):
@@ -66,7 +68,7 @@ def test_enriched_rows(spark):
 
 
 def test_predictions_and_profiles(spark):
-    frame = spark.createDataFrame([(i, r, "x") for i, r in enumerate((0.5, 5.0, 6.0, -1.0, 0.4, float("nan")))], "i int, predicted_rating double, rationale string")
+    frame = spark.createDataFrame([(i, r, "x") for i, r in enumerate((0.5, 5.0, 5.01, -0.5, 0.49, float("nan")))], "i int, predicted_rating double, rationale string")
     assert [r.valid for r in validate(frame, PREDICTION_FIELDS).orderBy("i").collect()] == [True, True, False, False, False, False]
     lists = [(["a"], ["x"]), (list("abcdef"), ["x"]), (["a"], list("123456")), ([], [])]
     frame = spark.createDataFrame([(i, g, t, "mixed", "s") for i, (g, t) in enumerate(lists)],

@@ -393,7 +393,10 @@ def _oracles() -> dict[str, str]:
             count(*) FILTER (delta <= 2.5) AS within_2_5, round(avg(delta), 6) AS mean_delta FROM deltas""",
         "stratum_allocation": "SELECT * FROM allocation WHERE seats > 0",
         "active_users": "SELECT user_id, count(*) AS n_ratings FROM ratings GROUP BY 1 HAVING count(*) >= 20",
-        "unique_titles": "SELECT title FROM catalog GROUP BY 1 HAVING count(*) = 1",
+        "unique_titles": "SELECT concat_ws(' ', title, runtime) AS title FROM catalog GROUP BY 1 HAVING count(*) = 1",
+        "title_ids": """SELECT q.request_id, q.title, c.movie_id, c.title AS catalog_title FROM (
+            SELECT s_suppkey AS request_id, CASE WHEN s_suppkey % 4 = 0 THEN 'no such title' ELSE concat('  ', upper(p_name), ' ') END AS title
+            FROM supplier LEFT JOIN part ON s_suppkey = p_partkey) AS q LEFT JOIN catalog AS c ON lower(trim(q.title)) = lower(trim(c.title))""",
         "leak_free_history": "SELECT user_id, movie_id, CAST(rank AS INTEGER) AS rank, rated_movie_id, rating, strftime(ts, '%Y-%m-%d') AS ts FROM history",
         "top_bottom_rated": "SELECT user_id, movie_id, rating, strftime(ts, '%Y-%m-%d') AS ts, CAST(rank AS INTEGER) AS rank, side FROM ranked_ratings",
         "stratified_sample": """SELECT movie_id, title, primary_genre, round(avg_rating, 6) AS avg_rating, n_ratings FROM (

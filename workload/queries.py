@@ -64,7 +64,7 @@ def typed_filters(t: Tables) -> DataFrame:
         k.alias("spec_id"), F.array("p_type").alias("genres"),
         F.get(F.array(*map(F.lit, ("low", "medium", "high", "huge"))), (k % 5).cast("int")).alias("budget_tier"),
         F.lit("high").alias("revenue_tier"),
-        F.get(F.array(*map(F.lit, ("positive", "negative", "neutral", "DROP TABLE"))), (k % 7).cast("int")).alias("sentiment"),
+        F.get(F.array(*map(F.lit, ("positive", "negative", "neutral", "cheerful"))), (k % 7).cast("int")).alias("sentiment"),
         (size % 13).cast("long").alias("min_score"), none.alias("min_year"), none.alias("max_year"), none.alias("min_budget"),
         none.alias("max_budget"), none.alias("min_runtime"), none.alias("max_runtime"),
         F.get(F.array(*map(F.lit, ("revenue_desc", "budget_desc", "score_desc", "runtime_desc", "rating_desc", "by_magic"))), (k % 8).cast("int")).alias("sort_by"),
@@ -154,10 +154,17 @@ def label_lexicon(t: Tables) -> DataFrame:
     labelled = t.read("documents").join(t.read("labels").select("doc_id", tone.cast("long").alias("tone")), "doc_id")
     return (
         labelled.select("tone", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-        .groupBy("word").agg(F.sum("tone").alias("weight"))
+        .groupBy("word").agg(F.sum("tone").alias("weight")).filter("weight <> 0")
     )
 
 
+def asked_titles(t: Tables) -> DataFrame:
+    """A title per supplier, in other letter case and with outer spaces; some are unknown."""
+    part = t.read("part").select(F.col("p_partkey").alias("s_suppkey"), F.concat(F.lit("  "), F.upper("p_name"), F.lit(" ")).alias("title"))
+    known = t.read("supplier").select("s_suppkey").join(part, "s_suppkey", "left")
+    return known.select(F.col("s_suppkey").alias("request_id"), F.when(F.col("s_suppkey") % 4 == 0, F.lit("no such title")).otherwise(F.col("title")).alias("title"))
+
+
 # Queries.
 
 def scan_catalog_query(t: Tables) -> DataFrame:
@@ -253,8 +260,7 @@ def stratum_allocation(t: Tables) -> DataFrame:
 
 
 def stratified_sample(t: Tables) -> DataFrame:
-    pool = enrichment.rated_pool(t.catalog, t.ratings)
-    return rounded(sampling.stratified_sample(pool, SAMPLE_SIZE, SAMPLE_SEED).select("movie_id", "title", "primary_genre", "avg_rating", "n_ratings"))
+    return rounded(enrichment.sampled_pool(t.catalog, t.ratings, SAMPLE_SIZE, SAMPLE_SEED).select("movie_id", "title", "primary_genre", "avg_rating", "n_ratings"))
 
 
 def small_sample(t: Tables) -> DataFrame:
@@ -423,7 +429,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "prediction_hits": lambda t: evaluation.prediction_hits(prediction_delta(t)),
     "stratum_allocation": stratum_allocation,
     "active_users": lambda t: rated.active_users(t.ratings),
-    "unique_titles": lambda t: rated.unique_titles(t.catalog),
+    "unique_titles": lambda t: rated.unique_titles(t.catalog.withColumn("title", F.concat_ws(" ", "title", "runtime"))),
+    "title_ids": lambda t: lookup.find_titles(asked_titles(t), t.catalog),
     # windows, ranking, sampling
     "leak_free_history": lambda t: day(history.history_rows(history.pair_histories(pair_requests(t), t.ratings, t.catalog))),
     "top_bottom_rated": lambda t: day(profiles.top_and_bottom(t.ratings, t.catalog)),
