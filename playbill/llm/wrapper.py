@@ -32,6 +32,8 @@ CONSTANT, LEAST_PAGES = 0.9, 5
 SALTS = 32
 #: Larger skeletons are aligned by their first levels only; the texts of deeper nodes count for their parents.
 NODES = 400
+#: Containers below this depth get no nodes of their own; their texts stay, in the node above.
+DEPTH = 150
 
 # Fixed values of HTML: elements without content, with raw content, with implied ends, and those that break lines of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,17 +50,17 @@ NEVER_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer "
     "sidebar aside widget cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing "
     "social related recommended comment comments reply replies respond disqus form search skip pagination pager".split())
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
 class Node:
     """An element that holds blocks. ``parts`` are its texts (with block breaks as None) and nodes in page order."""
 
-    __slots__ = ("tag", "key", "never", "parts")
+    __slots__ = ("tag", "key", "never", "depth", "parts")
 
-    def __init__(self, tag: str, key: str, never: bool):
-        self.tag, self.key, self.never, self.parts = tag, key, never, []
+    def __init__(self, tag: str, key: str, never: bool, depth: int = 0):
+        self.tag, self.key, self.never, self.depth, self.parts = tag, key, never, depth, []
 
     def nodes(self) -> list["Node"]:
         return [p for p in self.parts if isinstance(p, Node)]
@@ -89,7 +91,8 @@ def parse(source: str) -> Node:
         if part and not (part.isspace() and not open_[-1][1].parts):
             open_[-1][1].parts.append(part)
 
-    while m := TAG.search(source, at):
+    closing = source.rfind(">")
+    while at <= closing and (m := TAG.search(source, at)):
         text(source[at:m.start()])
         at = m.end()
         if not m[2]:
@@ -125,9 +128,9 @@ def parse(source: str) -> Node:
         holder = open_[-1][1]
         if tag in BLOCKS:
             holder.parts.append(None)
-        if tag in CONTAINERS or never:
+        if (never and not holder.never) or (tag in CONTAINERS and holder.depth < DEPTH):
             key = " ".join([tag, *sorted(found.get("class", "").split())[:3], *([f"#{found['id']}"] if found.get("id") else [])])
-            node = Node(tag, key, never)
+            node = Node(tag, key, never, holder.depth + 1)
             holder.parts.append(node)
             holder = node
         open_.append((tag, holder))
