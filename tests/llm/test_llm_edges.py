@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import uuid
 
 import numpy as np
 import public_tokenizers
@@ -39,7 +40,7 @@ def labels(spark):
 
 def document_digests(tmp, benchmark, labels):
     return {
-        "shards": lambda d: shard_slots.digest(d, f"{tmp}/map"), "licenses": license_rules.digest, "simhash": simhash_trie.digest,
+        "shards": lambda d: shard_slots.digest(d, f"{tmp}/map-{uuid.uuid4().hex}"), "licenses": license_rules.digest, "simhash": simhash_trie.digest,
         "quality": quality_cascade.digest, "toxicity": lambda d: toxicity_labels.digest(d, labels),
         "benchmark": lambda d: decontaminate.digest(d, benchmark), "bpe": lambda d: byte_bpe.digest(d, RANKS, public_tokenizers.PATTERN)}
 
