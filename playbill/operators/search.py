@@ -127,12 +127,11 @@ def _facet(kind: str, value: Column) -> Column:
 
 def _spec_facets() -> Column:
     """Where a request looks for rows: under each wanted genre; else among the enriched rows if it
-    asks for an enriched value; else under each year it allows of those the catalog has (``first_year`` to
-    ``last_year``); without any of these, everywhere."""
+    asks for an enriched value; else under each year it allows of those the catalog has; without any of
+    these, everywhere."""
     enriched_only = F.coalesce("budget_tier", "revenue_tier", "sentiment", F.col("min_score").cast("string")).isNotNull()
-    low = F.greatest(F.coalesce("min_year", "first_year"), "first_year")
-    high = F.least(F.coalesce("max_year", "last_year"), "last_year")
-    years = F.when(low <= high, F.transform(F.sequence(low, high), lambda y: _facet("year", y))).otherwise(F.array().cast("array<string>"))
+    allowed = F.filter("known_years", lambda y: (y >= F.coalesce("min_year", y)) & (y <= F.coalesce("max_year", y)))
+    years = F.transform(allowed, lambda y: _facet("year", y))
     return (
         F.when(F.size("wanted") > 0, F.transform("wanted", lambda g: _facet("genre", g)))
         .when(enriched_only, F.array(F.lit("enriched")))
@@ -155,12 +154,14 @@ def search_batch(catalog: DataFrame, enriched: DataFrame, specs: DataFrame, salt
     catalog, so its rows are spread over ``salts`` join keys and the requests repeated per salt. A row
     with several wanted genres counts under the first. The remaining bounds are tested inside the
     join on narrow rows, each task keeps at most MAX_LIMIT of them per request before the final
-    shuffle, and titles and themes are added to the winners only. Only a request without genres, enriched values or a closed range of years is tested on every row."""
+    shuffle, and titles and themes are added to the winners only. A range of years means the years that the
+    catalog has, which are read before planning; only facets that some request asks for are joined. A request without genres,
+    enriched values and years is tested on every row. Where ``specs`` has a verdict, invalid requests are left out."""
     if "valid" in specs.columns:
         specs = specs.filter("valid")
-    years = prepare_catalog(catalog).filter(is_released()).agg(
-        F.min("filter_year").cast("long").alias("first_year"), F.max("filter_year").cast("long").alias("last_year")).first()
-    specs = specs.withColumns({name: F.lit(years[name]).cast("long") for name in ("first_year", "last_year")})
+    found = prepare_catalog(catalog).filter(is_released()).select("filter_year").distinct().filter("filter_year is not null")
+    # Years are read from four characters, so there are about 11,000 of them at most.
+    specs = specs.withColumn("known_years", F.lit(sorted(r[0] for r in found.toLocalIterator())).cast("array<bigint>"))
     requests = (
         specs.withColumn("wanted", F.array_distinct(F.transform("genres", F.lower)))
         .withColumn("facet", F.explode(_spec_facets()))

@@ -113,7 +113,8 @@ def test_batch_equals_brute_force_and_single_search(spark):
              "max_year": lambda: rng.choice([1990, 2300]), "min_budget": lambda: 10, "max_budget": lambda: 20, "min_runtime": lambda: 61,
              "max_runtime": lambda: 63, "budget_tier": lambda: "low", "sentiment": lambda: "positive", "min_score": lambda: 4,
              "sort_by": lambda: rng.choice(list(SORT_COLUMNS)), "limit": lambda: rng.choice([1, 3, 50])}
-    specs = [{k: make() for k, make in kinds.items() if rng.random() < 0.3} for _ in range(60)] + [{}, {"min_year": 1999, "max_year": 1990}, {"min_year": -5, "max_year": 5000}]
+    specs = [{k: make() for k, make in kinds.items() if rng.random() < 0.3} for _ in range(60)] + [{}, {"min_year": 1999, "max_year": 1990}, {"min_year": -5, "max_year": 5000},
+        {"min_year": -9000000000000000000, "max_year": 9000000000000000000}, {"max_year": 1990}, {"min_year": 1991}]
     import json
 
     frame = parse_filter_specs(spark.createDataFrame([(i, json.dumps(s)) for i, s in enumerate(specs)], "spec_id int, filter_json string"))
