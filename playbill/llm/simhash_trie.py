@@ -35,6 +35,8 @@ UNITS_ROWS = 60_000
 COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
 #: Fingerprints for them: TABLES of TABLE_BITS, one bit of a least hash each, joined within TABLE_BUDGET.
 TABLES, TABLE_BITS, TABLE_BUDGET, SETS = 12, 48, 3, 3
+#: Closest unconfirmed neighbours that a text proposes in a second round; MORE times as many in each further one, until none is left out.
+NEIGHBOURS, MORE = 4, 8
 ODD = np.array([int.from_bytes(hashlib.sha256(b"%d" % i).digest()[:8], "little") | 1 for i in range(SETS * TABLE_BITS)], np.uint64)
 
 
@@ -103,12 +105,29 @@ class _Forest:
         return True
 
 
-def node_pairs(values: np.ndarray, pairs: np.ndarray, depth: np.ndarray, bits: int, budget: int):
+def node_pairs(values: np.ndarray, pairs: np.ndarray, depth: np.ndarray, bits: int, budget: int, group: np.ndarray | None = None):
     """Descends from the given node pairs; yields arrays (position, position, differing bits) of values within the budget.
 
     ``values`` are sorted within each node; a node is a range [lo, hi) of positions, a pair is (lo, hi, lo, hi, spent), a node
-    with itself if both ranges are equal. ``depth`` is the level at which each pair starts."""
+    with itself if both ranges are equal. ``depth`` is the level at which each pair starts. With ``group`` (a number for each
+    position) values may repeat, and only pairs of different groups are yielded; node pairs of one group are not descended."""
     zeros: dict[int, np.ndarray] = {}
+    runs = None if group is None else np.concatenate(([0], np.cumsum(group[1:] != group[:-1])))
+
+    def repeats(front):
+        """Pairs of different groups below pairs of whole values, in bounded parts."""
+        held, size = [], 0
+        for a0, a2, b0, b2, spent in front.tolist():
+            for x in range(a0, a2):
+                first = x + 1 if a0 == b0 else b0
+                other = first + np.flatnonzero(group[first:b2] != group[x])
+                held.append((np.full(len(other), x), other, np.full(len(other), spent)))
+                size += len(other)
+                if size >= FRONTIER:
+                    yield tuple(np.concatenate(c) for c in zip(*held))
+                    held, size = [], 0
+        if size:
+            yield tuple(np.concatenate(c) for c in zip(*held))
 
     def split(lo, hi, level):
         """Where the branch of ones starts."""
@@ -123,6 +142,9 @@ def node_pairs(values: np.ndarray, pairs: np.ndarray, depth: np.ndarray, bits: i
             half = len(front) // 2
             waiting += [(level, front[:half]), (level, front[half:])]
             continue
+        if runs is not None:
+            a0, a2, b0, b2, _ = front.T
+            front = front[(runs[a0] != runs[a2 - 1]) | (runs[b0] != runs[b2 - 1]) | (group[a0] != group[b0])]
         single = (front[:, 1] - front[:, 0] == 1) & (front[:, 3] - front[:, 2] == 1)
         leaves = front[single & (front[:, 0] != front[:, 2])]
         if len(leaves):
@@ -132,6 +154,8 @@ def node_pairs(values: np.ndarray, pairs: np.ndarray, depth: np.ndarray, bits: i
                 yield leaves[near, 0], leaves[near, 2], spent[near]
         front = front[~single]
         if not len(front) or level >= bits:
+            if group is not None:
+                yield from repeats(front)
             continue
         a0, a2, b0, b2, spent = front.T
         a1, b1 = split(a0, a2, level), split(b0, b2, level)
@@ -145,9 +169,9 @@ def node_pairs(values: np.ndarray, pairs: np.ndarray, depth: np.ndarray, bits: i
             waiting.append((level + 1, front))
 
 
-def _joined_units(columns: dict[str, np.ndarray], bits: int, block_bits: int, budget: int):
-    """Forest edges of whole units; columns are sorted by unit and value."""
-    values, ids = columns["value"], columns["id"]
+def _unit_pairs(columns: dict[str, np.ndarray], bits: int, block_bits: int):
+    """Node pairs at which whole units start, and their levels; columns are sorted by unit and value."""
+    values = columns["value"]
     keys = np.stack([columns[k] for k in ("part", "block", "low", "high")], 1)
     first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))
     last = np.concatenate((first[1:], [len(values)]))
@@ -164,10 +188,15 @@ def _joined_units(columns: dict[str, np.ndarray], bits: int, block_bits: int, bu
                 continue
             pairs.append((lo, mid, mid, hi, (low ^ high).bit_count()))
         depths.append(block_bits + cut)
-    if not pairs:
-        return [], []
+    return np.array(pairs, np.int64).reshape(-1, 5), np.array(depths, np.int64)
+
+
+def _joined_units(columns: dict[str, np.ndarray], bits: int, block_bits: int, budget: int):
+    """Forest edges of whole units; columns are sorted by unit and value."""
+    values, ids = columns["value"], columns["id"]
+    pairs, depths = _unit_pairs(columns, bits, block_bits)
     forest, left, right, near = _Forest(), [], [], []
-    for a, b, spent in node_pairs(values, np.array(pairs, np.int64), np.array(depths), bits, budget):
+    for a, b, spent in node_pairs(values, pairs, depths, bits, budget):
         near.append(np.stack((spent.astype(np.int64), a, b), 1))
     if near:
         for _, a, b in np.concatenate(near)[np.argsort(np.concatenate(near)[:, 0], kind="stable")].tolist():
@@ -177,10 +206,35 @@ def _joined_units(columns: dict[str, np.ndarray], bits: int, block_bits: int, bu
     return left, right
 
 
-def trie_links(prints: DataFrame, bits: int = BITS, budget: int = BUDGET, split_rows: int = SPLIT_ROWS) -> DataFrame:
+def _closest(pairs: np.ndarray, neighbours: int) -> np.ndarray:
+    """Of pairs (distance, position, position), those among the closest ``neighbours`` of either end."""
+    ends, at = np.concatenate((pairs[:, 1], pairs[:, 2])), np.tile(np.arange(len(pairs)), 2)
+    order = np.lexsort((at, pairs[at, 0], ends))
+    new = np.concatenate(([True], ends[order][1:] != ends[order][:-1]))
+    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    return pairs[np.unique(at[order[rank < neighbours]])]
+
+
+def _proposed_units(columns: dict[str, np.ndarray], bits: int, block_bits: int, budget: int, neighbours: int):
+    """The closest pairs of different groups in whole units, by distance of the sketches; a pair of nulls if any were left out."""
+    sketches = np.frombuffer(b"".join(columns["sketch"]), np.uint64).reshape(len(columns["id"]), -1)
+    pairs, depths = _unit_pairs(columns, bits, block_bits)
+    kept, full = np.zeros((0, 3), np.int64), False
+    for a, b, _ in node_pairs(columns["value"], pairs, depths, bits, budget, columns["group"]):
+        apart = np.concatenate([np.bitwise_count(sketches[a[i:i + 65536]] ^ sketches[b[i:i + 65536]]).sum(1, dtype=np.int64) for i in range(0, len(a), 65536)])
+        met = np.concatenate((kept, np.stack((apart, a, b), 1)))
+        kept = _closest(met, neighbours)
+        full |= len(kept) < len(met)
+    mark = [None] * full
+    return columns["id"][kept[:, 1]].tolist() + mark, columns["id"][kept[:, 2]].tolist() + mark
+
+
+def trie_links(prints: DataFrame, bits: int = BITS, budget: int = BUDGET, split_rows: int = SPLIT_ROWS, neighbours: int | None = None) -> DataFrame:
     """Links (a, b) of ids whose prints of one part differ in at most ``budget`` bits: a spanning forest of every sub-trie.
 
-    ``prints`` has (part, print, id) with distinct (part, print); parts are joined apart from one another."""
+    ``prints`` has (part, print, id) with distinct (part, print); parts are joined apart from one another. With ``neighbours``, prints
+    may repeat and carry (group, sketch): the links are then, of all pairs of different groups within the budget, those to the closest
+    neighbours of either end by sketch, and a link of nulls tells that there are more."""
     blocks = budget + 1
     block_bits = bits // blocks
     full = (1 << bits) - 1
@@ -195,8 +249,9 @@ def trie_links(prints: DataFrame, bits: int = BITS, budget: int = BUDGET, split_
         return turned.bitwiseAND(F.lit(signed(full)))
 
     turns = F.array(*(F.struct(F.lit(k).alias("k"), rotated(k).alias("value")) for k in range(blocks)))
-    rows = prints.select("part", "id", F.explode(turns).alias("t")).select(
-        (F.col("part") * blocks + F.col("t.k")).cast("int").alias("part"), "id", F.col("t.value").alias("value"))
+    also = ("group", "sketch") if neighbours else ()
+    rows = prints.select("part", "id", *also, F.explode(turns).alias("t")).select(
+        (F.col("part") * blocks + F.col("t.k")).cast("int").alias("part"), "id", *also, F.col("t.value").alias("value"))
     rows = rows.withColumn("block", F.shiftrightunsigned("value", bits - block_bits))
     sizes = rows.groupBy("part", "block").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = rows.join(sizes, ["part", "block"])
@@ -208,8 +263,8 @@ def trie_links(prints: DataFrame, bits: int = BITS, budget: int = BUDGET, split_
     node = F.expr(f"shiftright(value, {bits - block_bits} - cut) & (shiftleft(1L, cut) - 1)")
     rows = rows.withColumn("node", node).withColumn("mask", F.explode(F.get(table, F.col("cut"))))
     other = F.col("node").bitwiseXOR(F.col("mask"))
-    units = rows.select("part", "block", "cut", F.least("node", other).alias("low"), F.greatest("node", other).alias("high"), "value", "id")
-    names = ("part", "block", "cut", "low", "high", "value", "id")
+    units = rows.select("part", "block", "cut", F.least("node", other).alias("low"), F.greatest("node", other).alias("high"), "value", "id", *also)
+    names = ("part", "block", "cut", "low", "high", "value", "id", *also)
 
     def run(batches):
         held: list[dict[str, np.ndarray]] = []
@@ -227,7 +282,10 @@ def trie_links(prints: DataFrame, bits: int = BITS, budget: int = BUDGET, split_
                 end = int(np.argmax(last))
             held = [{n: v[end:] for n, v in columns.items()}]
             count = 0 if end else -UNITS_ROWS
-            return _joined_units({n: v[:end] for n, v in columns.items()}, bits, block_bits, budget) if end else ([], [])
+            if not end:
+                return [], []
+            whole = {n: v[:end] for n, v in columns.items()}
+            return _proposed_units(whole, bits, block_bits, budget, neighbours) if neighbours else _joined_units(whole, bits, block_bits, budget)
 
         for batch in batches:
             got = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
@@ -241,7 +299,7 @@ def trie_links(prints: DataFrame, bits: int = BITS, budget: int = BUDGET, split_
 
     # Signed order differs from the trie's for values with the top bit set, so the sort flips that bit.
     order = F.col("value").bitwiseXOR(F.lit(-(1 << 63))) if bits == 64 else F.col("value")
-    dealt = units.repartition("part", "block", "low", "high").sortWithinPartitions("part", "block", "low", "high", order)
+    dealt = units.repartition("part", "block", "low", "high").sortWithinPartitions("part", "block", "low", "high", order, *also[:1])
     return map_rows(dealt, "a long, b long", run).distinct()
 
 
@@ -324,8 +382,8 @@ def copy_sketches(documents: DataFrame) -> DataFrame:
     return add_columns(documents, "same binary, prints array<long>", run)
 
 
-def similar_links(links: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the links (a, b), those whose texts (id, text) have a Jaccard similarity of at least COPY_SIMILARITY."""
+def compared(links: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links (a, b) with ``near``: whether their texts (id, text) have a Jaccard similarity of at least COPY_SIMILARITY."""
     def hashed(batch):
         return [[np.unique(shingle_hashes(t, COPY_SHINGLE)).tobytes() for t in binary(batch, "text")]]
 
@@ -342,7 +400,41 @@ def similar_links(links: DataFrame, texts: DataFrame) -> DataFrame:
             out.append(both >= COPY_SIMILARITY * (len(x) + len(y) - both))
         return [out]
 
-    return add_columns(pairs.select("a", "b", "sa", "sb"), "near boolean", near).where("near").select("a", "b")
+    return add_columns(pairs.select("a", "b", "sa", "sb"), "near boolean", near).select("a", "b", "near")
+
+
+def ordered_links(links: DataFrame) -> DataFrame:
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+
+def confirmed_components(links: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, label) of the components of all pairs within the budget whose similarity is confirmed, of nodes with a confirmed link.
+
+    ``links`` connect all that lies within the budget, but a forest or star passes over pairs, so a link that fails may hide one that
+    holds. Connected sets in which the confirmed links leave several components are therefore joined again, on pairs of different
+    components only: each text proposes its closest neighbours, then more and more, until no pair within the budget is unseen."""
+    seen = written(compared(links, texts), "compared")
+    labels = components(seen.where("near"))
+    if seen.where("not near").isEmpty():
+        return labels
+    cells = written(components(links).select(F.col("node").alias("id"), F.col("label").alias("cell")), "cells")
+    neighbours = NEIGHBOURS
+    while True:
+        state = cells.join(labels.select(F.col("node").alias("id"), F.col("label").alias("group")), "id", "left").withColumn("group", F.coalesce("group", "id"))
+        open_ = state.groupBy("cell").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("cell")
+        rows = written(classes.join(state.join(open_, "cell").select("id", "group"), "id").select("id", "group", "prints"), "open")
+        sketch = F.concat(*(F.unhex(F.lpad(F.hex(F.get("prints", F.lit(t))), 16, "0")) for t in range(TABLES)))
+        prints = rows.select("id", "group", sketch.alias("sketch"), F.posexplode("prints").alias("part", "print"))
+        found = written(trie_links(prints, TABLE_BITS, TABLE_BUDGET, neighbours=neighbours), "proposed")
+        fresh = written(ordered_links(found).join(seen.select("a", "b"), ["a", "b"], "left_anti"), "fresh")
+        if not fresh.isEmpty():
+            now = written(compared(fresh, texts), "compared")
+            seen = seen.unionByName(now)
+            if not now.where("near").isEmpty():
+                labels = components(seen.where("near"))
+        if found.where("a is null").isEmpty():
+            return labels
+        neighbours *= MORE
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
@@ -359,10 +451,9 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     across = trie_links(tables.select("part", "print", F.col("rep").alias("id")), TABLE_BITS, TABLE_BUDGET)
     inside = classes.select("id", F.posexplode("prints").alias("part", "print")).join(
         tables.where("n > 1").select("part", "print", "rep"), ["part", "print"]).where("id <> rep")
-    links = across.unionByName(inside.select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")))
-    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    links = written(ordered_links(across.unionByName(inside.select(F.col("id").alias("a"), F.col("rep").alias("b")))), "links")
     texts = documents.select(F.col("doc_id").alias("id"), "text").join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    labels = components(written(similar_links(links, texts), "near"))
+    labels = confirmed_components(links, classes.select("id", "prints"), texts)
     dropped = rows.join(classes.select("same", "id"), "same").where("doc_id <> id").select("doc_id").unionByName(
         labels.where("node <> label").select(F.col("node").alias("doc_id"))).distinct()
     return documents.join(dropped, "doc_id", "left_anti").select(*documents.columns)

@@ -198,6 +198,26 @@ def test_near_copies(spark):
     assert len(missed) <= 0.05 * len(similar)
 
 
+def test_many_copies_below_the_similarity_of_one_another(spark):
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randrange(10 ** 9)}"
+    base = [word() for _ in range(400)]
+    rows = []
+    for i in range(1000):
+        copy = list(base)
+        for at in rnd.sample(range(5, 395), 8):
+            copy[at] = word()
+        rows.append((i, " ".join(copy)))
+    rows.append((len(rows), " ".join(base)))
+    sets = [set(simhash_trie.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
+    similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert all(similar(i, 1000) for i in range(1000)) and sum(similar(0, i) for i in range(1, 1000)) < 100
+    prints = [simhash_trie.table_prints(simhash_trie.shingle_hashes(t.encode(), 5)) for _, t in rows]
+    found = {i for i in range(1000) if any((p ^ q).bit_count() <= 3 for p, q in zip(prints[i], prints[1000]))}
+    left = {r.doc_id for r in simhash_trie.one_of_each(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(left & found) <= 1, (len(left & found), len(found))
+
+
 def test_long_words():
     ranks = byte_bpe.read_ranks(RANKS)
     mine = byte_bpe.Encoder(ranks, public_tokenizers.PATTERN)
