@@ -17,11 +17,14 @@ it goes. Empty tables give no rows."""
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html as entities
 import json
 import re
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from playbill.llm.common import add_columns, binary, by_value, map_rows, written
@@ -30,8 +33,8 @@ by_value(__name__)
 
 CONSTANT, LEAST_PAGES = 0.9, 5
 SALTS = 32
-#: Larger skeletons are aligned by their first levels only; the texts of deeper nodes count for their parents.
-NODES = 400
+#: Child pairs whose matching is traced in one array; more are halved first.
+CELLS = 1_000_000
 #: Containers below this depth get no nodes of their own; their texts stay, in the node above.
 DEPTH = 150
 
@@ -177,53 +180,146 @@ def articles(root: Node) -> list[Node]:
 
 # Alignment.
 
-def skeleton(root: Node) -> list:
-    """[key, checksum of the text, children] of the tree, at most NODES nodes in level order."""
-    made = ["html", "", []]
-    level, left = [(root, made)], NODES
-    while level and left > 0:
-        below = []
-        for node, out in level:
-            for child in node.nodes():
-                if left <= 0:
-                    break
-                left -= 1
-                text = "\n".join(blocks(child))
-                spot = [child.key, hashlib.blake2b(text.encode(), digest_size=8).hexdigest() if text else "", []]
-                out[2].append(spot)
-                below.append((child, spot))
-        level = below
-    return made
+def skeleton(node: Node) -> list:
+    """[key, checksum of the text, children] of the tree. The checksum covers the node's own lines and its children's checksums."""
+    items, line, children = [], [], []
+
+    def end() -> None:
+        words = " ".join(entities.unescape("".join(line)).split())
+        if words:
+            items.append(words)
+        line.clear()
+
+    for part in node.parts:
+        if part is None:
+            end()
+        elif isinstance(part, str):
+            line.append(part)
+        else:
+            end()
+            children.append(skeleton(part))
+            if children[-1][1] and not part.never:
+                items.append("\0" + children[-1][1])
+    end()
+    return [node.key, hashlib.blake2b("\n".join(items).encode(), digest_size=8).hexdigest() if items else "", children]
+
+
+class _Matcher:
+    """Simple tree matching of whole trees. Children that are the only ones of their key and text on both sides are paired first, in
+    order; the runs between them by a largest order-keeping matching, whose sizes depend on the shapes (keys) of subtrees alone."""
+
+    def __init__(self):
+        self.names: dict[tuple, int] = {}
+        self.shape: dict[int, int] = {}
+        self.size: list[int] = []
+        self.below: list[tuple] = []
+        self.sizes: dict[tuple[int, int], int] = {}
+
+    def number(self, node: list) -> int:
+        key = (node[0], *(self.number(c) for c in node[2]))
+        if key not in self.names:
+            self.names[key] = len(self.size)
+            self.size.append(1 + sum(self.size[c] for c in key[1:]))
+            self.below.append(key)
+        self.shape[id(node)] = self.names[key]
+        return self.names[key]
+
+    def most(self, a: int, b: int) -> int:
+        """Size of the largest order-keeping matching of two shapes."""
+        if a == b:
+            return self.size[a]
+        if self.below[a][0] != self.below[b][0]:
+            return 0
+        if (a, b) not in self.sizes:
+            x, y = self.below[a][1:], self.below[b][1:]
+            self.sizes[a, b] = 1 + (int(self.rows(x, y)[-1][-1]) if x and y else 0)
+        return self.sizes[a, b]
+
+    def rows(self, x, y, every: bool = False) -> list[np.ndarray]:
+        """The last row of the matching's table, or all rows."""
+        kinds = {k: i for i, k in enumerate(dict.fromkeys(y))}
+        column = np.array([kinds[k] for k in y])
+        weights, out, last = {}, [], np.zeros(len(y) + 1, np.int32)
+        if every:
+            out.append(last)
+        for k in x:
+            if k not in weights:
+                weights[k] = np.array([self.most(k, other) for other in kinds], np.int32)[column]
+            row = last.copy()
+            row[1:] = np.maximum(last[1:], last[:-1] + weights[k])
+            last = np.maximum.accumulate(row)
+            if every:
+                out.append(last)
+        return out if every else [last]
+
+    def traced(self, x: list, y: list) -> list[tuple[int, int]]:
+        """Positions that are paired in a largest matching of two runs of shapes."""
+        if not x or not y:
+            return []
+        if len(x) > 1 and len(x) * len(y) > CELLS:
+            half = len(x) // 2
+            ahead, behind = self.rows(x[:half], y)[0], self.rows(x[:half - 1:-1], y[::-1])[0][::-1]
+            cut = int(np.argmax(ahead + behind))
+            return self.traced(x[:half], y[:cut]) + [(i + half, j + cut) for i, j in self.traced(x[half:], y[cut:])]
+        best, out, i, j = self.rows(x, y, True), [], len(x), len(y)
+        while i and j:
+            got = self.most(x[i - 1], y[j - 1])
+            if got and best[i][j] == best[i - 1][j - 1] + got:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+            elif best[i][j] == best[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        return out[::-1]
+
+    def pairs(self, a: list, b: list) -> list[tuple[list, list]]:
+        found, waiting = [], [(a, b)]
+        while waiting:
+            a, b = waiting.pop()
+            found.append((a, b))
+            at = done = 0
+            for i, j in [*self.anchors(a[2], b[2]), (len(a[2]), len(b[2]))]:
+                x, y = a[2][at:i], b[2][done:j]
+                waiting += [(x[m], y[n]) for m, n in self.traced([self.shape[id(c)] for c in x], [self.shape[id(c)] for c in y])]
+                if i < len(a[2]):
+                    waiting.append((a[2][i], b[2][j]))
+                at, done = i + 1, j + 1
+        return found
+
+    @staticmethod
+    def anchors(x: list, y: list) -> list[tuple[int, int]]:
+        """Longest increasing run of children that have one key and text on both sides, once each."""
+        mine, theirs = (Counter((c[0], c[1]) for c in side if c[1]) for side in (x, y))
+        place = {(c[0], c[1]): j for j, c in enumerate(y) if theirs[c[0], c[1]] == 1}
+        both = [(i, place[c[0], c[1]]) for i, c in enumerate(x) if c[1] and mine[c[0], c[1]] == 1 and (c[0], c[1]) in place]
+        ends, at, before = [], [], []
+        for n, (_, j) in enumerate(both):
+            k = bisect.bisect_left(ends, j)
+            ends[k:k + 1], at[k:k + 1] = [j], [n]
+            before.append(at[k - 1] if k else None)
+        out, n = [], at[-1] if at else None
+        while n is not None:
+            out.append(both[n])
+            n = before[n]
+        return out[::-1]
 
 
 def matching(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
-    """Simple tree matching: size of the largest order-keeping matching of two trees with equal roots, and its node pairs."""
+    """Matching of two trees that keeps order and parents: its size and its node pairs."""
     if a[0] != b[0]:
         return 0, []
-    x, y = a[2], b[2]
-    pair = {}
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(1, len(x) + 1):
-        for j in range(1, len(y) + 1):
-            pair[i, j] = matching(x[i - 1], y[j - 1])
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + pair[i, j][0])
-    found, i, j = [(a, b)], len(x), len(y)
-    while i and j:
-        if pair[i, j][0] and best[i][j] == best[i - 1][j - 1] + pair[i, j][0]:
-            found += pair[i, j][1]
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return 1 + best[len(x)][len(y)], found
+    matcher = _Matcher()
+    matcher.number(a)
+    matcher.number(b)
+    found = matcher.pairs(a, b)
+    return len(found), found
 
 
 def numbered(tree: list) -> dict[int, int]:
     """Level-order numbers by identity of the skeleton's nodes."""
     order, queue = {}, [tree]
-    while queue:
-        node = queue.pop(0)
+    for node in queue:
         order[id(node)] = len(order)
         queue += node[2]
     return order
@@ -256,7 +352,7 @@ def induced(pages: DataFrame) -> DataFrame:
                     pivots[host] = (parsed, numbered(parsed))
                 against, order = pivots[host]
                 for mine, theirs in matching(json.loads(tree), against)[1]:
-                    if mine[1]:
+                    if mine[1] and theirs is not against:
                         spot = (host, order[id(theirs)], mine[1])
                         counts[spot] = counts.get(spot, 0) + 1
             yield [k[0] for k in counts], [k[1] for k in counts], [k[2] for k in counts], list(counts.values())
@@ -276,8 +372,7 @@ def main_text(source: str, pivot: list | None, template: set[int]) -> str:
         order = numbered(pivot)
         constant = {id(m) for m, p in matching(mine, pivot)[1] if order[id(p)] in template}
         queue = [(root, mine)]
-        while queue:
-            node, spot = queue.pop(0)
+        for node, spot in queue:
             if id(spot) in constant:
                 drop.add(id(node))
             queue += zip(node.nodes(), spot[2])

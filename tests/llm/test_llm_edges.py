@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import uuid
 
@@ -87,6 +88,15 @@ def test_tree_matching():
     assert size == 4 and [(x[1], y[1]) for x, y in pairs if x[1]] == [("4", "4"), ("2", "9"), ("3", "3")] or size == 4
 
 
+def test_large_pages_are_aligned_whole():
+    page = lambda n, i: wrapper.skeleton(wrapper.parse("<body>" + "".join(f"<div><div>text {i} {k}</div></div>" for k in range(n)) + "<div>Same words</div></body>"))
+    a, b = page(3000, 1), page(1500, 2)
+    size, pairs = wrapper.matching(a, b)
+    assert size == len(pairs) == 2 + 3000 + 1
+    assert [x[1] for x, y in pairs if x[1] == y[1]] == [a[2][0][2][-1][1]]
+    assert wrapper.matching(a, json.loads(json.dumps(a)))[0] == 6000 + 3
+
+
 def test_chat_layouts(spark):
     texts = ["</s>[INST] ok [/INST]", "\\ <|im_end|>\n<|im_start|>user", "", "plain \\n \\\\", "<<SYS>> <</SYS>> <s>"]
     table = spark.createDataFrame([(1, t, "assistant" if t % 2 else "user", x) for t, x in enumerate(texts)] + [(2, None, None, None), (2, 1, "a\nb", "x"), (None, 0, "user", "y")],
