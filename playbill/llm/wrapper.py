@@ -3,8 +3,8 @@
 Each page is parsed into a tree of containers (elements that hold blocks), every container with a checksum of its text. One page
 of a host, chosen by hash, is the pivot; all its other pages are aligned with it by simple tree matching, and for each
 pivot node the pages that carry each text there are counted. A node of the same text in at least ``CONSTANT`` of the distinct
-pages (and at least ``LEAST_PAGES`` of them) is template; all other nodes are slots. A page's main text is the blocks of its
-slots, found by aligning the page with the wrapper again. The unit of a template is a container: a paragraph inside a varying
+pages (and at least ``LEAST_PAGES`` of them) is template with that text; nodes of other text are slots, also where they are aligned
+with it. A page's main text is the blocks of its slots, found by aligning the page with the wrapper again. The unit of a template is a container: a paragraph inside a varying
 container is content, however often it occurs.
 
 Slots may also vary inside menus, adverts or footers, so nodes whose tag, role, class or id names such a part are
@@ -12,7 +12,7 @@ never content, on any host. Where a page has an ``article`` or ``main`` element,
 
 A host may hold any share of the pages: pages travel as narrow skeletons, joined with pivots under salted keys, and counts are
 summed in each task before they are shuffled. Null html is an empty text, as is a page without content. Hosts of one page have
-no template. Repeated pages count once in a wrapper (by checksum) and give repeated results. Broken markup is read as far as
+no template. Pages of equal text outside the parts that are never content count once in a wrapper (by checksum) and give repeated results. Broken markup is read as far as
 it goes. Empty tables give no rows."""
 
 from __future__ import annotations
@@ -330,14 +330,15 @@ def host_of(url):
 
 
 def induced(pages: DataFrame) -> DataFrame:
-    """(host, pivot, template): the pivot's skeleton and the numbers of its template nodes, for hosts of at least LEAST_PAGES pages."""
+    """(host, pivot, template): the pivot's skeleton and its template nodes as numbers with the checksum of their constant text,
+    for hosts of at least LEAST_PAGES pages."""
     def skeletons(batch):
-        trees = [json.dumps(skeleton(parse(t.decode())), separators=(",", ":")) for t in binary(batch, "html")]
-        return [trees]
+        trees = [skeleton(parse(t.decode())) for t in binary(batch, "html")]
+        return [[t[1] for t in trees], [json.dumps(t, separators=(",", ":")) for t in trees]]
 
-    narrow = add_columns(pages.select(host_of(F.col("url")).alias("host"), "html"), "tree string", skeletons).select("host", "tree")
-    # Pages of one skeleton and one set of texts are one page for the wrapper.
-    narrow = written(narrow.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("copies")).withColumn("page", F.xxhash64("host", "tree")), "skeletons")
+    narrow = add_columns(pages.select(host_of(F.col("url")).alias("host"), "html"), "body string, tree string", skeletons).select("host", "body", "tree")
+    # Pages of one text outside the parts that are never content are one page for the wrapper.
+    narrow = written(narrow.groupBy("host", "body").agg(F.min("tree").alias("tree")).withColumn("page", F.xxhash64("host", "tree")), "skeletons")
     hosts = narrow.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.min_by("tree", "page").alias("pivot")).where(F.col("pages") >= LEAST_PAGES)
     salted = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     met = narrow.withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"])
@@ -358,19 +359,19 @@ def induced(pages: DataFrame) -> DataFrame:
             yield [k[0] for k in counts], [k[1] for k in counts], [k[2] for k in counts], list(counts.values())
 
     counted = map_rows(met.select("host", "tree", "pivot"), "host string, node int, text string, n long", align)
-    same = counted.groupBy("host", "node", "text").agg(F.sum("n").alias("n")).groupBy("host", "node").agg(F.max("n").alias("n"))
+    same = counted.groupBy("host", "node", "text").agg(F.sum("n").alias("n")).groupBy("host", "node").agg(F.max_by("text", "n").alias("text"), F.max("n").alias("n"))
     template = same.join(hosts.select("host", "pages"), "host").where(F.col("n") >= CONSTANT * F.col("pages")).groupBy("host").agg(
-        F.array_sort(F.collect_list("node")).alias("template"))
+        F.map_from_entries(F.collect_list(F.struct("node", "text"))).alias("template"))
     return hosts.select("host", "pivot").join(template, "host", "left")
 
 
-def main_text(source: str, pivot: list | None, template: set[int]) -> str:
+def main_text(source: str, pivot: list | None, template: dict[int, str]) -> str:
     root = parse(source)
     drop = set()
     if pivot is not None and template:
         mine = skeleton(root)
         order = numbered(pivot)
-        constant = {id(m) for m, p in matching(mine, pivot)[1] if order[id(p)] in template}
+        constant = {id(m) for m, p in matching(mine, pivot)[1] if template.get(order[id(p)]) == m[1] != ""}
         queue = [(root, mine)]
         for node, spot in queue:
             if id(spot) in constant:
@@ -387,7 +388,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     def run(batch):
         out = []
         for source, pivot, template in zip(binary(batch, "html"), batch.column("_pivot").to_pylist(), batch.column("_template").to_pylist()):
-            out.append(main_text(source.decode(), json.loads(pivot) if pivot and template else None, set(template or ())))
+            out.append(main_text(source.decode(), json.loads(pivot) if pivot and template else None, dict(template or ())))
         return [out]
 
     found = wrappers.select(F.col("host").alias("_host"), F.when(F.col("template").isNotNull(), F.col("pivot")).alias("_pivot"), F.col("template").alias("_template"))

@@ -88,6 +88,15 @@ def test_tree_matching():
     assert size == 4 and [(x[1], y[1]) for x, y in pairs if x[1]] == [("4", "4"), ("2", "9"), ("3", "3")] or size == 4
 
 
+def test_own_text_in_a_constant_slot_stays(spark):
+    page = "<body><div class=top>{}</div><div class=main><p>{}</p></div><nav>{}</nav></body>"
+    rows = [(i, f"http://h/{i}", page.format("Own words" if i == 3 else "Same words", f"text {i}", "menu")) for i in range(20)]
+    rows += [(100 + i, f"http://copies/{i}", page.format("Top", "One body" if i < 60 else f"body {i}", f"menu {i}")) for i in range(64)]
+    got = {r.page_id: r.text for r in wrapper.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == ("Own words\n" if i == 3 else "") + f"text {i}" for i in range(20))
+    assert all(got[100 + i] == ("One body" if i < 60 else f"body {i}") for i in range(64)), got
+
+
 def test_large_pages_are_aligned_whole():
     page = lambda n, i: wrapper.skeleton(wrapper.parse("<body>" + "".join(f"<div><div>text {i} {k}</div></div>" for k in range(n)) + "<div>Same words</div></body>"))
     a, b = page(3000, 1), page(1500, 2)
