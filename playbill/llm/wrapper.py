@@ -1,7 +1,8 @@
 """Main text of web pages by wrapper induction over pages of one host.
 
-Each page is parsed into a tree of containers (elements that hold blocks), every container with a checksum of its text. One page
-of a host, chosen by hash, is the pivot; all its other pages are aligned with it by simple tree matching, and for each
+Each page is parsed into a tree of containers (elements that hold blocks), every container with a checksum of its text. A host's
+pages are told apart by layout (the kinds of their top containers); layouts of fewer than ``LEAST_PAGES`` pages use a wrapper of
+the whole host. One page of a layout, chosen by hash, is the pivot; all other pages are aligned with it by simple tree matching, and for each
 pivot node the pages that carry each text there are counted. A node of the same text in at least ``CONSTANT`` of the distinct
 pages (and at least ``LEAST_PAGES`` of them) is template with that text; nodes of other text are slots, also where they are aligned
 with it. A page's main text is the blocks of its slots, found by aligning the page with the wrapper again. The unit of a template is a container: a paragraph inside a varying
@@ -329,40 +330,57 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
+def layout_of(tree: list) -> str:
+    """Checksum of the kinds of a page's top containers: their tags and classes without digits, each once, below html and body."""
+    tops = [tree]
+    while len(tops) == 1 and tops[0][0].split(" ")[0] in ("html", "body") and tops[0][2]:
+        tops = next(([c] for c in tops[0][2] if c[0].split(" ")[0] in ("html", "body")), tops[0][2])
+    kinds = {" ".join(w for w in t[0].split(" ") if w[:1] != "#" and not re.search(r"\d", w)) for t in tops}
+    return hashlib.blake2b("\n".join(sorted(kinds)).encode(), digest_size=8).hexdigest()
+
+
 def induced(pages: DataFrame) -> DataFrame:
-    """(host, pivot, template): the pivot's skeleton and its template nodes as numbers with the checksum of their constant text,
-    for hosts of at least LEAST_PAGES pages."""
+    """(host, layout, pivot, template): a pivot's skeleton and its template nodes as numbers with the checksum of their text, of the
+    layout if it has at least LEAST_PAGES pages, else of the whole host. Layouts without template have no row."""
     def skeletons(batch):
         trees = [skeleton(parse(t.decode())) for t in binary(batch, "html")]
-        return [[t[1] for t in trees], [json.dumps(t, separators=(",", ":")) for t in trees]]
-
-    narrow = add_columns(pages.select(host_of(F.col("url")).alias("host"), "html"), "body string, tree string", skeletons).select("host", "body", "tree")
-    # Pages of one text outside the parts that are never content are one page for the wrapper.
-    narrow = written(narrow.groupBy("host", "body").agg(F.min("tree").alias("tree")).withColumn("page", F.xxhash64("host", "tree")), "skeletons")
-    hosts = narrow.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.min_by("tree", "page").alias("pivot")).where(F.col("pages") >= LEAST_PAGES)
+        return [[layout_of(t) for t in trees], [t[1] for t in trees], [json.dumps(t, separators=(",", ":")) for t in trees]]
+
+    made = add_columns(pages.select(host_of(F.col("url")).alias("host"), "html"), "layout string, body string, tree string", skeletons)
+    # Pages of one layout and one text outside the parts that are never content are one page for the wrapper.
+    narrow = written(made.groupBy("host", "layout", "body").agg(F.min("tree").alias("tree")).withColumn("page", F.xxhash64("host", "tree")), "skeletons")
+    chosen = (F.count(F.lit(1)).alias("pages"), F.min_by("tree", "page").alias("pivot"))
+    layouts = narrow.groupBy("host", "layout").agg(*chosen)
+    large, small = layouts.where(F.col("pages") >= LEAST_PAGES), layouts.where(F.col("pages") < LEAST_PAGES)
+    mixed = narrow.join(small.select("host").distinct(), "host", "left_semi").withColumn("layout", F.lit(""))
+    hosts = large.unionByName(mixed.groupBy("host", "layout").agg(*chosen).where(F.col("pages") >= LEAST_PAGES))
+    hosts = written(hosts, "pivots")
     salted = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = narrow.withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"])
+    met = narrow.unionByName(mixed).withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int")).join(salted, ["host", "layout", "salt"])
 
     def align(batches):
         for batch in batches:
             counts: dict[tuple, int] = {}
-            pivots: dict[str, tuple] = {}
-            for host, tree, pivot in zip(*(batch.column(c).to_pylist() for c in ("host", "tree", "pivot"))):
-                if host not in pivots:
+            pivots: dict[tuple, tuple] = {}
+            for host, layout, tree, pivot in zip(*(batch.column(c).to_pylist() for c in ("host", "layout", "tree", "pivot"))):
+                if (host, layout) not in pivots:
                     parsed = json.loads(pivot)
-                    pivots[host] = (parsed, numbered(parsed))
-                against, order = pivots[host]
+                    pivots[host, layout] = (parsed, numbered(parsed))
+                against, order = pivots[host, layout]
                 for mine, theirs in matching(json.loads(tree), against)[1]:
                     if mine[1] and theirs is not against:
-                        spot = (host, order[id(theirs)], mine[1])
+                        spot = (host, layout, order[id(theirs)], mine[1])
                         counts[spot] = counts.get(spot, 0) + 1
-            yield [k[0] for k in counts], [k[1] for k in counts], [k[2] for k in counts], list(counts.values())
+            yield [*([k[i] for k in counts] for i in range(4)), list(counts.values())]
 
-    counted = map_rows(met.select("host", "tree", "pivot"), "host string, node int, text string, n long", align)
-    same = counted.groupBy("host", "node", "text").agg(F.sum("n").alias("n")).groupBy("host", "node").agg(F.max_by("text", "n").alias("text"), F.max("n").alias("n"))
-    template = same.join(hosts.select("host", "pages"), "host").where(F.col("n") >= CONSTANT * F.col("pages")).groupBy("host").agg(
+    counted = map_rows(met.select("host", "layout", "tree", "pivot"), "host string, layout string, node int, text string, n long", align)
+    same = counted.groupBy("host", "layout", "node", "text").agg(F.sum("n").alias("n")).groupBy("host", "layout", "node").agg(
+        F.max_by("text", "n").alias("text"), F.max("n").alias("n"))
+    template = same.join(hosts.select("host", "layout", "pages"), ["host", "layout"]).where(F.col("n") >= CONSTANT * F.col("pages")).groupBy("host", "layout").agg(
         F.map_from_entries(F.collect_list(F.struct("node", "text"))).alias("template"))
-    return hosts.select("host", "pivot").join(template, "host", "left")
+    wrappers = hosts.select("host", "layout", "pivot").join(template, ["host", "layout"])
+    whole = wrappers.where("layout = ''").drop("layout").join(small.select("host", "layout"), "host")
+    return wrappers.where("layout <> ''").unionByName(whole)
 
 
 def main_text(source: str, pivot: list | None, template: dict[int, str]) -> str:
@@ -385,15 +403,19 @@ def extracted(pages: DataFrame) -> DataFrame:
     """The pages (page_id, url, html) with ``text``, their main text."""
     wrappers = written(induced(pages), "wrappers")
 
+    def layouts(batch):
+        return [[layout_of(skeleton(parse(t.decode()))) for t in binary(batch, "html")]]
+
     def run(batch):
         out = []
         for source, pivot, template in zip(binary(batch, "html"), batch.column("_pivot").to_pylist(), batch.column("_template").to_pylist()):
             out.append(main_text(source.decode(), json.loads(pivot) if pivot and template else None, dict(template or ())))
         return [out]
 
-    found = wrappers.select(F.col("host").alias("_host"), F.when(F.col("template").isNotNull(), F.col("pivot")).alias("_pivot"), F.col("template").alias("_template"))
-    rows = pages.join(found.where("_template is not null"), host_of(pages["url"]) == found["_host"], "left")
-    return add_columns(rows, "text string", run).drop("_host", "_pivot", "_template")
+    found = wrappers.select(F.col("host").alias("_host"), F.col("layout").alias("_of"), F.col("pivot").alias("_pivot"), F.col("template").alias("_template"))
+    rows = add_columns(pages, "_layout string", layouts)
+    rows = rows.join(found, (host_of(rows["url"]) == found["_host"]) & (rows["_layout"] == found["_of"]), "left")
+    return add_columns(rows, "text string", run).drop("_host", "_of", "_layout", "_pivot", "_template")
 
 
 def digest(pages: DataFrame) -> DataFrame:

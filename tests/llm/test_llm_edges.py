@@ -97,6 +97,17 @@ def test_own_text_in_a_constant_slot_stays(spark):
     assert all(got[100 + i] == ("One body" if i < 60 else f"body {i}") for i in range(64)), got
 
 
+def test_layouts_of_one_host(spark):
+    one = "<body><div class=main><p>text {0}</p></div><div class=legal>Legal words</div></body>"
+    other = "<body><section class=story><p>text {0}</p></section><section class=about>About words</section></body>"
+    third = "<body><div class=main><p>text {0}</p></div><div class=legal>Legal words</div><ul class=list><li>item {0}</li></ul></body>"
+    kinds = [one] * 12 + [other] * 8 + [third] * 2
+    rows = [(i, f"http://h/{i}", k.format(i)) for i, k in enumerate(kinds)]
+    got = {r.page_id: r.text for r in wrapper.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"text {i}" for i in range(20)), got
+    assert [got[i] for i in (20, 21)] == ["text 20\nLegal words\nitem 20", "text 21\nLegal words\nitem 21"]
+
+
 def test_large_pages_are_aligned_whole():
     page = lambda n, i: wrapper.skeleton(wrapper.parse("<body>" + "".join(f"<div><div>text {i} {k}</div></div>" for k in range(n)) + "<div>Same words</div></body>"))
     a, b = page(3000, 1), page(1500, 2)
