@@ -42,3 +42,9 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     path = new_run_dir(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``new_run_dir`` named, once nothing will read it again."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
