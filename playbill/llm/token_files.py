@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +36,19 @@ END = 2
 MAX_BITS = 20
 BLOCK, STEP = 65_536, 256
 #: Bytes of text that are split at once, bytes of a piece that is kept, pieces kept.
-SLICE, LONG, MEMORY = 4 << 20, 64, 500_000
+SLICE, LONG, MEMORY = 4 << 20, 64, 800_000
 
 
 # Ids of texts.
 
+# Characters before LATIN_END are composed already, and the marks are neither letters, digits nor white space. Bytes that
+# print stand for themselves in the vocabulary, the others for characters from 256 on.
+LATIN_END = "\u0250"
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
+
+
 class _Pieces(dict):
     """Packed ids by piece of text."""
 
@@ -48,22 +57,52 @@ class _Pieces(dict):
 
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.coder, self.kind = Tokenizer.from_str(vocabulary), kind
+        self.coder, self.code = Tokenizer.from_str(vocabulary), np.dtype(kind).char
+        self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self.coder.encode_special_tokens = True
 
     def learn(self, pieces: set[bytes]) -> None:
-        new = list(pieces)
-        for piece, ids in zip(new, self.coder.encode_batch([p.decode() for p in new], add_special_tokens=False), strict=True):
-            self[piece] = np.array(ids.ids, self.kind).tobytes()
+        """Pieces of Latin letters and marks are lower-cased and parted from the marks at their end, as the normalizer and the pattern of the
+        vocabulary do; the words of letters alone then meet its model directly. Others are encoded as they are."""
+        rest, words, code = [], self.words, self.code
+        tokenize = self.coder.model.tokenize
+        for piece in pieces:
+            text = piece.decode()
+            plain = text.isascii()
+            if plain or max(text) < LATIN_END:
+                text = text.lower()
+                word = text.rstrip(MARKS)
+                ids = words.get(word)
+                if ids is None and word.isalpha():
+                    letters = word if plain else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+                    words[word] = ids = array(code, [t.id for t in tokenize(letters)]).tobytes()
+                if ids is not None:
+                    if len(word) < len(text):
+                        marks = text[len(word):]
+                        if marks not in self.marks:
+                            self.marks[marks], = self._whole([marks])
+                        ids += self.marks[marks]
+                    self[piece] = ids
+                    continue
+            rest.append(piece)
+        self.update(zip(rest, self._whole([p.decode() for p in rest]), strict=True))
+        for kept in (words, self.marks):
+            if len(kept) > MEMORY:
+                kept.clear()
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encoded(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        self.learn(set().union(*split).difference(self))
+        new = set().union(*split).difference(self)
+        self.learn(new)
         ids = [b"".join(map(self.__getitem__, pieces)) for pieces in split]
+        for long in [p for p in new if len(p) > LONG]:
+            del self[long]
         if len(self) > MEMORY:
             self.clear()
-        for long in [p for p in self if len(p) > LONG]:
-            del self[long]
         return ids
 
 
@@ -119,10 +158,9 @@ def id_counts(tokens: DataFrame, kind: str) -> dict[int, int]:
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column("ids").to_pylist():
-                n = np.bincount(np.frombuffer(ids, kind), minlength=len(total))
-                n[:len(total)] += total
-                total = n
+            n = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind), minlength=len(total))
+            n[:len(total)] += total
+            total = n
         found = np.flatnonzero(total)
         yield [found.tolist(), total[found].tolist()]
 
@@ -311,17 +349,23 @@ def _times(matrix: list[int], vector: int) -> int:
     return out
 
 
-def joined_crc(first: int, second: int, size: int) -> int:
-    """CRC-32 of two byte strings one after the other, ``size`` being the length of the second: the first is moved on by zero bytes,
-    whose effect is a matrix over bits, squared for each binary digit of the length."""
+def zero_bytes() -> list[list[int]]:
+    """What 1, 2, 4, ... zero bytes do to a CRC-32, as matrices over its bits; enough for any length of a long."""
     step = [0xEDB88320] + [1 << k for k in range(31)]  # one zero bit
     for _ in range(3):
         step = [_times(step, row) for row in step]  # eight: one byte
-    while size:
-        if size & 1:
-            first = _times(step, first)
+    found = []
+    for _ in range(63):
+        found.append(step)
         step = [_times(step, row) for row in step]
-        size >>= 1
+    return found
+
+
+def joined_crc(first: int, second: int, size: int, zeros: list[list[int]]) -> int:
+    """CRC-32 of two byte strings one after the other, ``size`` being the length of the second: that of the first is moved on by so many zero bytes."""
+    for k in range(size.bit_length()):
+        if size >> k & 1:
+            first = _times(zeros[k], first)
     return first ^ second
 
 
@@ -333,12 +377,13 @@ def digest(documents: DataFrame, vocabulary: str, path: str, end: int = END) ->
     keys = ["shard", "at", "doc_id", "n"]
 
     def joined(batches):
+        zeros = zero_bytes()
         for batch in batches:
             out = []
             for several in batch.column("parts").to_pylist():
                 crc = 0
                 for part in several:
-                    crc = joined_crc(crc, part["crc"], 4 * part["count"])
+                    crc = joined_crc(crc, part["crc"], 4 * part["count"], zeros)
                 out.append(crc)
             yield [*(batch.column(k) for k in keys), out]
 
