@@ -15,8 +15,6 @@ share a fingerprint; a null doc_id is never the name of a group unless the group
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -31,14 +29,6 @@ SPLIT_ROWS = 20_000
 FRONTIER = 400_000
 UNITS_ROWS = 60_000
 
-#: Near copies of texts: shingles of five words, at a Jaccard similarity of 0.8 or more.
-COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
-#: Fingerprints for them: TABLES of TABLE_BITS, one bit of a least hash each, joined within TABLE_BUDGET.
-TABLES, TABLE_BITS, TABLE_BUDGET, SETS = 12, 48, 3, 3
-#: Closest unconfirmed neighbours that a text proposes in a second round; MORE times as many in each further one, until none is left out.
-NEIGHBOURS, MORE = 4, 8
-ODD = np.array([int.from_bytes(hashlib.sha256(b"%d" % i).digest()[:8], "little") | 1 for i in range(SETS * TABLE_BITS)], np.uint64)
-
 
 # Fingerprints.
 
@@ -105,29 +95,12 @@ class _Forest:
         return True
 
 
-def node_pairs(values: np.ndarray, pairs: np.ndarray, depth: np.ndarray, bits: int, budget: int, group: np.ndarray | None = None):
-    """Descends from the given node pairs; yields arrays (position, position, differing bits) of values within the budget.
+def node_pairs(values: np.ndarray, pairs: np.ndarray, depth: np.ndarray, bits: int, budget: int):
+    """Descends from the given node pairs; yields arrays (position, position) of distinct values within the budget.
 
     ``values`` are sorted within each node; a node is a range [lo, hi) of positions, a pair is (lo, hi, lo, hi, spent), a node
-    with itself if both ranges are equal. ``depth`` is the level at which each pair starts. With ``group`` (a number for each
-    position) values may repeat, and only pairs of different groups are yielded; node pairs of one group are not descended."""
+    with itself if both ranges are equal. ``depth`` is the level at which each pair starts."""
     zeros: dict[int, np.ndarray] = {}
-    runs = None if group is None else np.concatenate(([0], np.cumsum(group[1:] != group[:-1])))
-
-    def repeats(front):
-        """Pairs of different groups below pairs of whole values, in bounded parts."""
-        held, size = [], 0
-        for a0, a2, b0, b2, spent in front.tolist():
-            for x in range(a0, a2):
-                first = x + 1 if a0 == b0 else b0
-                other = first + np.flatnonzero(group[first:b2] != group[x])
-                held.append((np.full(len(other), x), other, np.full(len(other), spent)))
-                size += len(other)
-                if size >= FRONTIER:
-                    yield tuple(np.concatenate(c) for c in zip(*held))
-                    held, size = [], 0
-        if size:
-            yield tuple(np.concatenate(c) for c in zip(*held))
 
     def split(lo, hi, level):
         """Where the branch of ones starts."""
@@ -142,20 +115,15 @@ def node_pairs(values: np.ndarray, pairs: np.ndarray, depth: np.ndarray, bits: i
             half = len(front) // 2
             waiting += [(level, front[:half]), (level, front[half:])]
             continue
-        if runs is not None:
-            a0, a2, b0, b2, _ = front.T
-            front = front[(runs[a0] != runs[a2 - 1]) | (runs[b0] != runs[b2 - 1]) | (group[a0] != group[b0])]
         single = (front[:, 1] - front[:, 0] == 1) & (front[:, 3] - front[:, 2] == 1)
         leaves = front[single & (front[:, 0] != front[:, 2])]
         if len(leaves):
             spent = np.bitwise_count(values[leaves[:, 0]] ^ values[leaves[:, 2]])
             near = spent <= budget
             if near.any():
-                yield leaves[near, 0], leaves[near, 2], spent[near]
+                yield leaves[near, 0], leaves[near, 2]
         front = front[~single]
         if not len(front) or level >= bits:
-            if group is not None:
-                yield from repeats(front)
             continue
         a0, a2, b0, b2, spent = front.T
         a1, b1 = split(a0, a2, level), split(b0, b2, level)
@@ -192,49 +160,22 @@ def _unit_pairs(columns: dict[str, np.ndarray], bits: int, block_bits: int):
 
 
 def _joined_units(columns: dict[str, np.ndarray], bits: int, block_bits: int, budget: int):
-    """Forest edges of whole units; columns are sorted by unit and value."""
+    """Forest edges of whole units; columns are sorted by unit and value. Pairs go into the forest as they are found."""
     values, ids = columns["value"], columns["id"]
     pairs, depths = _unit_pairs(columns, bits, block_bits)
-    forest, left, right, near = _Forest(), [], [], []
-    for a, b, spent in node_pairs(values, pairs, depths, bits, budget):
-        near.append(np.stack((spent.astype(np.int64), a, b), 1))
-    if near:
-        for _, a, b in np.concatenate(near)[np.argsort(np.concatenate(near)[:, 0], kind="stable")].tolist():
+    forest, left, right = _Forest(), [], []
+    for found in node_pairs(values, pairs, depths, bits, budget):
+        for a, b in zip(*(f.tolist() for f in found)):
             if forest.join(a, b):
                 left.append(int(ids[a]))
                 right.append(int(ids[b]))
     return left, right
 
 
-def _closest(pairs: np.ndarray, neighbours: int) -> np.ndarray:
-    """Of pairs (distance, position, position), those among the closest ``neighbours`` of either end."""
-    ends, at = np.concatenate((pairs[:, 1], pairs[:, 2])), np.tile(np.arange(len(pairs)), 2)
-    order = np.lexsort((at, pairs[at, 0], ends))
-    new = np.concatenate(([True], ends[order][1:] != ends[order][:-1]))
-    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    return pairs[np.unique(at[order[rank < neighbours]])]
-
-
-def _proposed_units(columns: dict[str, np.ndarray], bits: int, block_bits: int, budget: int, neighbours: int):
-    """The closest pairs of different groups in whole units, by distance of the sketches; a pair of nulls if any were left out."""
-    sketches = np.frombuffer(b"".join(columns["sketch"]), np.uint64).reshape(len(columns["id"]), -1)
-    pairs, depths = _unit_pairs(columns, bits, block_bits)
-    kept, full = np.zeros((0, 3), np.int64), False
-    for a, b, _ in node_pairs(columns["value"], pairs, depths, bits, budget, columns["group"]):
-        apart = np.concatenate([np.bitwise_count(sketches[a[i:i + 65536]] ^ sketches[b[i:i + 65536]]).sum(1, dtype=np.int64) for i in range(0, len(a), 65536)])
-        met = np.concatenate((kept, np.stack((apart, a, b), 1)))
-        kept = _closest(met, neighbours)
-        full |= len(kept) < len(met)
-    mark = [None] * full
-    return columns["id"][kept[:, 1]].tolist() + mark, columns["id"][kept[:, 2]].tolist() + mark
-
-
-def trie_links(prints: DataFrame, bits: int = BITS, budget: int = BUDGET, split_rows: int = SPLIT_ROWS, neighbours: int | None = None) -> DataFrame:
+def trie_links(prints: DataFrame, bits: int = BITS, budget: int = BUDGET, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Links (a, b) of ids whose prints of one part differ in at most ``budget`` bits: a spanning forest of every sub-trie.
 
-    ``prints`` has (part, print, id) with distinct (part, print); parts are joined apart from one another. With ``neighbours``, prints
-    may repeat and carry (group, sketch): the links are then, of all pairs of different groups within the budget, those to the closest
-    neighbours of either end by sketch, and a link of nulls tells that there are more."""
+    ``prints`` has (part, print, id) with distinct (part, print); parts are joined apart from one another."""
     blocks = budget + 1
     block_bits = bits // blocks
     full = (1 << bits) - 1
@@ -249,9 +190,8 @@ def trie_links(prints: DataFrame, bits: int = BITS, budget: int = BUDGET, split_
         return turned.bitwiseAND(F.lit(signed(full)))
 
     turns = F.array(*(F.struct(F.lit(k).alias("k"), rotated(k).alias("value")) for k in range(blocks)))
-    also = ("group", "sketch") if neighbours else ()
-    rows = prints.select("part", "id", *also, F.explode(turns).alias("t")).select(
-        (F.col("part") * blocks + F.col("t.k")).cast("int").alias("part"), "id", *also, F.col("t.value").alias("value"))
+    rows = prints.select("part", "id", F.explode(turns).alias("t")).select(
+        (F.col("part") * blocks + F.col("t.k")).cast("int").alias("part"), "id", F.col("t.value").alias("value"))
     rows = rows.withColumn("block", F.shiftrightunsigned("value", bits - block_bits))
     sizes = rows.groupBy("part", "block").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = rows.join(sizes, ["part", "block"])
@@ -263,8 +203,8 @@ def trie_links(prints: DataFrame, bits: int = BITS, budget: int = BUDGET, split_
     node = F.expr(f"shiftright(value, {bits - block_bits} - cut) & (shiftleft(1L, cut) - 1)")
     rows = rows.withColumn("node", node).withColumn("mask", F.explode(F.get(table, F.col("cut"))))
     other = F.col("node").bitwiseXOR(F.col("mask"))
-    units = rows.select("part", "block", "cut", F.least("node", other).alias("low"), F.greatest("node", other).alias("high"), "value", "id", *also)
-    names = ("part", "block", "cut", "low", "high", "value", "id", *also)
+    units = rows.select("part", "block", "cut", F.least("node", other).alias("low"), F.greatest("node", other).alias("high"), "value", "id")
+    names = ("part", "block", "cut", "low", "high", "value", "id")
 
     def run(batches):
         held: list[dict[str, np.ndarray]] = []
@@ -285,7 +225,7 @@ def trie_links(prints: DataFrame, bits: int = BITS, budget: int = BUDGET, split_
             if not end:
                 return [], []
             whole = {n: v[:end] for n, v in columns.items()}
-            return _proposed_units(whole, bits, block_bits, budget, neighbours) if neighbours else _joined_units(whole, bits, block_bits, budget)
+            return _joined_units(whole, bits, block_bits, budget)
 
         for batch in batches:
             got = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
@@ -299,7 +239,7 @@ def trie_links(prints: DataFrame, bits: int = BITS, budget: int = BUDGET, split_
 
     # Signed order differs from the trie's for values with the top bit set, so the sort flips that bit.
     order = F.col("value").bitwiseXOR(F.lit(-(1 << 63))) if bits == 64 else F.col("value")
-    dealt = units.repartition("part", "block", "low", "high").sortWithinPartitions("part", "block", "low", "high", order, *also[:1])
+    dealt = units.repartition("part", "block", "low", "high").sortWithinPartitions("part", "block", "low", "high", order)
     return map_rows(dealt, "a long, b long", run).distinct()
 
 
@@ -327,15 +267,18 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, size: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """(doc_id, print, component_id): documents whose prints are linked, directly or through others, share the smallest doc_id."""
-    rows = written(fingerprinted(documents.select("doc_id", "text"), size), "prints")
+    """(doc_id, check, print, label, component_id): documents whose prints are linked, directly or through others, share a label, and the smallest
+    doc_id as component_id (null if no document of them has one). ``check`` is a checksum of the text."""
+    text = documents["`text`"]
+    bare = documents.select(documents["`doc_id`"], text, F.xxhash64(text).alias("check"))
+    rows = written(fingerprinted(bare, size).select("doc_id", "check", "print"), "prints")
     classes = rows.groupBy("print").agg(F.min("doc_id").alias("least"))
     links = trie_links(classes.select(F.lit(0).alias("part"), "print", F.col("print").alias("id")), BITS, budget)
     labels = components(links)
     named = classes.join(labels, classes["print"] == labels["node"], "left").withColumn("label", F.coalesce("label", "print"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = named.select("print", "label").join(least, "label").select("print", "component_id")
-    return rows.select("doc_id", "print").join(named, "print")
+    named = named.select("print", "label").join(least, "label").select("print", "label", "component_id")
+    return rows.join(named, "print").select("doc_id", "check", "print", "label", "component_id")
 
 
 def digest(documents: DataFrame) -> DataFrame:
@@ -343,117 +286,21 @@ def digest(documents: DataFrame) -> DataFrame:
     return near_duplicates(documents).select("doc_id", hexes.alias("fingerprint"), "component_id")
 
 
-# Near copies of texts, for keeping one document of each group.
-
-def _least_hashes(hashes: np.ndarray) -> np.ndarray:
-    """Least value of the shingles under SETS * TABLE_BITS multiplicative hashes."""
-    n = len(ODD)
-    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    mixed = hashes ^ (hashes >> np.uint64(31))
-    for at in range(0, len(mixed), 2048):
-        with np.errstate(over="ignore"):
-            least = np.minimum(least, (mixed[at:at + 2048, None] * ODD).min(0))
-    return least
-
-
-def table_prints(hashes: np.ndarray) -> list[int]:
-    """TABLES prints of TABLE_BITS bits: bit i of table t is one bit of the i-th least hash of set t mod SETS."""
-    least = _least_hashes(hashes)
-    least = least ^ (least >> np.uint64(29))
-    with np.errstate(over="ignore"):
-        least = (least * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)
-    out = []
-    for t in range(TABLES):
-        part = least[(t % SETS) * TABLE_BITS:(t % SETS + 1) * TABLE_BITS]
-        ones = (part >> np.uint64(t // SETS)) & np.uint64(1)
-        out.append(int((ones << np.arange(TABLE_BITS, dtype=np.uint64)).sum()))
-    return out
-
-
-def copy_sketches(documents: DataFrame) -> DataFrame:
-    """The documents with ``same`` (a checksum of the words in order) and ``prints`` (the tables' prints)."""
-    def run(batch):
-        same, prints = [], []
-        for text in binary(batch, "text"):
-            same.append(hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16).digest())
-            prints.append(table_prints(shingle_hashes(text, COPY_SHINGLE)))
-        return [same, prints]
-
-    return add_columns(documents, "same binary, prints array<long>", run)
-
-
-def compared(links: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links (a, b) with ``near``: whether their texts (id, text) have a Jaccard similarity of at least COPY_SIMILARITY."""
-    def hashed(batch):
-        return [[np.unique(shingle_hashes(t, COPY_SHINGLE)).tobytes() for t in binary(batch, "text")]]
-
-    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
-    sets = written(add_columns(texts.join(ends, "id", "left_semi").select("id", "text"), "shingles binary", hashed).select("id", "shingles"), "shingles")
-    pairs = links.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    pairs = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-
-    def near(batch):
-        out = []
-        for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both >= COPY_SIMILARITY * (len(x) + len(y) - both))
-        return [out]
-
-    return add_columns(pairs.select("a", "b", "sa", "sb"), "near boolean", near).select("a", "b", "near")
-
-
-def ordered_links(links: DataFrame) -> DataFrame:
-    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-
-
-def confirmed_components(links: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, label) of the components of all pairs within the budget whose similarity is confirmed, of nodes with a confirmed link.
-
-    ``links`` connect all that lies within the budget, but a forest or star passes over pairs, so a link that fails may hide one that
-    holds. Connected sets in which the confirmed links leave several components are therefore joined again, on pairs of different
-    components only: each text proposes its closest neighbours, then more and more, until no pair within the budget is unseen."""
-    seen = written(compared(links, texts), "compared")
-    labels = components(seen.where("near"))
-    if seen.where("not near").isEmpty():
-        return labels
-    cells = written(components(links).select(F.col("node").alias("id"), F.col("label").alias("cell")), "cells")
-    neighbours = NEIGHBOURS
-    while True:
-        state = cells.join(labels.select(F.col("node").alias("id"), F.col("label").alias("group")), "id", "left").withColumn("group", F.coalesce("group", "id"))
-        open_ = state.groupBy("cell").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("cell")
-        rows = written(classes.join(state.join(open_, "cell").select("id", "group"), "id").select("id", "group", "prints"), "open")
-        sketch = F.concat(*(F.unhex(F.lpad(F.hex(F.get("prints", F.lit(t))), 16, "0")) for t in range(TABLES)))
-        prints = rows.select("id", "group", sketch.alias("sketch"), F.posexplode("prints").alias("part", "print"))
-        found = written(trie_links(prints, TABLE_BITS, TABLE_BUDGET, neighbours=neighbours), "proposed")
-        fresh = written(ordered_links(found).join(seen.select("a", "b"), ["a", "b"], "left_anti"), "fresh")
-        if not fresh.isEmpty():
-            now = written(compared(fresh, texts), "compared")
-            seen = seen.unionByName(now)
-            if not now.where("near").isEmpty():
-                labels = components(seen.where("near"))
-        if found.where("a is null").isEmpty():
-            return labels
-        neighbours *= MORE
-
-
-def one_of_each(documents: DataFrame) -> DataFrame:
-    """The documents without those that repeat, or nearly repeat, the words of another with a smaller doc_id.
-
-    Texts of the same words form classes first; of each class the smallest doc_id is compared further. Classes are linked where
-    a table's prints lie within the budget and the texts' similarity is confirmed; one document of each component stays.
-    Documents with a null doc_id stay, as do all texts without words (they repeat no words)."""
-    rows = written(copy_sketches(documents.select("doc_id", "text")).select("doc_id", "same", "prints", (F.trim(F.coalesce("text", F.lit(""))) == "").alias("bare")), "sketches")
-    rows = rows.where("doc_id is not null and not bare")
-    classes = written(rows.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("prints").alias("prints")).select("id", "prints", "same"), "classes")
-    tables = classes.select("id", F.posexplode("prints").alias("part", "print")).groupBy("part", "print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    tables = written(tables, "tables")
-    across = trie_links(tables.select("part", "print", F.col("rep").alias("id")), TABLE_BITS, TABLE_BUDGET)
-    inside = classes.select("id", F.posexplode("prints").alias("part", "print")).join(
-        tables.where("n > 1").select("part", "print", "rep"), ["part", "print"]).where("id <> rep")
-    links = written(ordered_links(across.unionByName(inside.select(F.col("id").alias("a"), F.col("rep").alias("b")))), "links")
-    texts = documents.select(F.col("doc_id").alias("id"), "text").join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    labels = confirmed_components(links, classes.select("id", "prints"), texts)
-    dropped = rows.join(classes.select("same", "id"), "same").where("doc_id <> id").select("doc_id").unionByName(
-        labels.where("node <> label").select(F.col("node").alias("doc_id"))).distinct()
-    return documents.join(dropped, "doc_id", "left_anti").select(*documents.columns)
+def one_of_each(documents: DataFrame, size: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+    """One document of each group of near duplicates: the one of the smallest doc_id (null last), by checksum of the text where rows share it; all
+    columns stay. Rows that share doc_id and text are one document, of which any row stays. Texts without words form a group as any other does."""
+    rows = written(near_duplicates(documents, size, budget), "labels")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "check")
+    groups = rows.groupBy("label").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    ranked = written(rows.join(groups, "label").select("doc_id", "check", (place == F.col("first")).alias("stays")), "ranked")
+    dropped = ranked.where("not stays").select(F.col("doc_id").alias("_id"), F.col("check").alias("_check")).distinct()
+    key = documents["`doc_id`"], F.xxhash64(documents["`text`"])
+    left = documents.join(dropped, key[0].eqNullSafe(F.col("_id")) & (key[1] == F.col("_check")), "left_anti")
+    repeated = ranked.where("stays").groupBy("doc_id", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return left
+    again = repeated.select(F.col("doc_id").alias("_id"), F.col("check").alias("_check"))
+    is_again = key[0].eqNullSafe(F.col("_id")) & (key[1] == F.col("_check"))
+    row = F.struct(*(documents[f"`{c}`"] for c in documents.columns)).alias("row")
+    once = left.join(again, is_again, "left_semi").select(key[0].alias("id"), key[1].alias("check"), row).groupBy("id", "check").agg(F.first("row").alias("row"))
+    return left.join(again, is_again, "left_anti").unionByName(once.select("row.*"))

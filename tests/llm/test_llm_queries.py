@@ -138,3 +138,49 @@ def test_encoding(spark, docs):
         ids = coder.encode_ordinary(docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (
             len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(docs[r.doc_id].encode()).hexdigest())
+
+
+def test_pipeline_by_hand(spark, docs, con):
+    """Each stage by hand on what the one before it kept; the learned verdict is that of the toxicity query, held against labels above."""
+    import public_tokenizers
+    import tiktoken
+
+    import corpus_pipeline
+    from playbill.llm.byte_bpe import read_ranks
+
+    toxic = {r.doc_id for r in QUERIES["op7_toxicity_labels"](spark, SF_DIR).collect() if r.predicted}
+    kept = duck(SF_DIR)
+
+    def ask(name, columns):
+        return kept.execute(f"SELECT {columns} FROM ({ORACLES[name]})").fetchall()
+
+    left = set(docs) - toxic
+    kept.execute("CREATE TABLE whole AS SELECT * FROM documents")
+    rows = dict(kept.execute("SELECT doc_id, text FROM whole").fetchall())
+
+    def view(ids):
+        kept.execute("CREATE OR REPLACE TEMP TABLE now AS SELECT * FROM whole WHERE list_contains(?, doc_id)", [sorted(ids)])
+        kept.execute("CREATE OR REPLACE VIEW documents AS SELECT * FROM now")
+
+    view(left)
+    left = {i for i, k in ask("op5_quality_cascade", "doc_id, kept") if k}
+    prints = {i: simhash_by_hand(rows[i]) for i in sorted(left)}
+    name = {i: i for i in prints}
+
+    def root(x):
+        while name[x] != x:
+            x = name[x]
+        return x
+
+    for a in prints:
+        for b in prints:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 2:
+                x, y = sorted((root(a), root(b)))
+                name[y] = x
+    left = {root(i) for i in left}
+    view(left)
+    left = {i for i, c in ask("op8_decontaminate", "doc_id, contaminated") if not c}
+    coder = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(public_tokenizers.path(VOCABULARY)), special_tokens={})
+    got = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, SF_DIR).collect()}
+    assert got == {i: len(coder.encode_ordinary(rows[i])) for i in left}
+    assert 0 < len(left) < len(docs)
