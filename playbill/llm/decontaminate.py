@@ -42,10 +42,10 @@ def benchmark_windows(benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
 
 def hash_set(pairs) -> tuple[dict, dict]:
     """Items by window, and by anchor word the places it takes in windows: (words before it, words of the window)."""
-    windows: dict[bytes, tuple] = {}
+    windows: dict[bytes, list] = {}
     anchors: dict[bytes, set] = {}
     for gram, item in pairs:
-        windows[gram] = (*windows.get(gram, ()), item)
+        windows.setdefault(gram, []).append(item)
         words = gram.split()
         at = max(range(len(words)), key=lambda i: len(words[i]))
         anchors.setdefault(words[at], set()).add((at, len(words)))
@@ -127,7 +127,7 @@ def without_spans(marked: DataFrame) -> DataFrame:
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
     """The documents in which no benchmark window occurs, with all their columns."""
-    marked = contaminated_spans(documents.select(F.struct(*documents.columns).alias("_row"), "text"), benchmark, n)
+    marked = contaminated_spans(documents.select(F.struct(*(documents[f"`{c}`"] for c in documents.columns)).alias("_row"), "text"), benchmark, n)
     return marked.where(F.size("spans") == 0).select("_row.*")
 
 

@@ -71,15 +71,17 @@ def latest_earlier(captures: DataFrame, cells: int = CELLS) -> DataFrame:
     edges = F.lit(sorted(set(cuts))) if cuts else F.array().cast("array<double>")
     # The range of a time: how many edges lie at or below it, found on at most CELLS - 1 edges.
     rows = rows.withColumn("_cell", F.size(F.filter(edges, lambda e: e <= F.coalesce("_at", F.lit(0.0)))))
-    order = F.when(F.col("kind") == "response", F.struct("_at", "record_id"))
+    order = F.when((F.col("kind") == "response") & F.col("_at").isNotNull(), F.struct("_at", "record_id"))
     last = rows.groupBy("canonical", "_cell").agg(F.max_by("full", order).alias("_last"))
     earlier = Window.partitionBy("canonical").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select(F.col("canonical").alias("_url"), F.col("_cell").alias("_range"), F.last("_last", True).over(earlier).alias("_carried"))
-    inside = Window.partitionBy("canonical", "_cell").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    # Times are numbered, so that what is earlier by any fraction is one number lower at least.
+    rows = rows.withColumn("_turn", F.dense_rank().over(Window.partitionBy("canonical", "_cell").orderBy("_at")))
+    inside = Window.partitionBy("canonical", "_cell").orderBy("_turn").rangeBetween(Window.unboundedPreceding, -1)
     found = rows.withColumn("_inside", F.max_by("full", order).over(inside))
     joined = found.join(carried, F.expr("canonical = _url AND _cell = _range"), "left")
     return joined.withColumn("match", F.when(F.col("_at").isNotNull() & F.col("canonical").isNotNull(), F.coalesce("_inside", "_carried"))).drop(
-        "_at", "_cell", "_inside", "_url", "_range", "_carried")
+        "_at", "_cell", "_turn", "_inside", "_url", "_range", "_carried")
 
 
 def resolved(captures: DataFrame, cells: int = CELLS) -> DataFrame:

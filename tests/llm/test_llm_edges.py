@@ -21,7 +21,7 @@ LONG = "word " * 30_000
 TEXTS = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "one"), (5, "one"), (None, "no id"), (6, "x" * 40_000), (7, LONG), (8, "é ü 日本 😀 \x0b y")]
 DOCS = "doc_id long, text string"
 #: Columns named like what operators add.
-CLASH = ("spans", "n_words", "score", "ids", "print", "_words", "shard")
+CLASH = ("spans", "n_words", "score", "ids", "print", "_words", "shard", "a.b")
 
 
 @pytest.fixture(scope="module")
@@ -146,6 +146,19 @@ def test_revisits(spark):
     assert revisits.resolved(spark.createDataFrame([], kind)).collect() == []
 
 
+def test_revisits_a_fraction_later(spark):
+    kind = "record_id long, url string, ts double, kind string, headers map<string,string>, payload_digest string, payload_length long"
+    times = [(1, 10.0, "response"), (2, 10.25, "response"), (3, 10.5, "revisit"), (4, 10.25, "revisit"), (5, 10.0, "revisit"), (6, None, "response"), (7, 9.0, "revisit"), (8, 10.25, "response")]
+    rows = [(i, "http://h/a", t, k, {"etag": "e"}, str(i), i) for i, t, k in times]
+    got = {r.record_id: (r.status, r.refers_to) for r in revisits.resolved(spark.createDataFrame(rows, kind).withColumn("match", F.lit(1)).withColumn("a.b", F.lit(1))).collect()}
+    assert got == {3: ("resolved", 8), 4: ("resolved", 1), 5: ("unmatched", None), 7: ("unmatched", None)}
+
+
+def test_windows_that_many_items_share():
+    windows, _ = decontaminate.hash_set((b"a b c", str(i)) for i in range(200_000))
+    assert len(windows[b"a b c"]) == 200_000
+
+
 def test_hot_url_is_carried_across_ranges(spark):
     kind = "record_id long, url string, ts long, kind string, headers map<string,string>, payload_digest string, payload_length long"
     rows = [(i, "http://h/hot" if i % 3 else f"http://h/{i % 7}", i, "response" if i % 10 == 0 else "revisit", {"etag": "e"}, str(i), i) for i in range(600)]
