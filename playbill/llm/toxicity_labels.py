@@ -10,8 +10,8 @@ Everything that is fitted sees at most ``FIT_TOXIC`` toxic and ``FIT_CLEAN`` cle
 labelled rows whose ``crc32(doc_id as text) mod 3`` is not 1. Labels, lang, source and doc_id are no inputs of a score.
 
 Null and empty texts have no votes and get the score of the bias. Rows without a label, or with a null one, are not
-learned from; without rows of both classes the word lists alone decide, with fixed weights. Repeated rows count as they come.
-Empty tables give no rows."""
+learned from; without rows of both classes the word lists alone decide, with fixed weights. Of rows with equal text and label
+one is learned from; every row is scored. Empty tables give no rows."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from playbill.llm.common import add_columns, binary, by_value, map_rows, tidy_words
+from playbill.llm.common import add_columns, binary, by_value, map_rows, tidy_words, written
 
 by_value(__name__)
 
@@ -103,6 +103,7 @@ def mined_terms(rows: DataFrame, most: int = TERMS) -> tuple[list[str], list[str
         yield columns()
 
     counts = map_rows(rows, "term string, toxic long, clean long", counted).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = written(counts.where((F.col("term") == "") | (F.col("toxic") >= LEAST_ROWS)), "term-counts")
     totals = counts.where("term = ''").first()
     if totals is None or not totals.toxic or not totals.clean:
         return [], []
@@ -240,7 +241,7 @@ def listed_only() -> Model:
 
 
 def fit(documents: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, clean: int = FIT_CLEAN) -> Model:
-    rows = fit_rows(documents, labels, toxic, clean)
+    rows = written(fit_rows(documents, labels, toxic, clean), "fit-rows")
     terms, precise = mined_terms(rows)
     ballot = {*varied([t for t in precise if t in set(terms)]), *PATTERNS}
     reader = Reader(terms)
@@ -288,7 +289,7 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
 def clean_only(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score below the threshold."""
     model = fit(documents, labels)
-    row = F.struct(*documents.columns).alias("_row")
+    row = F.struct(*(documents[f"`{c}`"] for c in documents.columns)).alias("_row")
     return scored(documents.select(row, "text"), model).where(F.col("score") < THRESHOLD).select("_row.*")
 
 
