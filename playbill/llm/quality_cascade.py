@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade: rules are ordered by the rejections they give per unit of cost.
 
-Each rule reads one or more measures of the text. On a bounded sample of texts the share that every rule rejects is counted;
-its cost is the declared cost of its measures for each character. Rules then stand in descending order of rejection per
+Each rule reads one or more measures of the text. On a sample of bounded size, drawn from all rows, the share that every rule rejects is counted
+and each measure is timed; a rule costs what its measures take. Rules then stand in descending order of rejection per
 cost, and a text meets the next rule only if all earlier ones kept it (nested conditionals: Spark evaluates the
 dear measures of a later rule only for texts that are still alive). Order changes cost, never the verdict.
 
@@ -10,10 +10,13 @@ alike; an empty table gives no rows and the declared order of rules. Everything
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from playbill.llm.common import written
+
 # Fixed values of the contract.
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
@@ -83,9 +86,6 @@ class Rule:
     rejects: str
 
 
-#: Relative cost of a measure for each character of text, from timings of each over whole tables.
-COSTS = {"n_words": 4.0, "word_chars": 0.5, "n_symbols": 1.0, "n_lines": 0.5, "n_dup_lines": 2.0, "n_repeat_words": 20.0, "n_shouts": 1.0}
-
 #: A measure that a rule shares with an earlier one is already there, so only the first of them pays for it.
 RULES = (
     Rule("too_short", ("n_words",), f"n_words < {LEAST_WORDS}"),
@@ -97,31 +97,55 @@ RULES = (
 )
 
 
+def measures(text: str, words_: str) -> dict[str, Column]:
+    """All measures, of a text and its word list."""
+    return {
+        "n_words": F.size(words_).cast("long"),
+        "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
+        "n_symbols": count_symbols(F.col(text)),
+        "n_lines": F.size(F.split(text, "\n")).cast("long"),
+        "n_dup_lines": count_duplicate_lines(F.col(text)),
+        "n_repeat_words": count_repeat_words(F.col(words_)),
+        "n_shouts": (F.length(text) - F.length(F.replace(text, F.lit("!!"), F.lit("!")))).cast("long"),
+    }
+
+
 def measured(documents: DataFrame) -> DataFrame:
     """The documents with all measures; the word list is made once for each text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.withColumn("_text", text).withColumn("_words", words(F.col("_text")))
-    return rows.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.regexp_replace("_text", SPACE, "")).cast("long"),
-        "n_symbols": count_symbols(F.col("_text")),
-        "n_lines": F.size(F.split("_text", "\n")).cast("long"),
-        "n_dup_lines": count_duplicate_lines(F.col("_text")),
-        "n_repeat_words": count_repeat_words(F.col("_words")),
-        "n_shouts": (F.length("_text") - F.length(F.replace("_text", F.lit("!!"), F.lit("!")))).cast("long"),
-    }).drop("_text", "_words")
+    return rows.withColumns(measures("_text", "_words")).drop("_text", "_words")
+
+
+def sampled(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """About ``sample_rows`` texts drawn from all rows, written; their number does not grow with the table."""
+    share = min(1.0, sample_rows / max(1, documents.count()))
+    return written(documents.select(F.coalesce("text", F.lit("")).alias("text")).sample(share, 5), "quality-sample")
+
+
+def timed_costs(sample: DataFrame) -> dict[str, float]:
+    """Seconds that each measure takes over the sample beyond what reading it takes; the word list counts where it is needed."""
+    def seconds(value: Column) -> float:
+        start = time.perf_counter()
+        sample.withColumn("_words", words(F.col("text"))).agg(F.sum(value)).collect()
+        return time.perf_counter() - start
+
+    every = measures("text", "_words")
+    seconds(F.lit(1))
+    bare = seconds(F.lit(1))
+    return {name: max(1e-3, seconds(value) - bare) for name, value in every.items()}
 
 
 def cascade_order(documents: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejected share per cost on at most ``sample_rows`` texts; ties keep the declared order. The sample decides
-    speed only."""
-    counts = measured(documents.limit(sample_rows)).agg(
-        F.count(F.lit(1)).alias("n"), *(F.count_if(F.expr(r.rejects)).alias(r.name) for r in rules)).first()
+    """Rules by rejected share per cost, both estimated on a sample; ties keep the declared order. The sample decides speed only."""
+    sample = sampled(documents, sample_rows)
+    costs = timed_costs(sample)
+    counts = measured(sample).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.expr(r.rejects)).alias(r.name) for r in rules)).first()
     paid: set[str] = set()
     left, ordered = list(rules), []
     while left:
         def gain(r: Rule) -> float:
-            return counts[r.name] / max(1, counts.n) / max(0.1, sum(COSTS[m] for m in r.measures if m not in paid))
+            return counts[r.name] / max(1, counts.n) / max(1e-3, sum(costs[m] for m in r.measures if m not in paid))
 
         best = max(left, key=lambda r: (gain(r), -rules.index(r)))
         paid.update(best.measures)
@@ -146,7 +170,7 @@ def judged(documents: DataFrame, rules=RULES) -> DataFrame:
 def kept(documents: DataFrame, rules=RULES) -> DataFrame:
     """The documents that every rule keeps. Only the verdict is asked for, so dear measures are skipped for rejected texts."""
     ordered = cascade_order(documents, rules)
-    rows = documents.withColumn("_row", F.struct(*documents.columns))
+    rows = documents.withColumn("_row", F.struct(*(documents[f"`{c}`"] for c in documents.columns)))
     return measured(rows).where(verdict(ordered).isNull()).select("_row.*")
 
 
