@@ -12,6 +12,9 @@ from playbill.contracts import (
     DEFAULT_LIMIT, ENRICHED_COLUMNS, FILTER_FIELDS, MAX_LIMIT, RESULT_COLUMNS, SORT_COLUMNS, Field,
 )
 from playbill.operators.filters import has_genre, in_range, is_released
+from playbill.operators.intervals import Axis, axes
+from playbill.operators.validate import validate_filters
+from playbill.session import written
 from playbill.sources.tables import prepare_catalog
 
 _BY_NAME = {f.name: f for f in FILTER_FIELDS}
@@ -125,70 +128,119 @@ def _facet(kind: str, value: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), value.cast("string"))
 
 
-def _spec_facets() -> Column:
-    """Where a request looks for rows: under each wanted genre; else among the enriched rows if it
-    asks for an enriched value; else under each year it allows of those the catalog has; without any of
-    these, everywhere."""
+#: The bounds of each axis that the index of ranges has.
+_BOUNDS = {"filter_year": ("min_year", "max_year"), "budget": ("min_budget", "max_budget"), "runtime": ("min_runtime", "max_runtime")}
+EVERYWHERE = "all"
+
+
+def _placed(specs: DataFrame, found: list[Axis]) -> DataFrame:
+    """The requests with ``facets``, where they look for rows one by one, and ``tops``, the sets of rows of which they take the best as they are.
+
+    With wanted genres a request looks under each of them; else, if it asks for an enriched value, among the enriched rows; else it goes by ranges. A
+    range over all values asks for nothing. One range makes a request's rows the union of nodes, so the best of each node are enough, and
+    only the cells at its ends are looked through; of several ranges the one of fewest cells gives the nodes to look under. Without any range the request takes the best of all rows."""
     enriched_only = F.coalesce("budget_tier", "revenue_tier", "sentiment", F.col("min_score").cast("string")).isNotNull()
-    allowed = F.filter("known_years", lambda y: (y >= F.coalesce("min_year", y)) & (y <= F.coalesce("max_year", y)))
-    years = F.transform(allowed, lambda y: _facet("year", y))
-    return (
+    none = F.array().cast("array<string>")
+    ranges = []
+    for axis in found:
+        low, high = (F.col(name) for name in _BOUNDS[axis.name])
+        specs = specs.withColumn(f"_{axis.name}", axis.cover(low, high))
+        asked = F.coalesce(low, high).isNotNull()
+        asks = asked if axis.has_nulls else asked & ~F.col(f"_{axis.name}.every")
+        ranges.append(F.when(asks, F.struct(F.col(f"_{axis.name}.cells").alias("cells"), F.lit(axis.name).alias("axis"), F.col(f"_{axis.name}.whole").alias("whole"), F.col(f"_{axis.name}.parts").alias("parts"))))
+    specs = specs.withColumn("_ranges", F.array_sort(F.array_compact(F.array(*ranges)))).withColumn("_best", F.get("_ranges", F.lit(0)))
+    by_range = (F.size("wanted") == 0) & ~enriched_only
+    one, more = by_range & (F.size("_ranges") == 1), by_range & (F.size("_ranges") > 1)
+    facets = (
         F.when(F.size("wanted") > 0, F.transform("wanted", lambda g: _facet("genre", g)))
         .when(enriched_only, F.array(F.lit("enriched")))
-        .when(F.coalesce("min_year", "max_year").isNotNull(), years)
-        .otherwise(F.array(F.lit("any")))
+        .when(one, F.col("_best.parts")).when(more, F.concat("_best.whole", "_best.parts")).otherwise(none)
     )
+    tops = F.when(one, F.col("_best.whole")).when(by_range & (F.size("_ranges") == 0), F.array(F.lit(EVERYWHERE))).otherwise(none)
+    return specs.withColumn("facets", facets).withColumn("tops", tops).drop("_ranges", "_best", *(f"_{axis.name}" for axis in found))
 
 
-def _item_facets() -> Column:
-    return F.array_compact(F.concat(
-        F.transform("genre_keys", lambda g: _facet("genre", g)),
-        F.array(F.lit("any"), F.when(F.col("overview_sentiment").isNotNull(), F.lit("enriched")), _facet("year", F.col("filter_year"))),
-    ))
+def _item_nodes(found: list[Axis]) -> Column:
+    return F.flatten(F.array_compact(F.array(*(axis.nodes(F.col(axis.name)) for axis in found))))
 
 
-def search_batch(catalog: DataFrame, enriched: DataFrame, specs: DataFrame, salts: int = 16) -> DataFrame:
-    """All requests of a table at once: the best ``limit`` rows per ``spec_id``, with ``rank``.
+def _sort_value(row: str, by: Column) -> Column:
+    value = F.lit(None).cast("long")
+    for name, column in SORT_COLUMNS.items():
+        value = F.when(by == name, F.col(f"{row}{column}").cast("long")).otherwise(value)
+    return value
 
-    Requests and rows meet on facets instead of pairwise. A facet may hold a large part of the
-    catalog, so its rows are spread over ``salts`` join keys and the requests repeated per salt. A row
-    with several wanted genres counts under the first. The remaining bounds are tested inside the
-    join on narrow rows, each task keeps at most MAX_LIMIT of them per request before the final
-    shuffle, and titles and themes are added to the winners only. A range of years means the years that the
-    catalog has, which are read before planning; only facets that some request asks for are joined. A request without genres,
-    enriched values and years is tested on every row. Where ``specs`` has a verdict, invalid requests are left out."""
-    if "valid" in specs.columns:
-        specs = specs.filter("valid")
-    found = prepare_catalog(catalog).filter(is_released()).select("filter_year").distinct().filter("filter_year is not null")
-    # Years are read from four characters, so there are about 11,000 of them at most.
-    specs = specs.withColumn("known_years", F.lit(sorted(r[0] for r in found.toLocalIterator())).cast("array<bigint>"))
-    requests = (
-        specs.withColumn("wanted", F.array_distinct(F.transform("genres", F.lower)))
-        .withColumn("facet", F.explode(_spec_facets()))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    items = (
-        with_enrichment(
-            prepare_catalog(catalog).filter(is_released())
-            .select("movie_id", "filter_year", "budget", "revenue", "runtime", "genre_keys"),
-            enriched,
-        )
-        .drop("themes")
-        .withColumn("facet", F.explode(_item_facets()))
-        .join(requests.select("facet").distinct(), "facet", "left_semi")
-        .withColumn("salt", F.pmod(F.xxhash64("movie_id"), F.lit(salts)).cast("int"))
-    )
+
+def _salted(rows: DataFrame, salts: int, key: str) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+
+
+def _repeated(rows: DataFrame, salts: int) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
+def looked_through(items: DataFrame, specs: DataFrame, found: list[Axis], salts: int) -> DataFrame:
+    """(spec_id, limit, _sort, movie_id): rows that requests meet under their facets and accept. A row with several wanted genres counts under the first."""
+    facets = F.array_compact(F.concat(
+        F.transform("genre_keys", lambda g: _facet("genre", g)), F.array(F.when(F.col("overview_sentiment").isNotNull(), F.lit("enriched"))), _item_nodes(found)))
+    asked = specs.withColumn("facet", F.explode("facets")).drop("facets", "tops")
+    rows = items.withColumn("facet", F.explode(facets)).join(asked.select("facet").distinct(), "facet", "left_semi")
     first_common = F.get(F.array_intersect(F.col("s.wanted"), F.col("i.genre_keys")), F.lit(0))
     once = (F.size("s.wanted") == 0) | (F.col("i.facet") == _facet("genre", first_common))
-    sort_value = F.lit(None).cast("long")
-    for name, column in SORT_COLUMNS.items():
-        sort_value = F.when(F.col("s.sort_by") == name, F.col(f"i.{column}").cast("long")).otherwise(sort_value)
-    matched = (
-        items.alias("i")
-        .join(requests.alias("s"),
-              (F.col("i.facet") == F.col("s.facet")) & (F.col("i.salt") == F.col("s.salt")) & _spec_accepts() & once)
-        .select("s.spec_id", "s.limit", sort_value.alias("_sort"), "i.movie_id")
+    return (
+        _salted(rows, salts, "movie_id").alias("i")
+        .join(_repeated(asked, salts).alias("s"), (F.col("i.facet") == F.col("s.facet")) & (F.col("i.salt") == F.col("s.salt")) & _spec_accepts() & once)
+        .select("s.spec_id", "s.limit", _sort_value("i.", F.col("s.sort_by")).alias("_sort"), "i.movie_id")
     )
+
+
+def best_of_nodes(items: DataFrame, specs: DataFrame, found: list[Axis], salts: int) -> DataFrame:
+    """(spec_id, limit, _sort, movie_id): the best MAX_LIMIT rows of each node that requests take whole, for each sort key asked for there. A
+    node's rows are ranked once for all its requests, and every task keeps MAX_LIMIT of them before the shuffle."""
+    wanted = specs.select("spec_id", "limit", "sort_by", F.explode("tops").alias("node"))
+    asked = wanted.select("node", "sort_by").distinct()
+    rows = items.withColumn("node", F.explode(F.array_append(_item_nodes(found), F.lit(EVERYWHERE))))
+    met = _salted(rows, salts, "movie_id").join(_repeated(asked, salts), ["node", "salt"]).select("node", "sort_by", _sort_value("", F.col("sort_by")).alias("_sort"), "movie_id")
+    best = Window.partitionBy("node", "sort_by").orderBy(F.desc_nulls_last("_sort"), "movie_id")
+    tops = met.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= MAX_LIMIT)
+    same_sort = F.col("w.sort_by").eqNullSafe(F.col("t.sort_by"))
+    return wanted.alias("w").join(tops.alias("t"), (F.col("w.node") == F.col("t.node")) & same_sort & (F.col("t.place") <= F.col("w.limit"))).select(
+        "w.spec_id", "w.limit", "t._sort", "t.movie_id")
+
+
+def refused_requests(specs: DataFrame) -> DataFrame:
+    """(spec_id, reject_reason) of the requests that ``search_batch`` does not answer."""
+    return judged_requests(specs).filter(~F.col("valid")).select("spec_id", "reject_reason")
+
+
+def judged_requests(specs: DataFrame) -> DataFrame:
+    """The requests with their verdict; one that they already have (from reading JSON) stands beside that on the values."""
+    own = "valid" in specs.columns
+    earlier = specs.select("*", F.col("valid").alias("_valid"), (F.col("reject_reason") if "reject_reason" in specs.columns else F.lit(None).cast("string")).alias("_reason")) if own else specs
+    judged = validate_filters(earlier.drop("valid", "reject_reason"))
+    if not own:
+        return judged
+    return judged.withColumn("valid", F.col("valid") & F.col("_valid")).withColumn("reject_reason", F.coalesce("_reason", "reject_reason")).drop("_valid", "_reason")
+
+
+def search_batch(catalog: DataFrame, enriched: DataFrame, specs: DataFrame, salts: int = 16, report: bool = False) -> DataFrame:
+    """All requests of a table at once: the best ``limit`` rows per ``spec_id``, with ``rank``.
+
+    Requests and rows meet on facets instead of pairwise: on genres, on being enriched, and on the nodes of a dyadic index of years, budgets and
+    runtimes (see ``intervals``), whose cells are read before planning. The placed requests are written once, as several joins read them. What has only one range, or none, takes the ready best of whole nodes. A facet may hold a large part of the
+    catalog, so its rows are spread over ``salts`` join keys and the requests repeated per salt. The remaining bounds are tested inside the
+    join on narrow rows, each task keeps at most MAX_LIMIT of them per request before the final
+    shuffle, and titles and themes are added to the winners only.
+
+    Requests with values out of bounds are not answered; ``refused_requests`` lists them, and with ``report`` each has one row here, with its reason
+    as ``error`` and a null rank."""
+    judged = judged_requests(specs)
+    specs = judged.filter("valid").withColumn("wanted", F.array_distinct(F.transform("genres", F.lower)))
+    released = prepare_catalog(catalog).filter(is_released())
+    found = axes(released, list(_BOUNDS))
+    placed = written(_placed(specs, found), "requests")
+    items = with_enrichment(released.select("movie_id", "filter_year", "budget", "revenue", "runtime", "genre_keys"), enriched).drop("themes")
+    matched = looked_through(items, placed, found, salts).unionByName(best_of_nodes(items, placed, found, salts))
     best = Window.partitionBy("spec_id").orderBy(F.desc_nulls_last("_sort"), "movie_id")
     winners = (
         matched.withColumn("rank", F.row_number().over(best))
@@ -197,4 +249,8 @@ def search_batch(catalog: DataFrame, enriched: DataFrame, specs: DataFrame, salt
         .select("spec_id", "rank", "movie_id")
     )
     facts = prepare_catalog(catalog).select("movie_id", "title", "release_year", "budget", "revenue", "runtime")
-    return with_enrichment(winners.join(facts, "movie_id"), enriched).select("spec_id", "rank", *RESULT_COLUMNS)
+    rows = with_enrichment(winners.join(facts, "movie_id"), enriched).select("spec_id", "rank", *RESULT_COLUMNS)
+    if not report:
+        return rows
+    refused = judged.filter(~F.col("valid")).select("spec_id", F.col("reject_reason").alias("error"))
+    return rows.withColumn("error", F.lit(None).cast("string")).unionByName(refused, allowMissingColumns=True)

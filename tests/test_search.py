@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -7,8 +8,9 @@ from pyspark.sql import functions as F
 
 from frames import catalog, enriched, movie, rich
 from playbill.contracts import SORT_COLUMNS
+from playbill.operators import intervals
 from playbill.operators.lookup import compare, lookup_enriched
-from playbill.operators.search import candidates, search, search_batch
+from playbill.operators.search import _placed, best_of_nodes, candidates, looked_through, refused_requests, search, search_batch
 from playbill.sources.sinks import format_records
 from playbill.sources.specs import parse_filter_specs
 from playbill.sources.tables import prepare_catalog
@@ -115,8 +117,7 @@ def test_batch_equals_brute_force_and_single_search(spark):
              "sort_by": lambda: rng.choice(list(SORT_COLUMNS)), "limit": lambda: rng.choice([1, 3, 50])}
     specs = [{k: make() for k, make in kinds.items() if rng.random() < 0.3} for _ in range(60)] + [{}, {"min_year": 1999, "max_year": 1990}, {"min_year": -5, "max_year": 5000},
         {"min_year": -9000000000000000000, "max_year": 9000000000000000000}, {"max_year": 1990}, {"min_year": 1991}]
-    import json
-
+    specs += [{"sort_by": k, "limit": 50, **b} for k in (None, *SORT_COLUMNS) for b in ({"min_budget": 10}, {"max_budget": 19, "min_runtime": 61}, {"min_runtime": 62, "max_runtime": 62}, {"max_year": 0}, {"min_budget": 21, "max_budget": 9}, {})]
     frame = parse_filter_specs(spark.createDataFrame([(i, json.dumps(s)) for i, s in enumerate(specs)], "spec_id int, filter_json string"))
     got = {}
     for r in search_batch(c, e, frame, salts=3).orderBy("spec_id", "rank").collect():
@@ -146,3 +147,53 @@ def test_lookup(spark, tables):
     got = {r.movie_id: r for r in lookup_enriched(spark.createDataFrame([(1,), (99,)], "movie_id bigint"), tables[1]).collect()}
     assert got[1].error is None and got[1].themes == ["a", "b", "c"]
     assert "99" in got[99].error and got[99].themes is None
+
+
+def test_index_covers_each_value_once(spark):
+    rng = random.Random(3)
+    values = [rng.choice([0, 0, 0, 5, rng.randrange(-50, 3000), rng.randrange(10 ** 12)]) for _ in range(3000)] + [None]
+    rows = spark.createDataFrame([(v,) for v in values], "x bigint")
+    axis, = intervals.axes(rows, ["x"])
+    assert axis.has_nulls and len(axis.edges) < 1 << intervals.LEVELS and {0, 1} <= set(axis.edges)
+    bounds = [(rng.choice([None, *values, -9 * 10 ** 18]), rng.choice([None, *values, 9 * 10 ** 18])) for _ in range(60)] + [(0, 0), (5, 4), (None, None), (-(1 << 63), (1 << 63) - 1)]
+    ranges = spark.createDataFrame([(i, *b) for i, b in enumerate(bounds)], "id int, low bigint, high bigint").withColumn("c", axis.cover(F.col("low"), F.col("high")))
+    held = {r.x: r.nodes for r in rows.distinct().withColumn("nodes", axis.nodes(F.col("x"))).collect()}
+    assert held.pop(None) is None and all(len(n) == intervals.LEVELS + 1 for n in held.values())
+    for r in ranges.collect():
+        low, high = bounds[r.id]
+        assert len(r.c.whole) <= 2 * intervals.LEVELS and len(r.c.parts) <= 2
+        for x, nodes in held.items():
+            whole, part = len(set(nodes) & set(r.c.whole)), len(set(nodes) & set(r.c.parts))
+            inside = (low is None or x >= low) and (high is None or x <= high)
+            assert whole + part <= 1 and whole <= inside <= whole + part, (low, high, x)
+
+
+def test_range_requests_meet_few_rows(spark):
+    """Half-open, closed and absent ranges over many rows: what is looked through one by one is small, whatever the range holds."""
+    rng = random.Random(9)
+    n = 5000
+    rows = [(i, 1900 + rng.randrange(120), rng.choice([0, rng.randrange(10 ** 6)]), rng.randrange(10 ** 6), rng.randrange(1, 300), [], None, None, None, None) for i in range(n)]
+    items = spark.createDataFrame(rows, "movie_id long, filter_year int, budget long, revenue long, runtime int, genre_keys array<string>, overview_sentiment string, "
+                                        "budget_tier string, revenue_tier string, production_effectiveness_score int")
+    found = intervals.axes(items, ["filter_year", "budget", "runtime"])
+    specs = [{"min_year": 1901}, {"max_budget": 900_001}, {"min_budget": 1}, {}, {"min_year": -1, "max_year": 9999}, {"min_runtime": 2, "max_runtime": 298}, {"max_budget": 0}]
+    specs += [{"min_year": 1950, "max_year": 1951, "min_budget": 5}, {"min_year": 1900, "max_runtime": 10}]
+    frame = parse_filter_specs(spark.createDataFrame([(i, json.dumps(s | {"limit": 50, "sort_by": "revenue_desc"})) for i, s in enumerate(specs)], "spec_id int, filter_json string"))
+    placed = _placed(frame.withColumn("wanted", F.col("genres")), found)
+    singly = {r.spec_id: r["count"] for r in looked_through(items, placed, found, 2).groupBy("spec_id").count().collect()}
+    assert all(singly.get(i, 0) <= n / 50 for i in range(7)), singly
+    assert singly[7] <= n / 20 and singly[8] <= n / 20 and singly[8] > 0
+    tops = best_of_nodes(items, placed, found, 2).groupBy("spec_id").count().collect()
+    assert {r.spec_id for r in tops} >= {0, 1, 2, 3, 4, 5, 6} and max(r["count"] for r in tops) <= 50 * 2 * intervals.LEVELS
+
+
+def test_bad_requests_are_reported(spark, tables):
+    specs = spark.createDataFrame([(1, [], 99, None), (2, [], 10, None), (3, [], 5, "by luck")], "spec_id int, genres array<string>, limit int, sort_by string")
+    for f in ("min_year", "max_year", "min_budget", "max_budget", "min_runtime", "max_runtime", "min_score"):
+        specs = specs.withColumn(f, F.lit(None).cast("long"))
+    for f in ("budget_tier", "revenue_tier", "sentiment"):
+        specs = specs.withColumn(f, F.lit(None).cast("string"))
+    assert {r.spec_id for r in search_batch(*tables, specs).collect()} == {2}
+    assert {r.spec_id: r.reject_reason for r in refused_requests(specs).collect()} == {1: "limit: too large", 3: "sort_by: not allowed"}
+    told = {r.spec_id: (r["rank"], r.error) for r in search_batch(*tables, specs, report=True).filter("error is not null").collect()}
+    assert told == {1: (None, "limit: too large"), 3: (None, "sort_by: not allowed")}

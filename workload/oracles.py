@@ -169,7 +169,7 @@ _CTES["profiles"] = """
         coalesce(favorite_themes, CAST([] AS VARCHAR[])) AS favorite_themes, typical_sentiment
     FROM user_means LEFT JOIN fav_genres USING (user_id) LEFT JOIN fav_themes USING (user_id) LEFT JOIN tone USING (user_id)"""
 _CTES["specs_text"] = """
-    SELECT s_suppkey AS spec_id, CASE s_suppkey % 10
+    SELECT s_suppkey AS spec_id, CASE s_suppkey % 14
         WHEN 0 THEN concat('{"genres": ["promo", "Brand#', s_suppkey % 25, '"], "min_year": ', s_suppkey % 30 + 1980, ', "sort_by": "revenue_desc"}')
         WHEN 1 THEN concat('{"min_year": ', s_suppkey % 30 + 1980, ', "max_year": "1999", "limit": 20, "sort_by": "budget_desc", "title": "x"}')
         WHEN 2 THEN '{"budget_tier": "high", "sentiment": "positive", "min_score": 5.0, "sort_by": "rating_desc"}'
@@ -178,7 +178,11 @@ _CTES["specs_text"] = """
         WHEN 5 THEN concat('{"max_budget": ', s_suppkey * 1000, ', "min_runtime": 10, "max_runtime": 40, "sort_by": "runtime_desc"}')
         WHEN 6 THEN '{"budget_tier": "huge", "limit": 0}'
         WHEN 7 THEN '{"min_score": 5.5, "limit": 999, "sort_by": "arbitrary"}'
-        WHEN 8 THEN '{"min_year": 1990' ELSE '{"genres": null, "sentiment": null}' END AS filter_json
+        WHEN 8 THEN '{"min_year": 1990'
+        WHEN 9 THEN concat('{"max_budget": ', s_suppkey * 1000, ', "sort_by": "score_desc"}')
+        WHEN 10 THEN concat('{"min_runtime": ', s_suppkey % 50, ', "limit": 50}')
+        WHEN 11 THEN '{"min_year": 0, "max_year": 9999, "sort_by": "revenue_desc", "limit": 50}'
+        WHEN 12 THEN '{"sort_by": "budget_desc"}' ELSE '{"genres": null, "sentiment": null}' END AS filter_json
     FROM supplier"""
 
 

@@ -39,7 +39,7 @@ def day(rows: DataFrame) -> DataFrame:
 def filter_requests(t: Tables) -> DataFrame:
     """A JSON filter per supplier: good ones of many shapes, bad values and broken text."""
     s = F.col("s_suppkey")
-    kind = s % 10
+    kind = s % 14
     year = (s % 30 + 1980).cast("string")
     text = (
         F.when(kind == 0, F.concat(F.lit('{"genres": ["promo", "Brand#'), (s % 25).cast("string"), F.lit('"], "min_year": '), year, F.lit(', "sort_by": "revenue_desc"}')))
@@ -51,6 +51,10 @@ def filter_requests(t: Tables) -> DataFrame:
         .when(kind == 6, F.lit('{"budget_tier": "huge", "limit": 0}'))
         .when(kind == 7, F.lit('{"min_score": 5.5, "limit": 999, "sort_by": "arbitrary"}'))
         .when(kind == 8, F.lit('{"min_year": 1990'))
+        .when(kind == 9, F.concat(F.lit('{"max_budget": '), (s * 1000).cast("string"), F.lit(', "sort_by": "score_desc"}')))
+        .when(kind == 10, F.concat(F.lit('{"min_runtime": '), (s % 50).cast("string"), F.lit(', "limit": 50}')))
+        .when(kind == 11, F.lit('{"min_year": 0, "max_year": 9999, "sort_by": "revenue_desc", "limit": 50}'))
+        .when(kind == 12, F.lit('{"sort_by": "budget_desc"}'))
         .otherwise(F.lit('{"genres": null, "sentiment": null}'))
     )
     return t.read("supplier").select(s.alias("spec_id"), text.alias("filter_json"))
