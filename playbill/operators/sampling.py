@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window, functions as F
 
 from playbill.operators.ranking import seeded_hash
+from playbill.session import written
 
 
 def allocate(pool: DataFrame, group: str, n: int) -> DataFrame:
     """Seats per stratum by largest remainder: every stratum gets the whole part of its share of
     ``n``, the rest goes to the largest remainders (ties by name), strata without a seat drop out.
     Decimal arithmetic throughout; the largest remainders are found by cells, without ordering all strata in one task."""
-    strata = pool.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
+    strata = written(pool.groupBy(group).agg(F.count(F.lit(1)).alias("size")), "strata")
     product = F.lit(n).cast("decimal(19,0)") * F.col("size").cast("decimal(19,0)")
     shares = (
         strata.withColumn("total", strata.agg(F.sum("size")).scalar())
@@ -36,10 +37,14 @@ def allocate(pool: DataFrame, group: str, n: int) -> DataFrame:
     )
 
 
-def sample_per_stratum(pool: DataFrame, group: str, seats: DataFrame, seed: int, key: str = "movie_id") -> DataFrame:
-    """For each stratum the ``seats`` rows with the smallest seeded hash, or all if there are fewer."""
-    drawn = pool.select(key, group).withColumn("_h", seeded_hash(seed, key)).withColumn("cell", _hash_cell())
-    return pool.join(_draw(drawn, [group], lambda cells: cells.join(seats.select(group, "seats"), group), key), key, "left_semi")
+#: A draw of at most so many rows broadcasts its cells: each holds a drawn row at least, so there are no more of them.
+FEW_SEATS = 100_000
+
+
+def sample_per_stratum(pool: DataFrame, group: str, seats: DataFrame, seed: int, key: str = "movie_id", most: int | None = None) -> DataFrame:
+    """For each stratum the ``seats`` rows with the smallest seeded hash, or all if there are fewer; ``most`` is a bound of all seats, if known."""
+    drawn = pool.withColumn("_h", seeded_hash(seed, key)).withColumn("cell", _hash_cell())
+    return _draw(drawn, [group], lambda cells: cells.join(seats.select(group, "seats"), group), key, most).select(*(pool[f"`{c}`"] for c in pool.columns))
 
 
 def _hash_cell():
@@ -47,31 +52,26 @@ def _hash_cell():
     return F.substring("_h", 1, 4)
 
 
-def _draw(drawn: DataFrame, groups: list[str], with_seats: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
-    """The first ``seats`` keys of each group by ``_h``, without ordering a whole group: ``cell`` follows the same order;
-    cells below the cut are taken whole and only the cell at the cut is ordered. ``with_seats`` adds the seats to the cells."""
+def _draw(drawn: DataFrame, groups: list[str], with_seats: Callable[[DataFrame], DataFrame], key: str, most: int | None = None) -> DataFrame:
+    """The first ``seats`` rows of each group by ``_h``, without ordering a whole group: ``cell`` follows the same order, so cells behind the
+    cut are left out by one join and only the rows of the others, hardly more than are drawn, are numbered. ``with_seats`` adds the seats to the cells."""
     before = Window.partitionBy(*groups).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = drawn.groupBy(*groups, "cell").agg(F.count(F.lit(1)).alias("cell_n"))
-    cells = with_seats(cells.withColumn("below", F.coalesce(F.sum("cell_n").over(before), F.lit(0)))).filter("below < seats")
-    near = drawn.join(cells, [*groups, "cell"])
-    whole = near.filter("below + cell_n <= seats").select(key)
-    at_cut = (
-        near.filter("below + cell_n > seats")
-        .withColumn("place", F.row_number().over(Window.partitionBy(*groups, "cell").orderBy("_h", key)))
-        .filter("place <= seats - below")
-        .select(key)
-    )
-    return whole.unionByName(at_cut)
+    cells = with_seats(cells.withColumn("below", F.coalesce(F.sum("cell_n").over(before), F.lit(0)))).filter("below < seats").select(*groups, "cell", "below", "seats")
+    if most is not None and most <= FEW_SEATS:
+        cells = F.broadcast(cells)
+    placed = drawn.join(cells, [*groups, "cell"]).withColumn("place", F.row_number().over(Window.partitionBy(*groups, "cell").orderBy("_h", key)))
+    return placed.filter("place <= seats - below")
 
 
 def stratified_sample(pool: DataFrame, n: int, seed: int, group: str = "primary_genre", key: str = "movie_id") -> DataFrame:
-    return sample_per_stratum(pool, group, allocate(pool, group, n), seed, key)
+    return sample_per_stratum(pool, group, allocate(pool, group, n), seed, key, n)
 
 
 def simple_sample(pool: DataFrame, n: int, seed: int, key: str = "movie_id") -> DataFrame:
     """The ``n`` rows with the smallest seeded hash: the draw of a single stratum."""
-    drawn = pool.select(key).withColumn("_h", seeded_hash(seed, key)).withColumn("cell", _hash_cell())
-    return pool.join(_draw(drawn, [], lambda cells: cells.withColumn("seats", F.lit(n).cast("long")), key), key, "left_semi")
+    drawn = pool.withColumn("_h", seeded_hash(seed, key)).withColumn("cell", _hash_cell())
+    return _draw(drawn, [], lambda cells: cells.withColumn("seats", F.lit(n).cast("long")), key, n).select(*(pool[f"`{c}`"] for c in pool.columns))
 
 
 def sample(pool: DataFrame, n: int, seed: int, group: str = "primary_genre", key: str = "movie_id") -> DataFrame:

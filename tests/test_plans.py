@@ -45,8 +45,16 @@ def test_rankings_are_cut_before_the_shuffle(large):
     assert len(re.findall(r"WindowGroupLimit .*Partial", text)) == 2
     text = plan(profiles.top_and_bottom(large.ratings, large.catalog))
     assert {re.search(r"row_number\(\), (\d+), Partial", line).group(1) for line in text.splitlines() if "Partial" in line and "WindowGroupLimit" in line} == {"13", "5"}
-    text = plan(sampling.stratified_sample(enrichment.eligible_pool(large.catalog), 75, 42).select("movie_id"))
-    assert re.search(r"WindowGroupLimit .*row_number\(\), 75, Partial", text)
+
+
+def test_draws_order_only_the_cells_they_take(large):
+    """Pool rows meet the few cells up to the cut before any shuffle, and rows are numbered inside a cell."""
+    text = plan(sampling.stratified_sample(enrichment.eligible_pool(large.catalog), 75, 42))
+    assert re.search(r"Window \[row_number\(\) windowspecdefinition\(primary_genre#\d+, cell#\d+, _h#", text)
+    numbered = text[text.index("row_number()"):]
+    assert numbered.index("Exchange") < numbered.index("BroadcastHashJoin") < numbered.index("BroadcastExchange")
+    wide = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("_h#" in line or "movie_id#" in line for line in wide) == 0
 
 
 def test_eligibility_reads_no_text(large):
