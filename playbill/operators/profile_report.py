@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from playbill.functions.numbers import equal_width_bin
+from playbill.operators import quantiles
 from playbill.operators.filters import is_eligible
+from playbill.session import written
 from playbill.sources.tables import prepare_catalog
 
 
@@ -70,15 +72,15 @@ def ratings_per(ratings: DataFrame, key: str) -> DataFrame:
 
 
 def describe(rows: DataFrame, column: str, percentiles: Sequence[float]) -> DataFrame:
-    """Count, mean, sample deviation, minimum, interpolated percentiles and maximum in one row.
-    Exact percentiles keep one counter per distinct value: use it for counts and scores, whose
-    distinct values are few."""
-    value = F.col(column)
-    return rows.agg(
-        F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
-        F.min(value).cast("double").alias("min"),
-        *[F.percentile(value, F.lit(p)).alias(f"p{round(p * 100)}") for p in percentiles],
-        F.max(value).cast("double").alias("max"),
+    """Count, mean, sample deviation, minimum, interpolated percentiles and maximum in one row, of the values that are finite numbers. The
+    values are written once; percentiles are exact and found by counting, so a column may have any number of distinct values."""
+    values = written(rows.select(quantiles.finite(F.col(column)).alias("value")).where("value is not null"), "values")
+    value = F.col("value")
+    found = quantiles.percentiles(values, "value", values.count(), percentiles)
+    return values.agg(
+        F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
+        *[F.lit(v).cast("double").alias(f"p{round(p * 100)}") for p, v in zip(percentiles, found)],
+        F.max(value).alias("max"),
     )
 
 

@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from playbill.functions.numbers import roi
+from playbill.operators.heavy_keys import LEAST_ROWS, SHARE, heavy_keys, split_join
 from playbill.operators.ranking import percent_ranks, top_per_key
+from playbill.session import written
 
 # Fixed values of the rules.
 TIER_CUTS = (1 / 3, 2 / 3)
@@ -38,7 +40,8 @@ def themes(pool: DataFrame, norms: DataFrame | None = None, k: int = THEMES) ->
 
     Texts are spread by id before they are split, so the counts per text, and the ranking of a text's
     words where the word table is small enough to be broadcast, need no further shuffle. Texts are
-    smaller than their exploded words. Document counts leave each task already summed per word."""
+    smaller than their exploded words. Document counts leave each task already summed per word. Words of very many texts meet their
+    counts without a shuffle: their own counts tell which they are."""
     norms = pool if norms is None else norms
     terms = _terms(F.col("overview"), F.col("genre_keys"))
     own = (
@@ -47,8 +50,11 @@ def themes(pool: DataFrame, norms: DataFrame | None = None, k: int = THEMES) ->
         .groupBy("movie_id", "word").agg(F.count(F.lit(1)).alias("tf"))
     )
     spread = norms.select(F.explode(F.array_distinct(terms)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    spread = written(spread, "word-counts")
+    uses = spread.agg(F.sum("df")).first()[0] or 0
+    heavy = [r["word"] for r in spread.where(F.col("df") > max(LEAST_ROWS, SHARE * uses)).toLocalIterator()]
     n = norms.agg(F.count(F.lit(1))).scalar()
-    scored = own.join(spread, "word").select(
+    scored = split_join(own, spread, "word", heavy).select(
         "movie_id", "word", F.round(F.col("tf") * F.ln(n / F.col("df")), 6).alias("score"))
     best = top_per_key(scored, ["movie_id"], [F.desc("score"), F.asc("word")], k)
     return best.groupBy("movie_id").agg(
@@ -57,12 +63,11 @@ def themes(pool: DataFrame, norms: DataFrame | None = None, k: int = THEMES) ->
 
 def sentiments_from_lexicon(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Tone of each overview: the sign of the summed ``weight`` of its words in ``lexicon`` (word,
-    weight); neutral when they cancel out or none occurs. Words are counted before they are joined."""
-    counts = (
-        texts.select("movie_id", F.explode(words(F.col("overview"))).alias("word"))
-        .groupBy("movie_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    )
-    tones = counts.join(lexicon.select("word", "weight"), "word").groupBy("movie_id").agg(F.sum(F.col("n") * F.col("weight")).alias("tone"))
+    weight, each word once); neutral when they cancel out or none occurs. Words are counted before they are joined, and
+    words of very many texts meet their weight without a shuffle."""
+    used = texts.select("movie_id", F.explode(words(F.col("overview"))).alias("word"))
+    counts = used.groupBy("movie_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    tones = split_join(counts, lexicon.select("word", "weight"), "word", heavy_keys(used, "word")).groupBy("movie_id").agg(F.sum(F.col("n") * F.col("weight")).alias("tone"))
     named = F.when(F.col("tone") > 0, F.lit("positive")).when(F.col("tone") < 0, F.lit("negative")).otherwise(F.lit("neutral"))
     return texts.select("movie_id").join(tones, "movie_id", "left").select("movie_id", named.alias("overview_sentiment"))
 

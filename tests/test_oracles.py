@@ -21,10 +21,11 @@ def con():
 
 
 def test_every_query_has_an_equivalent():
-    assert set(QUERIES) == set(ORACLES)
+    """But for the approximate search, whose exact form has one; tests hold its recall against that."""
+    assert set(QUERIES) - set(ORACLES) == {"similar_titles"} and set(ORACLES) < set(QUERIES)
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", ORACLES)
 def test_query(spark, con, name):
     assert differences(bind(QUERIES[name])(spark, SF_DIR), con, ORACLES[name]) is None
 

@@ -460,6 +460,11 @@ def _oracles() -> dict[str, str]:
             LEFT JOIN (SELECT user_id, movie_id, count(*) AS n FROM customer_history GROUP BY 1, 2) h ON h.user_id = p.user_id AND h.movie_id = p.movie_id"""
     bodies["model_profiles"] = """SELECT user_id, n_ratings, mean_rating, 'ok' AS status, 'g' AS favorite_genres, 'mixed' AS typical_sentiment,
             concat(n, ' lines') AS summary FROM user_means JOIN (SELECT user_id, count(*) AS n FROM ranked_ratings GROUP BY 1) USING (user_id)"""
+    bodies["similar_titles_exact"] = """SELECT vec_id, CAST(rank AS INTEGER) AS rank, similar_id, round(score, 6) AS score FROM (
+        SELECT q.vec_id, i.vec_id AS similar_id, list_cosine_similarity(q.e, i.e) AS score,
+            row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e, i.e), 9) DESC, i.vec_id) AS rank
+        FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) q JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) i
+            ON q.vec_id % 20 = 0 AND q.vec_id <> i.vec_id) WHERE rank <= 10"""
     bodies["lexicon_sentiment"] = """SELECT movie_id, CASE WHEN tone > 0 THEN 'positive' WHEN tone < 0 THEN 'negative' ELSE 'neutral' END AS overview_sentiment
         FROM eligible LEFT JOIN (SELECT movie_id, sum(weight) AS tone FROM (
                 SELECT movie_id, unnest(string_split_regex(lower(overview), '[^\\p{L}]+')) AS word FROM eligible)

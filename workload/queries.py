@@ -12,7 +12,7 @@ from playbill.functions.dates import filter_year, release_year
 from playbill.functions.names import first_three, parse_names, primary_name
 from playbill.functions.numbers import abs_error, roi
 from playbill.operators import (
-    filters, history, inference, lookup, predict, profile_report as report, profiles, ratings as rated, sampling, search, validate,
+    filters, history, inference, lookup, predict, profile_report as report, profiles, ratings as rated, sampling, search, validate, vectors,
 )
 from playbill.operators.rules import sentiments_from_lexicon, words
 from playbill.plans import enrichment, evaluation, models, prompts
@@ -259,6 +259,13 @@ def clipped_histogram(t: Tables) -> DataFrame:
     return report.histogram(counts, "n_ratings", 30)
 
 
+def similar_titles(t: Tables, probes: int | None = None) -> DataFrame:
+    """Every 20th vector against all of them."""
+    rows = t.read("embeddings")
+    found = vectors.similar(vectors.build_index(rows), rows.where("vec_id % 20 = 0"), probes=probes)
+    return found.withColumn("score", F.round("score", 6))
+
+
 def stratum_allocation(t: Tables) -> DataFrame:
     return sampling.allocate(enrichment.eligible_pool(t.catalog), "primary_genre", SAMPLE_SIZE)
 
@@ -461,6 +468,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "enrich_incremental": enrich_incremental,
     "batch_inference": batch_inference,
     "prediction_eval": prediction_eval,
+    "similar_titles": lambda t: similar_titles(t),
+    "similar_titles_exact": lambda t: similar_titles(t, 1 << 30),
     "lexicon_sentiment": lambda t: sentiments_from_lexicon(enrichment.eligible_pool(t.catalog), label_lexicon(t)),
     "model_predictions": model_predictions,
     "model_profiles": model_profiles,
