@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import suppress
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from playbill.contracts import ENRICHED_FIELDS, ENRICHED_SCHEMA
 from playbill.operators.filters import is_eligible
@@ -14,8 +14,9 @@ from playbill.operators.ratings import with_rating_stats
 from playbill.operators.sampling import stratified_sample
 from playbill.operators.validate import validate_enriched
 from playbill.plans.prompts import enrichment_prompts
-from playbill.sources.sinks import append_enriched
-from playbill.sources.tables import prepare_catalog, scan_enriched
+from playbill.session import written
+from playbill.sources.tables import enriched_table, prepare_catalog
+from playbill.sources.versions import StaleVersion
 
 _ALL = [f.name for f in ENRICHED_SCHEMA]
 
@@ -56,20 +57,26 @@ def scorer_enrichment(scorer: Scorer, model: str, retries: int = 2, run_dir: str
     return enrich
 
 
-def read_cache(spark, path: str) -> DataFrame:
-    try:
-        return scan_enriched(spark, path, _ALL)
-    except AnalysisException as exc:
-        if exc.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], ENRICHED_SCHEMA)
+#: Appends that lookups meet one by one before they are moved into a new base, and rows of a bucket of the base.
+MOST_APPENDS, ROWS_PER_BUCKET = 16, 1_000_000
 
 
 def enrich_incremental(requested: DataFrame, path: str, enrich: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Enrich the requested rows that the table at ``path`` lacks, append the valid ones, and return
+    """Enrich the requested rows that the table at ``path`` lacks, append the valid ones as its next version, and return
     the requested part of the table. Rows not requested stay; rows that failed are simply not
-    there and are tried again next time. One writer at a time."""
-    spark = requested.sparkSession
-    missing = uncached(requested, read_cache(spark, path))
-    append_enriched(validate_enriched(enrich(missing)).filter("valid"), path)
-    return scan_enriched(spark, path, _ALL).join(requested.select("movie_id"), "movie_id", "left_semi")
+    there and are tried again next time. If another writer publishes meanwhile, this one's rows are compared with the new
+    version and those still missing are appended to it, so nothing is enriched or stored twice."""
+    table = enriched_table(requested.sparkSession, path)
+    at = table.manifest()
+    fresh = written(validate_enriched(enrich(table.missing(requested, at).dropDuplicates(["movie_id"]))).filter("valid").select(*_ALL), "enriched")
+    while True:
+        try:
+            at = table.append(table.missing(fresh, at), at)
+            break
+        except StaleVersion:
+            at = table.manifest()
+    if len(at.appends) > MOST_APPENDS:
+        rows = table.read(at).count()
+        with suppress(StaleVersion):  # whoever publishes first decides; the next one compacts
+            at = table.compact(at.buckets or 1 + rows // ROWS_PER_BUCKET, at)
+    return table.found(requested, at).select(*_ALL)

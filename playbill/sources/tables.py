@@ -10,6 +10,8 @@ from playbill.contracts import CATALOG_COLUMNS, ENRICHED_COLUMNS, ENRICHED_SCHEM
 from playbill.functions.dates import filter_year, release_year
 from playbill.functions.names import name_keys, parse_names, primary_name
 from playbill.session import configure
+from playbill.sources.keys import assert_unique, duplicate_keys  # noqa: F401
+from playbill.sources.versions import VersionedTable
 
 
 def scan_catalog(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -23,8 +25,14 @@ def scan_ratings(spark: SparkSession, path: str, columns: Sequence[str] = RATING
 
 
 def scan_enriched(spark: SparkSession, path: str, columns: Sequence[str] = ENRICHED_COLUMNS) -> DataFrame:
-    """The title is left out by default: the catalog owns it, and a join must not see it twice."""
-    return spark.read.schema(ENRICHED_SCHEMA).parquet(path).select(*columns)
+    """The newest version, or the files of a plain table. The title is left out by default: the catalog owns it, and a join must not see it twice."""
+    table = enriched_table(spark, path)
+    rows = table.read() if table.exists() else spark.read.schema(ENRICHED_SCHEMA).parquet(path)
+    return rows.select(*columns)
+
+
+def enriched_table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, ENRICHED_SCHEMA, "movie_id")
 
 
 def prepare_catalog(catalog: DataFrame) -> DataFrame:
@@ -44,15 +52,3 @@ def prepare_catalog(catalog: DataFrame) -> DataFrame:
         if name not in catalog.columns:
             catalog = catalog.withColumn(name, make())
     return catalog
-
-
-def duplicate_keys(table: DataFrame, *keys: str) -> DataFrame:
-    """Keys that occur more than once; empty for a sound catalog or enrichment table."""
-    return table.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-
-
-def assert_unique(table: DataFrame, *keys: str) -> None:
-    """ValueError with one example if a key occurs more than once: joins on it would double rows."""
-    twice = duplicate_keys(table, *keys).first()
-    if twice is not None:
-        raise ValueError(f"{', '.join(f'{k}={twice[k]}' for k in keys)} occurs {twice['n']} times")

@@ -13,7 +13,8 @@ from playbill.operators.inference import run_inference
 from playbill.operators.rules import enrich_by_rules, sentiments_from_lexicon, themes
 from playbill.plans import enrichment, evaluation, prompts
 from playbill.sources.sinks import append_enriched
-from playbill.sources.tables import duplicate_keys, prepare_catalog, scan_enriched
+from playbill.sources.tables import duplicate_keys, enriched_table, prepare_catalog, scan_enriched
+from playbill.sources.versions import StaleVersion
 
 EXAMPLE = (Field("seats", "int", required=True), Field("town", "text", required=True))
 
@@ -150,6 +151,60 @@ def test_cache_is_used_and_kept(spark, tmp_path):
     assert seen[1] == []
 
 
+def test_two_writers(spark, tmp_path):
+    """Both read the same version; the later one fails cleanly, or takes what is still missing when it enriches."""
+    path = str(tmp_path / "enriched")
+    append_enriched(enriched(spark, [rich(1)]), path)
+    table = enriched_table(spark, path)
+    at = table.manifest()
+    assert (at.version, at.appends) == (0, ["."])
+    first = table.append(enriched(spark, [rich(2), rich(3)]), at)
+    with pytest.raises(StaleVersion):
+        table.append(enriched(spark, [rich(4)]), at)
+    assert table.manifest() == first and {r.movie_id for r in table.read().collect()} == {1, 2, 3}
+    assert {r.movie_id for r in table.read(at).collect()} == {1}  # a reader of the older version is not disturbed
+    for bad in ([rich(5), rich(5)], [rich(2)], [rich(1), rich(6)]):
+        with pytest.raises(ValueError):
+            table.append(enriched(spark, bad), first)
+    assert table.append(enriched(spark, []), first) == first
+
+    def interrupted(pool):
+        now = table.manifest()
+        if now == first:
+            table.append(enriched(spark, [rich(7, score=1), rich(8, score=1)]), now)
+        return enriched(spark, [rich(r.movie_id, score=9) for r in pool.collect()])
+
+    movies = spark.createDataFrame([(i,) for i in (1, 7, 8, 9)], "movie_id bigint")
+    got = {r.movie_id: r.production_effectiveness_score for r in enrichment.enrich_incremental(movies, path, interrupted).collect()}
+    assert got == {1: 5, 7: 1, 8: 1, 9: 9} and table.manifest().version == 3
+    assert {r.movie_id for r in scan_enriched(spark, path).collect()} == {1, 2, 3, 7, 8, 9}
+
+
+def test_lookups_do_not_shuffle_the_base(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "enriched")
+    table = enriched_table(spark, path)
+    at = table.append(enriched(spark, [rich(i) for i in range(200)]), table.manifest())
+    at = table.compact(4, table.append(enriched(spark, [rich(i) for i in range(200, 300)]), at))
+    assert (at.version, at.buckets, at.appends) == (3, 4, [])
+    at = table.append(enriched(spark, [rich(300)]), at)
+    again = table.compact(4, at)
+    requested = spark.createDataFrame([(i,) for i in (5, 250, 300, 301)], "movie_id bigint")
+    assert [r.movie_id for r in table.missing(requested, again).collect()] == [301]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for frame in (table.missing(requested, again), table.found(requested, again)):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        assert sorted(r.movie_id for r in table.found(requested, at).collect()) == [5, 250, 300]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    monkeypatch.setattr(enrichment, "MOST_APPENDS", 1)
+    for i in (400, 401, 402):
+        enrichment.enrich_incremental(spark.createDataFrame([(i,)], "movie_id bigint"), path, lambda pool: enriched(spark, [rich(r.movie_id) for r in pool.collect()]))
+    assert len(table.manifest().appends) <= 1 and table.read().count() == 304
+
+
 def test_first_enrichment_with_a_scorer(spark, tmp_path):
     movies = catalog(spark, [movie(1), movie(2, budget=0), movie(3, overview=""), movie(4)])
     pool = enrichment.rated_pool(movies, ratings(spark, [(1, 1, 4, 1), (2, 1, 3, 1)]))
