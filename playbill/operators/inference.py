@@ -6,13 +6,12 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from playbill.contracts import Field
 from playbill.functions.text import answer_text, without_fences
 from playbill.operators.validate import read_fields
-from playbill.session import new_run_dir
+from playbill.session import new_run_dir, written
 
 # A scorer gets prompts and the attempt number and returns, row by row, ``content`` (a list of blocks
 # with ``text`` or ``reasoning``), ``input_tokens`` and ``output_tokens``, and optionally ``error``. PermissionError ends the run.
@@ -67,48 +66,54 @@ def _asker(scorer: Scorer, attempt: int, run: str):
     return ask
 
 
-def _written(spark, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as exc:
-        if exc.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+def _committed(spark, path: str) -> DataFrame | None:
+    """Answers of the parts that were written whole: those whose folder Spark has marked as successful."""
+    jvm = spark.sparkContext._jvm
+    marks = jvm.org.apache.hadoop.fs.Path(f"{path}/*/_SUCCESS")
+    found = marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marks)
+    folders = [str(f.getPath().getParent()) for f in found or []]
+    return spark.read.parquet(*folders) if folders else None
 
 
 def run_inference(
     prompts: DataFrame, scorer: Scorer, fields: Sequence[Field], model: str, retries: int = 2,
-    key: str = "movie_id", run_dir: str | None = None, partitions: int | None = None,
+    key: str = "movie_id", run_dir: str | None = None, partitions: int | None = None, rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Ask for every row of ``prompts`` (``key``, ``prompt``), up to ``1 + retries`` times.
 
-    Each round's prompts and answers are written to ``run_dir`` before anything reads them: a retry, a
-    later action or a lost executor then reads the table instead of rendering prompts or paying the
-    scorer again. With an earlier run's
-    ``run_dir`` only rows without a written answer are asked; rows that failed count as unanswered. Turn speculation off for these jobs.
-    ``partitions`` is the number of tasks; by default one per core, or as many as keep each at ROWS_PER_TASK rows, so that
-    a lost executor repeats few calls. A key that is given twice is asked once.
+    A round's prompts are rendered and written once, dealt to numbered parts of ``partitions`` tasks of about ``rows_per_task`` rows. The parts are asked one after the
+    other, each part's answers being written to a folder of their own that counts only once it is whole: no more calls than a part's are
+    in flight, and whatever ends a run costs the answers of one part at most. With the ``run_dir`` of an
+    earlier run only rows without a written answer are asked; rows that failed count as unanswered. Turn speculation off for these jobs.
+    ``partitions`` is by default one per core. A key that is given twice is asked once.
 
     Result: ``key``, the fields, ``status`` (ok, invalid, error), ``attempts``, ``reject_reason``,
     tokens summed over all attempts, and ``model``."""
     spark = prompts.sparkSession
-    if partitions is None:
-        partitions = max(spark.sparkContext.defaultParallelism, -(-prompts.count() // ROWS_PER_TASK))
+    partitions = partitions or spark.sparkContext.defaultParallelism
     run_dir, run = run_dir or new_run_dir(spark, "inference"), uuid.uuid4().hex
     key_type = dict(prompts.dtypes)[key]
     pending, rounds = prompts.select(F.col(key).alias("key"), "prompt").dropDuplicates(["key"]), []
     for attempt in range(retries + 1):
         path = f"{run_dir}/round-{attempt}"
-        earlier = _written(spark, path)
-        todo = pending if earlier is None else pending.join(earlier.filter("error is null").select("key"), "key", "left_anti")
-        todo.repartition(partitions, "key").mapInPandas(_asker(scorer, attempt, run), f"key {key_type}, {_ANSWER}").write.mode("append").parquet(path)
+        earlier = _committed(spark, path)
+        asked = written(pending, "prompts")
+        todo = asked if earlier is None else written(asked.join(earlier.filter("error is null").select("key"), "key", "left_anti"), "prompts")
+        parts = -(-todo.count() // (partitions * rows_per_task))
+        number = F.pmod(F.xxhash64("key"), F.lit(max(1, parts)))
+        for part in range(parts):
+            folder = f"{path}/{run}-{part}"
+            todo.where(number == part).repartition(partitions, "key").mapInPandas(_asker(scorer, attempt, run), f"key {key_type}, {_ANSWER}").write.parquet(folder)
+            refused = spark.read.parquet(folder).filter("denied").select("error").head(1)
+            if refused:
+                raise PermissionError(refused[0]["error"])
+        answers = _committed(spark, path)
+        if answers is None:
+            answers = spark.createDataFrame([], f"key {key_type}, {_ANSWER}")
         # Failures of an earlier run are asked again; only this run's failures stand.
-        answers = spark.read.parquet(path).filter(F.col("error").isNull() | (F.col("run") == run))
+        answers = answers.filter(F.col("error").isNull() | (F.col("run") == run))
         if earlier is not None:
-            answers = answers.join(pending.select("key"), "key", "left_semi")
-        refused = answers.filter("denied").select("error").head(1)
-        if refused:
-            raise PermissionError(refused[0]["error"])
+            answers = answers.join(asked.select("key"), "key", "left_semi")
         judged = read_fields(
             clean_answers(answers).withColumn("attempt", F.lit(attempt)), F.col("answer"), fields,
             keep=["key", "prompt", "attempt", "input_tokens", "output_tokens", "error"],

@@ -113,6 +113,33 @@ def test_written_answers_are_not_asked_again(spark, tmp_path):
     assert [r.movie_id for r in fewer.collect()] == [2] and len(list((tmp_path / "calls").iterdir())) == 6
 
 
+def test_a_killed_run_repeats_one_part(spark, tmp_path):
+    asked = spark.createDataFrame([(i, f"p{i}") for i in range(120)], "movie_id bigint, prompt string")
+    calls, kill = tmp_path / "calls", tmp_path / "kill"
+    calls.mkdir()
+    kill.touch()
+
+    def scorer(batch, attempt):
+        import os
+
+        for prompt in batch:
+            if prompt == "p77" and kill.exists():
+                os._exit(1)
+            open(os.path.join(calls, f"{prompt}-{uuid.uuid4().hex}"), "w").close()
+        return answers(['{"seats": 1, "town": "a"}'] * len(batch))
+
+    options = {"run_dir": str(tmp_path / "run"), "partitions": 2, "rows_per_task": 5}
+    with pytest.raises(Exception, match="exited unexpectedly|crashed"):
+        run_inference(asked, scorer, EXAMPLE, "m", **options)
+    before = len(list(calls.iterdir()))
+    kill.unlink()
+    got = run_inference(asked, scorer, EXAMPLE, "m", **options)
+    assert got.filter("status = 'ok'").count() == 120
+    made = [p.name.partition("-")[0] for p in calls.iterdir()]
+    assert len(set(made)) == 120 and 0 < before < 120
+    assert len(made) - 120 <= 25  # a part holds 10 rows on average; the hash deals unevenly
+
+
 def test_a_refused_run_can_be_resumed(spark, tmp_path):
     asked = spark.createDataFrame([(i, "p") for i in range(4)], "movie_id bigint, prompt string")
     run = str(tmp_path / "run")
