@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from playbill.operators import heavy_keys, profile_report, quantiles, rules, vectors
+from playbill.sources.layout import along_curve
 
 VECTORS = "vec_id long, embedding array<float>"
 
@@ -117,3 +118,25 @@ def test_percentiles_of_a_million_distinct_values(spark):
     assert [described.first()[c] for c in ("p50", "p90")] == pytest.approx(np.quantile(values, [0.5, 0.9]).tolist(), rel=1e-12)
     assert profile_report.describe(frame.limit(0), "x", (0.5,)).first()["p50"] is None
     assert quantiles.values_at(frame, "x", [0, 999_999]) == {0: values[0], 999_999: values[-1]}
+
+
+def scanned(frame) -> int:
+    """Rows that the scan below a filter passed on after it skipped row groups."""
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_bounds_skip_row_groups_along_the_curve(spark, tmp_path):
+    rng = random.Random(6)
+    rows = spark.createDataFrame([(i, rng.choice([None, *range(1950, 2020)]), rng.choice([0, rng.randrange(10 ** 8)]), rng.randrange(300), "Released") for i in range(20_000)],
+                                 "movie_id long, filter_year int, budget long, runtime int, status string")
+    along_curve(rows, 64).write.parquet(f"{tmp_path}/curve")
+    rows.repartition(64, "movie_id").write.parquet(f"{tmp_path}/hashed")
+    curve, hashed = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("curve", "hashed"))
+    assert sorted(map(str, curve.collect())) == sorted(map(str, rows.collect()))
+    # 64 ranges cut each of three axes four times, so a bound on one of them leaves about a quarter, and what lies across its edge.
+    for bound in ("filter_year between 1960 and 1965", "budget > 90000000", "runtime < 20", "filter_year > 2010 and budget between 1000000 and 20000000"):
+        assert scanned(hashed.where(bound)) == 20_000
+        few = scanned(curve.where(bound))
+        assert 0 < few <= 20_000 / 2 and few >= hashed.where(bound).count(), (bound, few)
+    assert scanned(curve.where("filter_year > 2010 and budget between 1000000 and 20000000")) <= 20_000 / 5

@@ -13,7 +13,8 @@ from playbill.operators.ratings import movie_rating_stats
 from playbill.operators.rules import enrich_by_rules
 from playbill.operators.validate import validate_enriched
 from playbill.plans.enrichment import eligible_pool
-from playbill.session import configure, new_run_dir
+from playbill.session import configure, new_run_dir, written
+from playbill.sources.layout import along_curve
 from playbill.sources.sinks import append_enriched
 from playbill.sources.tables import prepare_catalog, scan_enriched
 
@@ -92,7 +93,7 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     if fresh:
         path = new_run_dir(spark, "tables")
         files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        prepare_catalog(map_catalog(spark, sf_dir).repartition(files, "movie_id")).write.parquet(f"{path}/catalog")
+        along_curve(written(prepare_catalog(map_catalog(spark, sf_dir)), "catalog"), files).write.parquet(f"{path}/catalog")
         map_ratings(spark, sf_dir).repartition(files).write.parquet(f"{path}/ratings")
     catalog, ratings = spark.read.parquet(f"{path}/catalog"), spark.read.parquet(f"{path}/ratings")
     if fresh:
