@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from playbill.functions.numbers import roi
+from playbill.operators.breaks import tiers_by_breaks
 from playbill.operators.heavy_keys import LEAST_ROWS, SHARE, heavy_keys, split_join
 from playbill.operators.ranking import percent_ranks, top_per_key
 from playbill.session import written
@@ -74,17 +75,23 @@ def sentiments_from_lexicon(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def enrich_by_rules(
     pool: DataFrame, stats: DataFrame, sentiments: DataFrame, norms: DataFrame | None = None,
-    cuts: tuple[float, float] = TIER_CUTS, k: int = THEMES,
+    cuts: tuple[float, float] = TIER_CUTS, k: int = THEMES, breaks: bool = False,
 ) -> DataFrame:
     """Enriched rows for a prepared pool. ``stats`` has ``movie_id, avg_rating``, ``sentiments`` has
     ``movie_id, overview_sentiment`` (missing: neutral). Tiers and scores compare a row with its
-    primary genre in ``norms`` (default: the pool itself), which must contain the pool."""
+    primary genre in ``norms`` (default: the pool itself), which must contain the pool. Tiers are thirds of the rank (``cuts``), or, with
+    ``breaks``, start where the genre's amounts part by themselves."""
     def measured(rows: DataFrame) -> DataFrame:
         return rows.select("movie_id", "primary_genre", "budget", "revenue", roi(F.col("revenue"), F.col("budget")).alias("roi"))
 
     among = None if norms is None else measured(norms)
     ranks = percent_ranks(measured(pool), "movie_id", "primary_genre", ["budget", "revenue", "roi"], among)
     n_words = F.size(F.filter(words(F.col("overview")), lambda w: w != ""))
+    by_rank = ranks.select("movie_id", "roi_rank", tier(F.col("budget_rank"), cuts).alias("budget_tier"), tier(F.col("revenue_rank"), cuts).alias("revenue_tier"))
+    if breaks:
+        ranks = by_rank.select("movie_id", "roi_rank").join(tiers_by_breaks(measured(pool), "movie_id", "primary_genre", ["budget", "revenue"], among), "movie_id")
+    else:
+        ranks = by_rank
     return (
         pool.select("movie_id", "title", n_words.cast("long").alias("input_tokens"))
         .join(ranks, "movie_id")
@@ -94,8 +101,7 @@ def enrich_by_rules(
         .select(
             "movie_id", "title",
             F.coalesce("overview_sentiment", F.lit("neutral")).alias("overview_sentiment"),
-            tier(F.col("budget_rank"), cuts).alias("budget_tier"),
-            tier(F.col("revenue_rank"), cuts).alias("revenue_tier"),
+            "budget_tier", "revenue_tier",
             effectiveness(F.col("roi_rank"), F.col("avg_rating")).alias("production_effectiveness_score"),
             F.coalesce("themes", F.array().cast("array<string>")).alias("themes"),
             "input_tokens",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from playbill.operators import heavy_keys, profile_report, quantiles, rules, vectors
+from playbill.operators import baseline, breaks, heavy_keys, profile_report, quantiles, rules, vectors
 from playbill.sources.layout import along_curve
 
 VECTORS = "vec_id long, embedding array<float>"
@@ -140,3 +141,48 @@ def test_bounds_skip_row_groups_along_the_curve(spark, tmp_path):
         few = scanned(curve.where(bound))
         assert 0 < few <= 20_000 / 2 and few >= hashed.where(bound).count(), (bound, few)
     assert scanned(curve.where("filter_year > 2010 and budget between 1000000 and 20000000")) <= 20_000 / 5
+
+
+def test_effects(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    user, item = rng.normal(0, 0.4, 60), rng.normal(0, 0.6, 40)
+    rows = [(int(u), int(m), float(np.clip(3 + user[u] + item[m], 0.5, 5))) for u, m in zip(rng.integers(0, 60, 4000), rng.integers(0, 40, 4000))]
+    frame = spark.createDataFrame([*rows, (None, 1, 5.0), (1, 2, None)], "user_id long, movie_id long, rating double")
+    mean, items, users = baseline.fit_effects(frame)
+    assert mean == pytest.approx(np.mean([r for *_, r in rows]))
+    asked = spark.createDataFrame([*rows, (999, 1, 3.0), (1, 999, 3.0), (None, None, 3.0)], "user_id long, movie_id long, actual double")
+    effects = baseline.errors("effects", baseline.predict_effects(asked, mean, items, users)).first()
+    plain = baseline.errors("mean", asked.withColumn("predicted_rating", F.lit(mean))).first()
+    assert effects.n == 4003 and effects.rmse < 0.25 < plain.rmse
+    monkeypatch.setattr(baseline, "heavy_keys", lambda rows, key: [1, 2, 3])  # split joins give the same effects
+    again = {r.movie_id: r.item_effect for r in baseline.fit_effects(frame)[1].collect()}
+    assert again == pytest.approx({r.movie_id: r.item_effect for r in items.collect()})
+    mean, items, users = baseline.fit_effects(frame.limit(0))
+    assert mean is None and baseline.predict_effects(asked, mean, items, users).where("predicted_rating is not null").isEmpty()
+
+
+def test_breaks_by_hand():
+    rng = random.Random(12)
+    for _ in range(60):
+        values = sorted(rng.choice([rng.randrange(5), rng.randrange(40), rng.randrange(200, 210)]) for _ in range(rng.randint(1, 40)))
+        cells, counts = np.unique(values, return_counts=True)
+        medium, high = breaks.two_breaks(cells, counts)
+        spread = lambda v: sum((x - sum(v) / len(v)) ** 2 for x in v)
+        classes = lambda a, b: ([v for v in values if v < a], [v for v in values if a <= v < b], [v for v in values if v >= b])
+        if len(cells) < 3:
+            assert [len(set(c)) for c in classes(medium, high)] == ([0, 1, 0] if len(cells) == 1 else [1, 0, 1])
+            continue
+        least = min(sum(map(spread, classes(a, b))) for a, b in itertools.combinations(cells[1:], 2))
+        assert sum(map(spread, classes(medium, high))) == pytest.approx(least, abs=1e-6)
+
+
+def test_natural_tiers(spark):
+    amounts = [10, 12, 11, 1000, 1100, 900, 10 ** 9, 2 * 10 ** 9]
+    rows = [(i, "Drama", a, 5) for i, a in enumerate(amounts)] + [(50, "Drama", 0, None), (51, None, 7, 9), (52, "War", 1 << 62, 3), (53, "War", 3, 3)]
+    got = {r.movie_id: (r.budget_tier, r.revenue_tier) for r in breaks.tiers_by_breaks(spark.createDataFrame(rows, "movie_id long, g string, budget long, revenue long"), "movie_id", "g", ["budget", "revenue"]).collect()}
+    assert [got[i][0] for i in range(8)] == ["low"] * 3 + ["medium"] * 3 + ["high"] * 2 and {got[i][1] for i in range(8)} == {"medium"}
+    assert got[50] == (None, None) and got[51] == ("medium", "medium") and (got[52][0], got[53][0]) == ("high", "low")
+    cells = spark.createDataFrame([(1 << k,) for k in range(63)] + [((1 << 63) - 1,), (0,), (15,), (17,), (31,), (32,), (33,)], "a long").select("a", breaks.amount_cell(F.col("a")).alias("c")).orderBy("a").collect()
+    known = [r.c for r in cells if r.a > 0]
+    assert cells[0].c is None and known == sorted(known)
+    assert {r.a: r.c for r in cells if r.a in (1, 15, 16, 31, 32, 33)} == {1: 1, 15: 15, 16: 16, 31: 31, 32: 32, 33: 32}

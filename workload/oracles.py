@@ -118,6 +118,40 @@ _CTES["predictions"] = """
         CASE WHEN known AND n >= 3 THEN greatest(0.5, least(5.0,
             floor((user_mean + coalesce(CAST(n_genre AS DOUBLE) / (n_genre + 5) * (genre_mean - user_mean), 0.0)) * 2 + 0.5) / 2)) END AS predicted_rating
     FROM features"""
+_CUT = "DATE '1997-01-01'"
+_CELL = "CASE WHEN {0} < 16 THEN {0} ELSE (length(bin({0})) - 5) * 16 + ({0} >> (length(bin({0})) - 5)) END"
+_CTES["amounts"] = f"""
+    SELECT measure, primary_genre, movie_id, CASE WHEN amount > 0 THEN CAST({_CELL.format("amount")} AS INTEGER) END AS cell FROM (
+        SELECT 'budget' AS measure, primary_genre, movie_id, budget AS amount FROM eligible UNION ALL SELECT 'revenue', primary_genre, movie_id, revenue FROM eligible)"""
+_CTES["cell_sums"] = """
+    SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY measure, primary_genre) AS m, sum(n) OVER w - n AS rows0, sum(s) OVER w - s AS s0, sum(q) OVER w - q AS q0,
+        sum(n) OVER (PARTITION BY measure, primary_genre) AS rows1, sum(s) OVER (PARTITION BY measure, primary_genre) AS s1, sum(q) OVER (PARTITION BY measure, primary_genre) AS q1
+    FROM (SELECT measure, primary_genre, cell, CAST(count(*) AS BIGINT) AS n, CAST(count(*) * cell AS BIGINT) AS s, CAST(count(*) * cell * cell AS BIGINT) AS q
+        FROM amounts WHERE cell IS NOT NULL GROUP BY 1, 2, 3)
+    WINDOW w AS (PARTITION BY measure, primary_genre ORDER BY cell)"""
+_CTES["breaks"] = """
+    SELECT measure, primary_genre, arg_min(a_cell, (cost, a_cell, b_cell)) AS medium_from, arg_min(b_cell, (cost, a_cell, b_cell)) AS high_from FROM (
+        SELECT a.measure, a.primary_genre, a.cell AS a_cell, b.cell AS b_cell,
+            a.q0 - CAST(a.s0 * a.s0 AS DOUBLE) / a.rows0 + (b.q0 - a.q0 - CAST((b.s0 - a.s0) * (b.s0 - a.s0) AS DOUBLE) / (b.rows0 - a.rows0))
+                + (b.q1 - b.q0 - CAST((b.s1 - b.s0) * (b.s1 - b.s0) AS DOUBLE) / (b.rows1 - b.rows0)) AS cost
+        FROM cell_sums a JOIN cell_sums b ON a.measure = b.measure AND a.primary_genre = b.primary_genre AND a.cell < b.cell AND a.place > 1) GROUP BY 1, 2
+    UNION ALL SELECT measure, primary_genre, max(cell), CASE WHEN count(*) = 1 THEN max(cell) + 1 ELSE max(cell) END FROM cell_sums WHERE m < 3 GROUP BY 1, 2"""
+_CTES["train_ratings"] = f"SELECT * FROM ratings WHERE ts < {_CUT}"
+_CTES["test_ratings"] = f"SELECT user_id, movie_id, rating AS actual FROM ratings WHERE ts >= {_CUT}"
+_CTES["test_pairs"] = "SELECT DISTINCT user_id, movie_id FROM test_ratings"
+_CTES["test_history"] = _HISTORY.format(pairs="test_pairs").replace("JOIN ratings h", "JOIN train_ratings h")
+_CTES["test_features"] = _CTES["features"].replace("FROM pairs p", "FROM test_pairs p").replace("JOIN history h", "JOIN test_history h")
+_CTES["rule_predictions"] = _CTES["predictions"].replace("FROM features", "FROM test_features")
+_CTES["user_effect0"] = "SELECT user_id, CAST(0 AS DOUBLE) AS user_effect FROM train_ratings GROUP BY 1"
+for _k in range(3):
+    _rest = "sum(rating - (SELECT avg(rating) FROM train_ratings) - coalesce({0}_effect, 0)) / (count(*) + 10.0)"
+    _CTES[f"item_effect{_k + 1}"] = f"SELECT movie_id, {_rest.format('user')} AS item_effect FROM train_ratings LEFT JOIN user_effect{_k} USING (user_id) GROUP BY 1"
+    _CTES[f"user_effect{_k + 1}"] = f"SELECT user_id, {_rest.format('item')} AS user_effect FROM train_ratings LEFT JOIN item_effect{_k + 1} USING (movie_id) GROUP BY 1"
+_CTES["three_predictions"] = """
+    SELECT 'effects' AS model, greatest(0.5, least(5.0, m + coalesce(item_effect, 0) + coalesce(user_effect, 0))) AS p, actual
+    FROM test_ratings LEFT JOIN item_effect3 USING (movie_id) LEFT JOIN user_effect3 USING (user_id), (SELECT avg(rating) AS m FROM train_ratings)
+    UNION ALL SELECT 'mean', m, actual FROM test_ratings, (SELECT avg(rating) AS m FROM train_ratings)
+    UNION ALL SELECT 'history rule', predicted_rating, actual FROM test_ratings JOIN rule_predictions USING (user_id, movie_id)"""
 _CTES["deltas"] = """
     SELECT user_id, movie_id, predicted_rating, actual, round(abs(predicted_rating - actual), 2) AS delta
     FROM (SELECT user_id, movie_id, max(struct_pack(ts := ts, rating := rating)).rating AS actual FROM ratings GROUP BY 1, 2)
@@ -460,6 +494,12 @@ def _oracles() -> dict[str, str]:
             LEFT JOIN (SELECT user_id, movie_id, count(*) AS n FROM customer_history GROUP BY 1, 2) h ON h.user_id = p.user_id AND h.movie_id = p.movie_id"""
     bodies["model_profiles"] = """SELECT user_id, n_ratings, mean_rating, 'ok' AS status, 'g' AS favorite_genres, 'mixed' AS typical_sentiment,
             concat(n, ' lines') AS summary FROM user_means JOIN (SELECT user_id, count(*) AS n FROM ranked_ratings GROUP BY 1) USING (user_id)"""
+    bodies["rating_baseline"] = """SELECT model, count(*) AS n, round(sqrt(avg((p - actual) ** 2)), 6) AS rmse, round(avg(abs(p - actual)), 6) AS mae
+        FROM three_predictions WHERE p IS NOT NULL GROUP BY 1"""
+    bodies["tier_breaks"] = "SELECT measure, primary_genre, CAST(medium_from AS INTEGER) AS medium_from, CAST(high_from AS INTEGER) AS high_from FROM breaks"
+    bodies["natural_tiers"] = """SELECT movie_id, max(t) FILTER (measure = 'budget') AS budget_tier, max(t) FILTER (measure = 'revenue') AS revenue_tier FROM (
+        SELECT a.measure, movie_id, CASE WHEN cell IS NULL THEN NULL WHEN cell < medium_from THEN 'low' WHEN cell < high_from THEN 'medium' ELSE 'high' END AS t
+        FROM amounts a LEFT JOIN breaks b ON a.measure = b.measure AND a.primary_genre = b.primary_genre) GROUP BY 1"""
     bodies["similar_titles_exact"] = """SELECT vec_id, CAST(rank AS INTEGER) AS rank, similar_id, round(score, 6) AS score FROM (
         SELECT q.vec_id, i.vec_id AS similar_id, list_cosine_similarity(q.e, i.e) AS score,
             row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e, i.e), 9) DESC, i.vec_id) AS rank

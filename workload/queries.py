@@ -12,7 +12,7 @@ from playbill.functions.dates import filter_year, release_year
 from playbill.functions.names import first_three, parse_names, primary_name
 from playbill.functions.numbers import abs_error, roi
 from playbill.operators import (
-    filters, history, inference, lookup, predict, profile_report as report, profiles, ratings as rated, sampling, search, validate, vectors,
+    baseline, breaks, filters, history, inference, lookup, predict, profile_report as report, profiles, ratings as rated, sampling, search, validate, vectors,
 )
 from playbill.operators.rules import sentiments_from_lexicon, words
 from playbill.plans import enrichment, evaluation, models, prompts
@@ -325,6 +325,18 @@ def prediction_eval(t: Tables) -> DataFrame:
     return evaluation.evaluate_predictions(t.ratings, t.catalog, t.enriched)
 
 
+def rating_baseline(t: Tables) -> DataFrame:
+    """Three models fitted on the ratings before a day and held against those from then on."""
+    train, test = baseline.split_by_time(t.ratings, F.lit("1997-01-01").cast("date"))
+    asked = test.select("user_id", "movie_id", F.col("rating").alias("actual"))
+    mean, items, users = baseline.fit_effects(train)
+    by_rule = predict.predict_ratings(asked.select("user_id", "movie_id").distinct(), train, t.catalog).select("user_id", "movie_id", "predicted_rating")
+    made = {"effects": baseline.predict_effects(asked, mean, items, users), "mean": asked.withColumn("predicted_rating", F.lit(mean).cast("double")),
+            "history rule": asked.join(by_rule, ["user_id", "movie_id"])}
+    rows = [baseline.errors(name, predicted) for name, predicted in made.items()]
+    return rounded(rows[0].unionByName(rows[1]).unionByName(rows[2]))
+
+
 def user_profiles(t: Tables) -> DataFrame:
     made = profiles.user_profiles(t.ratings, t.catalog, t.enriched)
     return made.withColumn("favorite_genres", F.array_join("favorite_genres", ",")).withColumn("favorite_themes", F.array_join("favorite_themes", ","))
@@ -468,6 +480,9 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "enrich_incremental": enrich_incremental,
     "batch_inference": batch_inference,
     "prediction_eval": prediction_eval,
+    "rating_baseline": rating_baseline,
+    "tier_breaks": lambda t: breaks.tier_breaks(enrichment.eligible_pool(t.catalog), "primary_genre", ["budget", "revenue"]),
+    "natural_tiers": lambda t: breaks.tiers_by_breaks(enrichment.eligible_pool(t.catalog), "movie_id", "primary_genre", ["budget", "revenue"]),
     "similar_titles": lambda t: similar_titles(t),
     "similar_titles_exact": lambda t: similar_titles(t, 1 << 30),
     "lexicon_sentiment": lambda t: sentiments_from_lexicon(enrichment.eligible_pool(t.catalog), label_lexicon(t)),
