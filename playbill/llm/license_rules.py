@@ -169,29 +169,42 @@ def rule_literals(rules: list[Rule]) -> Column:
     return F.from_json(F.lit(rows), "array<struct<p: int, l: string, k: string, x: string, s: double, b: boolean>>")
 
 
+#: Passes of a running value: enough for 2 ** DOUBLINGS items.
+DOUBLINGS = 24
+
+
+def running(values: Column, combine, level: int = 0) -> Column:
+    """At each place the combined value of all items up to it. Each pass reaches twice as far back as the one before, so n items take log n passes."""
+    if level == DOUBLINGS:
+        return values
+    step = 1 << level
+
+    def deeper(v: Column) -> Column:
+        reached = F.transform(v, lambda x, i: F.when(i >= step, combine(x, F.get(v, i - step))).otherwise(x))
+        return F.when(F.size(v) > step, running(reached, combine, level + 1)).otherwise(v)
+
+    return _let(values, deeper)
+
+
 def _matches(line: Column, rule: Column) -> Column:
     """Detections of one rule: the text between matches gives the words before each."""
-    found = F.regexp_extract_all(line, rule["x"], F.lit(0))
-    parts = F.split(line, rule["x"], F.lit(-1))
+    def placed(found: Column) -> Column:
+        parts = F.slice(F.split(line, rule["x"], F.lit(-1)), 1, F.size(found))
+        ends = running(F.zip_with(parts, found, lambda p, m: (spaces(p) + spaces(m)).cast("long")), lambda x, y: x + y)
+        return F.zip_with(found, ends, lambda match, end: F.struct(
+            (end - spaces(match)).cast("long").alias("start"), (-end).cast("long").alias("minus_end"), rule["p"].alias("priority"),
+            rule["l"].alias("label"), rule["s"].alias("relevance"), rule["b"].alias("base")))
 
-    def place(match: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda n, p: n + spaces(p))
-        before = before + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda n, m: n + spaces(m))
-        return F.struct(
-            before.cast("long").alias("start"), (-before - spaces(match)).cast("long").alias("minus_end"), rule["p"].alias("priority"),
-            rule["l"].alias("label"), rule["s"].alias("relevance"), rule["b"].alias("base"))
-
-    return F.transform(found, place)
+    return _let(F.regexp_extract_all(line, rule["x"], F.lit(0)), placed)
 
 
 def _unsuppressed(sorted_found: Column) -> Column:
     """Keeps a detection if none before it (start ascending, end descending, priority ascending) reaches its end."""
-    ends = F.transform(sorted_found, lambda d: -d["minus_end"])
-
-    def first_to_reach(d: Column, i: Column) -> Column:
-        return (i == 0) | (F.array_max(F.slice(ends, 1, i)) < -d["minus_end"])
+    def kept(found: Column) -> Column:
+        reach = running(F.transform(found, lambda d: -d["minus_end"]), lambda x, y: F.greatest(x, y))
+        return _let(reach, lambda r: F.filter(found, lambda d, i: (i == 0) | (F.get(r, i - 1) < -d["minus_end"])))
 
-    return F.filter(sorted_found, first_to_reach)
+    return _let(sorted_found, kept)
 
 
 def scanned(documents: DataFrame, rules: list[Rule] | None = None) -> DataFrame:

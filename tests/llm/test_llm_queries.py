@@ -6,6 +6,7 @@ import hashlib
 import os
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -75,6 +76,19 @@ def test_license_forms(spark):
     assert {r[0]: tuple(r)[1:] for r in license_rules.digest(rows).collect()} == {i: scan_by_hand(t or "") for i, t in enumerate(texts)}
 
 
+def test_many_detections_in_one_text(spark):
+    """Twice the detections take little more than twice as long."""
+    unit = "mit license, all rights reserved; licensed under the apache license. "
+    seconds = []
+    for n in (500, 4_000, 8_000):
+        rows = spark.createDataFrame([(1, unit * n)], "doc_id long, text string")
+        start = time.perf_counter()
+        row = license_rules.digest(rows).collect()[0]
+        seconds.append(time.perf_counter() - start)
+        assert row.n_base == 2 * n and row.last_word == 10 * n - 2
+    assert seconds[2] <= 2.5 * seconds[1] + 1, seconds
+
+
 def test_every_rule_passes_the_trigger():
     plain = re.compile(license_rules.TRIGGERS)
     for rule in license_rules.signature_rules():
