@@ -44,6 +44,7 @@ RESULT_COLUMNS = (
     "production_effectiveness_score", "themes",
 )
 
+# Columns of the stored enrichment table.
 ENRICHED_SCHEMA = T.StructType([
     T.StructField("movie_id", T.LongType()),
     T.StructField("title", T.StringType()),
@@ -73,6 +74,7 @@ class Field:
     max_items: int | None = None
 
 
+# Fields of requests and answers, with their bounds.
 FILTER_FIELDS = (
     Field("genres", "texts", nullable=False),
     Field("budget_tier", "text", choices=TIERS),

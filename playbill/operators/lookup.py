@@ -30,7 +30,12 @@ def find_titles(requests: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def compare_rows(requests: DataFrame, catalog: DataFrame, enriched: DataFrame) -> DataFrame:
     """Long form of ``compare``: one row per requested id, with ``position``, ``in_catalog`` and ``is_enriched``."""
-    asked = requests.select("request_id", F.posexplode("movie_ids").alias("position", "movie_id"))
+    return _compared(requests.select("request_id", F.posexplode("movie_ids").alias("position", "movie_id")), catalog, enriched).select(
+        "request_id", "position", "in_catalog", "is_enriched", *RESULT_COLUMNS)
+
+
+def _compared(asked: DataFrame, catalog: DataFrame, enriched: DataFrame) -> DataFrame:
+    """Requested ids with the facts of the catalog and the enrichment table."""
     facts = (
         prepare_catalog(catalog)
         .select("movie_id", "title", "release_year", "budget", "revenue", "runtime")
@@ -41,7 +46,6 @@ def compare_rows(requests: DataFrame, catalog: DataFrame, enriched: DataFrame) -
         .withColumn("in_catalog", F.coalesce("in_catalog", F.lit(False)))
         .withColumn("is_enriched", F.col("overview_sentiment").isNotNull())
         .withColumn("themes", F.coalesce("themes", F.array().cast("array<string>")))
-        .select("request_id", "position", "in_catalog", "is_enriched", *RESULT_COLUMNS)
     )
 
 
@@ -54,19 +58,15 @@ def compare(requests: DataFrame, catalog: DataFrame, enriched: DataFrame) -> Dat
     """Comparison table per request ``(request_id, movie_ids)``: rows in request order, repeats kept.
     Ids not in the catalog are named in the note; otherwise those not enriched are. Fewer than two
     ids is an error. A group is one request's own id list, so it stays as small as its input row."""
-    too_few = F.coalesce(F.size("movie_ids"), F.lit(0)) < 2
-    rows = (
-        compare_rows(requests.filter(~too_few), catalog, enriched)
-        .groupBy("request_id")
-        .agg(F.array_sort(F.collect_list(F.struct("position", "in_catalog", "is_enriched", *RESULT_COLUMNS))).alias("rows"))
-        .withColumn("missing", F.exists("rows", lambda r: ~r["in_catalog"]))
-        .withColumn("plain", F.exists("rows", lambda r: r["in_catalog"] & ~r["is_enriched"]))
-        .select(
-            "request_id",
-            F.transform(F.filter("rows", lambda r: r["in_catalog"]), lambda r: F.struct(*[r[c].alias(c) for c in RESULT_COLUMNS])).alias("movies"),
-            F.when(F.col("missing"), F.concat(F.lit("not found: "), _ids("rows", lambda r: ~r["in_catalog"])))
-            .when(F.col("plain"), F.concat(F.lit("not enriched: "), _ids("rows", lambda r: r["in_catalog"] & ~r["is_enriched"])))
-            .alias("note"),
-        )
+    few = F.when(F.coalesce(F.size("movie_ids"), F.lit(0)) < 2, F.lit("at least two ids are needed"))
+    listed = requests.select("request_id", few.alias("error"), F.when(few.isNull(), F.col("movie_ids")).alias("movie_ids"))
+    asked = listed.select("request_id", "error", F.posexplode_outer("movie_ids").alias("position", "movie_id"))
+    entry = F.when(F.col("position").isNotNull(), F.struct("position", "in_catalog", "is_enriched", *RESULT_COLUMNS))
+    rows = _compared(asked, catalog, enriched).groupBy("request_id").agg(F.max("error").alias("error"), F.array_sort(F.collect_list(entry)).alias("rows"))
+    fine = F.col("error").isNull()
+    movies = F.transform(F.filter("rows", lambda r: r["in_catalog"]), lambda r: F.struct(*[r[c].alias(c) for c in RESULT_COLUMNS]))
+    note = (
+        F.when(F.exists("rows", lambda r: ~r["in_catalog"]), F.concat(F.lit("not found: "), _ids("rows", lambda r: ~r["in_catalog"])))
+        .when(F.exists("rows", lambda r: r["in_catalog"] & ~r["is_enriched"]), F.concat(F.lit("not enriched: "), _ids("rows", lambda r: r["in_catalog"] & ~r["is_enriched"])))
     )
-    return requests.select("request_id", F.when(too_few, F.lit("at least two ids are needed")).alias("error")).join(rows, "request_id", "left")
+    return rows.select("request_id", "error", F.when(fine, movies).alias("movies"), F.when(fine, note).alias("note"))

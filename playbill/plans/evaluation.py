@@ -56,7 +56,7 @@ def dry_run_table(enriched: DataFrame) -> DataFrame:
     return enriched.select(
         "movie_id", "title", F.col("overview_sentiment").alias("sentiment"), "budget_tier", "revenue_tier",
         F.col("production_effectiveness_score").alias("score"), F.array_join("themes", ", ").alias("themes"),
-        F.col("input_tokens").alias("in_tok"), F.col("output_tokens").alias("out_tok"))
+        F.col("input_tokens").alias("tokens_asked"), F.col("output_tokens").alias("tokens_answered"))
 
 
 def cost_report(enriched: DataFrame, prices: dict[str, tuple[float, float]] = PRICES) -> DataFrame:

@@ -59,12 +59,23 @@ def test_single_filter_checks_like_the_table():
     assert check_filters({"limit": "8", "min_score": 8.0, "unknown": 1}) == {"genres": [], "limit": 8, "min_score": 8}
 
 
+def within(field: Field):
+    """A value at the lower bound of a field."""
+    if field.kind == "texts":
+        return [f"item {k}" for k in range(field.min_items or 1)]
+    return field.choices[-1] if field.choices else field.low
+
+
 def test_enriched_rows(spark):
-    good = ("positive", "low", "low", 5, ["a", "b", "c"])
-    rows = [good, (*good[:3], 11, good[4]), (*good[:4], ["a", "b"]), (*good[:4], list("abcdef")), ("mixed", *good[1:]), (None, *good[1:])]
-    names = [f.name for f in ENRICHED_FIELDS]
-    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], ["i", *names])
-    assert [r.valid for r in validate_enriched(frame).orderBy("i").collect()] == [True, False, False, False, False, False]
+    """One row at the bounds, then rows that leave them in one field each."""
+    good = {f.name: within(f) for f in ENRICHED_FIELDS}
+    rows = [good]
+    for f in ENRICHED_FIELDS:
+        lists = [["x"] * n for n in (f.min_items - 1, f.max_items + 1)] if f.kind == "texts" else []
+        rows += [good | {f.name: value} for value in [None, *lists, *(v for v in beyond(f) if not (f.kind == "int" and not isinstance(v, int)))]]
+    schema = "i int, " + ", ".join(f"{f.name} {'array<string>' if f.kind == 'texts' else 'int' if f.kind == 'int' else 'string'}" for f in ENRICHED_FIELDS)
+    frame = spark.createDataFrame([(i, *r.values()) for i, r in enumerate(rows)], schema)
+    assert [r.valid for r in validate_enriched(frame).orderBy("i").collect()] == [True] + [False] * (len(rows) - 1)
 
 
 def test_predictions_and_profiles(spark):

@@ -210,8 +210,8 @@ _CTES["specs_text"] = """
         WHEN 3 THEN '{"genres": ["Economy", "ECONOMY", "small"], "revenue_tier": "low", "limit": 50}'
         WHEN 4 THEN '{"genres": ["%"], "limit": 5}'
         WHEN 5 THEN concat('{"max_budget": ', s_suppkey * 1000, ', "min_runtime": 10, "max_runtime": 40, "sort_by": "runtime_desc"}')
-        WHEN 6 THEN '{"budget_tier": "huge", "limit": 0}'
-        WHEN 7 THEN '{"min_score": 5.5, "limit": 999, "sort_by": "arbitrary"}'
+        WHEN 6 THEN '{"budget_tier": "LOW", "limit": -3}'
+        WHEN 7 THEN '{"min_score": 7.25, "limit": 51, "sort_by": "title_asc"}'
         WHEN 8 THEN '{"min_year": 1990'
         WHEN 9 THEN concat('{"max_budget": ', s_suppkey * 1000, ', "sort_by": "score_desc"}')
         WHEN 10 THEN concat('{"min_runtime": ', s_suppkey % 50, ', "limit": 50}')
@@ -354,7 +354,7 @@ def _oracles() -> dict[str, str]:
             JOIN user_means USING (user_id) GROUP BY user_id""",
         "prediction_delta": "SELECT * FROM deltas",
         "dry_run_table": """SELECT movie_id, title, overview_sentiment AS sentiment, budget_tier, revenue_tier, production_effectiveness_score AS score,
-            array_to_string(themes, ', ') AS themes, input_tokens AS in_tok, output_tokens AS out_tok FROM enriched""",
+            array_to_string(themes, ', ') AS themes, input_tokens AS tokens_asked, output_tokens AS tokens_answered FROM enriched""",
         "filter_status": _found(),
         "filter_year_range": _found("filter_year BETWEEN 1990 AND 1999"),
         "filter_budget_range": _found("budget BETWEEN 100000 AND 300000"),

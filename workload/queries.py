@@ -48,8 +48,8 @@ def filter_requests(t: Tables) -> DataFrame:
         .when(kind == 3, F.lit('{"genres": ["Economy", "ECONOMY", "small"], "revenue_tier": "low", "limit": 50}'))
         .when(kind == 4, F.lit('{"genres": ["%"], "limit": 5}'))
         .when(kind == 5, F.concat(F.lit('{"max_budget": '), (s * 1000).cast("string"), F.lit(', "min_runtime": 10, "max_runtime": 40, "sort_by": "runtime_desc"}')))
-        .when(kind == 6, F.lit('{"budget_tier": "huge", "limit": 0}'))
-        .when(kind == 7, F.lit('{"min_score": 5.5, "limit": 999, "sort_by": "arbitrary"}'))
+        .when(kind == 6, F.lit('{"budget_tier": "LOW", "limit": -3}'))
+        .when(kind == 7, F.lit('{"min_score": 7.25, "limit": 51, "sort_by": "title_asc"}'))
         .when(kind == 8, F.lit('{"min_year": 1990'))
         .when(kind == 9, F.concat(F.lit('{"max_budget": '), (s * 1000).cast("string"), F.lit(', "sort_by": "score_desc"}')))
         .when(kind == 10, F.concat(F.lit('{"min_runtime": '), (s % 50).cast("string"), F.lit(', "limit": 50}')))
