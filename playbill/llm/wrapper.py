@@ -33,6 +33,9 @@ from playbill.llm.common import add_columns, binary, by_value, map_rows, written
 by_value(__name__)
 
 CONSTANT, LEAST_PAGES = 0.9, 5
+#: Article or main elements are the main text if they hold this part of it, one in MARKED, at least.
+MARKED = 5
+REMEMBERED = 20_000
 SALTS = 32
 #: Child pairs whose matching is traced in one array; more are halved first.
 CELLS = 1_000_000
@@ -54,7 +57,13 @@ NEVER_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer "
     "sidebar aside widget cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing "
     "social related recommended comment comments reply replies respond disqus form search skip pagination pager".split())
+#: Of these, what an article element may be called too.
+REPLY_NAMES = frozenset("comment comments reply replies respond disqus related recommended sponsored promo advert advertisement".split())
+LAYOUT_WORDS = frozenset("list lists section area thread wrapper wrap container box bar block blocks content inner outer main top bottom left right item items link links unit slot page site".split())
+OWN_PARTS = frozenset("article post entry story content".split())
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+#: For what lies behind the last end of a CDATA section: looking for another one would read the rest of the page each time.
+TAG_ONLY = re.compile(TAG.pattern.replace(r"<!\[CDATA\[.*?\]\]>|", ""), re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
@@ -74,20 +83,55 @@ def attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(source)}
 
 
-def never_content(tag: str, found: dict[str, str]) -> bool:
-    if tag in NEVER_TAGS or "hidden" in found or found.get("role", "").lower() in NEVER_ROLES or found.get("aria-hidden") == "true":
+def names_of(found: dict[str, str]) -> list[list[str]]:
+    """The words of each class and of the id, in lower case."""
+    names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}".replace("-", "_")).replace("_", "-")
+    return [[w for w in re.split(r"[^a-z0-9]+", name) if w and not w.isdigit()] for name in names.lower().split()]
+
+
+def never_named(words: list[str]) -> bool:
+    """A name says what an element is by its last word, or by its first if only words of layout follow: a comment list is one of comments, a guide to search results
+    is no search. The header of an article or post is part of it."""
+    if not words or (words[-1] == "header" and words[0] in OWN_PARTS):
+        return False
+    return words[-1] in NEVER_NAMES or (words[0] in NEVER_NAMES and LAYOUT_WORDS.issuperset(words[1:]))
+
+
+def never_content(tag: str, found: dict[str, str], inside: bool = False) -> bool:
+    """Whether an element is never main text; ``inside`` tells that it lies in an article, whose header holds its headline."""
+    if (tag in NEVER_TAGS and not (inside and tag == "header")) or "hidden" in found or found.get("role", "").lower() in NEVER_ROLES or found.get("aria-hidden") == "true":
         return True
-    names = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower())
-    return tag not in ("html", "body", "article", "main") and not NEVER_NAMES.isdisjoint(names)
+    names = names_of(found)
+    if tag in ("article", "main"):
+        return any(len(words) == 1 and words[0] in REPLY_NAMES for words in names)
+    return tag not in ("html", "body") and any(map(never_named, names))
+
+
+_judged: dict[tuple, bool] = {}
+
+
+def judged(tag: str, source: str, inside: bool) -> tuple[dict[str, str], bool]:
+    """Attributes of an element and whether it is never content; elements recur, so up to REMEMBERED verdicts are kept."""
+    if not source.strip(" /"):
+        return {}, never_content(tag, {}, inside)
+    found = attributes(source)
+    key = (tag, inside, found.get("class"), found.get("id"), found.get("role"), found.get("aria-hidden"), "hidden" in found)
+    if key not in _judged:
+        if len(_judged) >= REMEMBERED:
+            _judged.clear()
+        _judged[key] = never_content(tag, found, inside)
+    return found, _judged[key]
 
 
 def parse(source: str) -> Node:
     """The tree of a page. End tags close up to the nearest open element of their name; blocks end open paragraphs."""
     root = Node("html", "html", False)
     open_: list[tuple[str, Node]] = [("html", root)]  # every open element, with the node that takes its text
+    count: Counter = Counter()  # of them, by tag: what is not open is not looked for
     at = 0
 
     def close_to(i: int) -> None:
+        count.subtract(tag for tag, _ in open_[max(1, i):])
         del open_[max(1, i):]
         open_[-1][1].parts.append(None)
 
@@ -95,33 +139,33 @@ def parse(source: str) -> Node:
         if part and not (part.isspace() and not open_[-1][1].parts):
             open_[-1][1].parts.append(part)
 
-    closing = source.rfind(">")
-    while at <= closing and (m := TAG.search(source, at)):
+    closing, sections = source.rfind(">"), source.rfind("]]>")
+    while at <= closing and (m := (TAG if at <= sections else TAG_ONLY).search(source, at)):
         text(source[at:m.start()])
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(open_) - 1, 0, -1):
+            for i in range(len(open_) - 1 if count[tag] else 0, 0, -1):
                 if open_[i][0] == tag:
                     if tag in BLOCKS or open_[i][1] is not open_[i - 1][1]:
                         close_to(i)
                     else:
                         del open_[i]
+                        count[tag] -= 1
                     break
                 if tag not in BLOCKS and open_[i][0] in BLOCKS:
                     break
             continue
-        if tag in BLOCKS:
+        if tag in BLOCKS and (count["p"] or any(count[t] for t in SAME_ENDS.get(tag, ()))):
             for i in range(len(open_) - 1, 0, -1):
                 if open_[i][0] == "p" or open_[i][0] in SAME_ENDS.get(tag, ()):
                     close_to(i)
                     break
                 if open_[i][0] in CONTAINERS:
                     break
-        found = attributes(m[3]) if m[3].strip(" /") else {}
-        never = never_content(tag, found)
+        found, never = judged(tag, m[3], count["article"] > 0)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             at = end.end() if end else len(source)
@@ -138,6 +182,7 @@ def parse(source: str) -> Node:
             holder.parts.append(node)
             holder = node
         open_.append((tag, holder))
+        count[tag] += 1
     if at < len(source):
         rest = source[at:]
         text(rest[:rest.find("<")] if re.search(r"<[a-zA-Z/!?]", rest) else rest)
@@ -395,8 +440,11 @@ def main_text(source: str, pivot: list | None, template: dict[int, str]) -> str:
             if id(spot) in constant:
                 drop.add(id(node))
             queue += zip(node.nodes(), spot[2])
-    chosen = articles(root) or [root]
-    return "\n".join(b for n in chosen for b in blocks(n, lambda c: id(c) in drop))
+    dropped = lambda c: id(c) in drop
+    every = blocks(root, dropped)
+    marked = [b for n in articles(root) for b in blocks(n, dropped)]
+    # An article or main counts if it holds a fair part of what is left; teasers do not stand for the body beside them.
+    return "\n".join(marked if MARKED * sum(map(len, marked)) >= sum(map(len, every)) > 0 else every)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

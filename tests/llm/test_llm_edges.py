@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import time
 import uuid
 
 import numpy as np
@@ -117,6 +118,28 @@ def test_large_pages_are_aligned_whole():
     assert wrapper.matching(a, json.loads(json.dumps(a)))[0] == 6000 + 3
 
 
+def test_names_and_marked_parts():
+    text = lambda page: wrapper.main_text(page, None, {})
+    body = "long text " * 40
+    assert text("<article><p>Body text here</p><article class='comment odd'><p>nice</p></article></article>") == "Body text here"
+    assert text("<header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>Body</p></article>") == "Title\nBody"
+    assert text("<article><div class='article-header'><h1>Head</h1></div><p>Body</p></article>") == "Head\nBody"
+    assert text(f"<body><div class=body><p>{body}</p></div><article><p>teaser</p></article>") == f"{body.strip()}\nteaser"
+    assert text("<div class='search-results-guide'><p>guide</p></div>") == "guide"
+    for name in ("site-header", "comment-list", "main-nav", "searchForm", "sidebar widget-area", "post_comments", "ad-slot-3", "cookie-notice"):
+        assert text(f"<div class='{name}'>no</div><p>yes</p>") == text(f"<div id='{name.split()[0]}'>no</div><p>yes</p>") == "yes", name
+
+
+@pytest.mark.parametrize("hostile", [lambda n: "<![CDATA[ x>" * n, lambda n: "<blockquote>" * n, lambda n: "<section>" * n + "</h1>" * n])
+def test_hostile_markup_in_linear_time(hostile):
+    seconds = []
+    for n in (20_000, 40_000):
+        start = time.perf_counter()
+        wrapper.parse(hostile(n))
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] <= 2.5 * seconds[0] + 0.3, seconds
+
+
 def test_chat_layouts(spark):
     texts = ["</s>[INST] ok [/INST]", "\\ <|im_end|>\n<|im_start|>user", "", "plain \\n \\\\", "<<SYS>> <</SYS>> <s>"]
     table = spark.createDataFrame([(1, t, "assistant" if t % 2 else "user", x) for t, x in enumerate(texts)] + [(2, None, None, None), (2, 1, "a\nb", "x"), (None, 0, "user", "y")],
