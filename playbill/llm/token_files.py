@@ -9,7 +9,7 @@ the number of ids before each shard; it is written last, so a folder without it
 A block is read without any other: every checkpoint starts a lane, all lanes of some blocks look up MAX_BITS bits in one table and move on by the
 length found there. A document longer than a block is in several of them; what is asked of it is put together from its parts.
 
-Texts are split at ASCII white space, which no piece of the vocabulary's own pattern crosses, so a worker encodes each distinct piece once
+Texts are split at ASCII white space, which no piece of the vocabulary's own pattern crosses, so a worker encodes each distinct word once
 and keeps at most MEMORY of them; they are encoded by the tokenizers library itself, special tokens being ordinary text.
 
 Defined results: null and empty texts have the end id alone; null doc_ids come first; of repeated doc_ids the smaller checksum of ids comes first,
@@ -35,7 +35,7 @@ by_value(__name__)
 END = 2
 MAX_BITS = 20
 BLOCK, STEP = 65_536, 256
-#: Bytes of text that are split at once, bytes of a piece that is kept, pieces kept.
+#: Bytes of text that are split at once, letters of a word that is kept, words kept.
 SLICE, LONG, MEMORY = 4 << 20, 64, 800_000
 
 
@@ -50,7 +50,7 @@ BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not
 
 
 class _Pieces(dict):
-    """Packed ids by piece of text."""
+    """Packed ids by piece of some texts."""
 
     def __init__(self, vocabulary: str, kind: str):
         from tokenizers import Tokenizer
@@ -76,7 +76,9 @@ class _Pieces(dict):
                 ids = words.get(word)
                 if ids is None and word.isalpha():
                     letters = word if plain else word.encode().decode("latin-1").translate(BYTE_LETTERS)
-                    words[word] = ids = array(code, [t.id for t in tokenize(letters)]).tobytes()
+                    ids = array(code, [t.id for t in tokenize(letters)]).tobytes()
+                    if len(word) <= LONG:
+                        words[word] = ids
                 if ids is not None:
                     if len(word) < len(text):
                         marks = text[len(word):]
@@ -95,15 +97,11 @@ class _Pieces(dict):
         return [array(self.code, e.ids).tobytes() for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encoded(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text. Only the pieces of these texts are held, so that the many lookups stay near; the words behind them are kept."""
         split = [t.split() for t in texts]
-        new = set().union(*split).difference(self)
-        self.learn(new)
-        ids = [b"".join(map(self.__getitem__, pieces)) for pieces in split]
-        for long in [p for p in new if len(p) > LONG]:
-            del self[long]
-        if len(self) > MEMORY:
-            self.clear()
-        return ids
+        self.clear()
+        self.learn(set().union(*split))
+        return [b"".join(map(self.__getitem__, pieces)) for pieces in split]
 
 
 def _pieces(table) -> _Pieces:
