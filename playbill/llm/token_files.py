@@ -10,7 +10,7 @@ A block is read without any other: every checkpoint starts a lane, all lanes of
 length found there. A document longer than a block is in several of them; what is asked of it is put together from its parts.
 
 Texts are split at ASCII white space, which no piece of the vocabulary's own pattern crosses, so a worker encodes each distinct word once
-and keeps at most MEMORY of them; they are encoded by the tokenizers library itself, special tokens being ordinary text.
+and keeps MEMORY of them, or those of one slice more; they are encoded by the tokenizers library itself, special tokens being ordinary text.
 
 Defined results: null and empty texts have the end id alone; null doc_ids come first; of repeated doc_ids the smaller checksum of ids comes first,
 and equal rows follow one another. No documents give empty tables, which read back as no rows. Other columns play no part."""
@@ -36,7 +36,7 @@ END = 2
 MAX_BITS = 20
 BLOCK, STEP = 65_536, 256
 #: Bytes of text that are split at once, letters of a word that is kept, words kept.
-SLICE, LONG, MEMORY = 4 << 20, 64, 800_000
+SLICE, LONG, MEMORY = 8 << 20, 64, 800_000
 
 
 # Ids of texts.
@@ -50,7 +50,7 @@ BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not
 
 
 class _Pieces(dict):
-    """Packed ids by piece of some texts."""
+    """Packed ids by piece, as a mapping those of all texts of late."""
 
     def __init__(self, vocabulary: str, kind: str):
         from tokenizers import Tokenizer
@@ -97,11 +97,14 @@ class _Pieces(dict):
         return [array(self.code, e.ids).tobytes() for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encoded(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text. Only the pieces of these texts are held, so that the many lookups stay near; the words behind them are kept."""
+        """Ids of each text. They are joined from a smaller mapping of the pieces of these texts, so that the many lookups stay near."""
         split = [t.split() for t in texts]
-        self.clear()
-        self.learn(set().union(*split))
-        return [b"".join(map(self.__getitem__, pieces)) for pieces in split]
+        pieces = set().union(*split)
+        if len(self) > MEMORY:
+            self.clear()
+        self.learn(pieces.difference(self))
+        ids = dict(zip(pieces, map(self.__getitem__, pieces)))
+        return [b"".join(map(ids.__getitem__, some)) for some in split]
 
 
 def _pieces(table) -> _Pieces:
