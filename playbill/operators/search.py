@@ -179,19 +179,86 @@ def _repeated(rows: DataFrame, salts: int) -> DataFrame:
     return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
-def looked_through(items: DataFrame, specs: DataFrame, found: list[Axis], salts: int) -> DataFrame:
-    """(spec_id, limit, _sort, movie_id): rows that requests meet under their facets and accept. A row with several wanted genres counts under the first."""
+#: What a request asks of a row, besides its facet and order.
+_ASKED = ("wanted", "min_year", "max_year", "min_budget", "max_budget", "min_runtime", "max_runtime", "budget_tier", "revenue_tier", "sentiment", "min_score")
+#: Rows of a facet that are looked through together, and how many times as many rows of it the next round looks through.
+BLOCK, GROWTH = 512, 8
+
+
+def _probes(specs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The different questions of the requests (probe, facet, by, limit and bounds), one for each facet, and (spec_id, limit, probe) of the requests that ask them."""
+    asked = specs.withColumn("facet", F.explode("facets")).withColumn("by", F.coalesce("sort_by", F.lit(""))).select("spec_id", "limit", "facet", "by", *_ASKED)
+    asked = asked.withColumn("_question", F.to_json(F.struct("facet", "by", *_ASKED)))
+    once = asked.groupBy("_question").agg(F.max("limit").alias("limit"), *(F.first(c).alias(c) for c in ("facet", "by", *_ASKED)))
+    probes = written(once.withColumn("probe", F.monotonically_increasing_id()), "probes")
+    return probes.drop("_question"), asked.select("spec_id", "limit", "_question").join(probes.select("_question", "probe"), "_question").drop("_question")
+
+
+def _blocks(items: DataFrame, probes: DataFrame, found: list[Axis]) -> tuple[DataFrame, DataFrame]:
+    """The rows of each facet in each order that is asked for there, numbered in ``block``s of BLOCK rows, and the ranges of values of each block. No task numbers
+    a whole facet: rows are dealt by ranges of the order and numbered there, after as many as the ranges before hold."""
     facets = F.array_compact(F.concat(
         F.transform("genre_keys", lambda g: _facet("genre", g)), F.array(F.when(F.col("overview_sentiment").isNotNull(), F.lit("enriched"))), _item_nodes(found)))
-    asked = specs.withColumn("facet", F.explode("facets")).drop("facets", "tops")
-    rows = items.withColumn("facet", F.explode(facets)).join(asked.select("facet").distinct(), "facet", "left_semi")
+    rows = items.withColumn("facet", F.explode(facets)).join(probes.select("facet", "by").distinct(), "facet").withColumn("_sort", _sort_value("", F.col("by")))
+    order = [F.desc_nulls_last("_sort"), F.asc("movie_id")]
+    dealt = written(rows.repartitionByRange("facet", "by", *order).withColumn("_dealt", F.spark_partition_id()), "facet-rows")
+    sizes = dealt.groupBy("facet", "by", "_dealt").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("facet", "by").orderBy("_dealt").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("facet", "by", "_dealt", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("facet", "by", "_dealt").orderBy(*order)) - 1
+    numbered = dealt.withColumn("_inside", inside).join(starts, ["facet", "by", "_dealt"])
+    rows = written(numbered.withColumn("block", F.floor((F.col("_before") + F.col("_inside")) / BLOCK)).drop("_dealt", "_inside", "_before"), "facet-blocks")
+    values = ("filter_year", "budget", "runtime", "production_effectiveness_score")
+    ranges = [f(c).alias(f"{end}_{c}") for c in values for f, end in ((F.min, "least"), (F.max, "most"))]
+    return rows, written(rows.groupBy("facet", "by", "block").agg(*ranges), "block-ranges")
+
+
+def _may_hold() -> Column:
+    """Whether the ranges of a block ``b`` leave room for a row that the request ``s`` accepts."""
+    holds = F.lit(True)
+    for bound, column in {**{low: axis for axis, (low, _) in _BOUNDS.items()}, "min_score": "production_effectiveness_score"}.items():
+        holds &= F.col(f"s.{bound}").isNull() | F.coalesce(F.col(f"b.most_{column}") >= F.col(f"s.{bound}"), F.lit(False))
+    for column, (_, bound) in _BOUNDS.items():
+        holds &= F.col(f"s.{bound}").isNull() | F.coalesce(F.col(f"b.least_{column}") <= F.col(f"s.{bound}"), F.lit(False))
+    return holds
+
+
+def looked_through(items: DataFrame, specs: DataFrame, found: list[Axis], salts: int) -> DataFrame:
+    """(spec_id, limit, _sort, movie_id): the best rows that requests meet under each of their facets and accept, up to ``limit``. A row with several wanted genres counts under the first.
+
+    Equal requests are answered once. The rows of a facet are looked through in the order that is asked for, first BLOCK of them, then in each
+    round GROWTH times as many, and a request that has its rows asks no further; blocks whose values are all out of bounds are passed over. So a request meets about as many rows as it takes to find
+    ``limit`` that it accepts, whatever the facet holds; only one that accepts hardly any row of its facet goes through all of it."""
+    probes, links = _probes(specs)
+    rows, ranges = _blocks(items, probes, found)
+    lasts = ranges.groupBy("facet", "by").agg(F.max("block").alias("_last"))
+    open_probes = written(probes.join(lasts, ["facet", "by"]), "open-probes")
     first_common = F.get(F.array_intersect(F.col("s.wanted"), F.col("i.genre_keys")), F.lit(0))
     once = (F.size("s.wanted") == 0) | (F.col("i.facet") == _facet("genre", first_common))
-    return (
-        _salted(rows, salts, "movie_id").alias("i")
-        .join(_repeated(asked, salts).alias("s"), (F.col("i.facet") == F.col("s.facet")) & (F.col("i.salt") == F.col("s.salt")) & _spec_accepts() & once)
-        .select("s.spec_id", "s.limit", _sort_value("i.", F.col("s.sort_by")).alias("_sort"), "i.movie_id")
-    )
+    best = Window.partitionBy("probe").orderBy(F.desc_nulls_last("_sort"), "movie_id")
+    at, end, made = 0, 1, []
+    while not open_probes.isEmpty():
+        same = (F.col("s.facet") == F.col("b.facet")) & (F.col("s.by") == F.col("b.by"))
+        near = ranges.where((F.col("block") >= at) & (F.col("block") < end))
+        asked = open_probes.alias("s").join(near.alias("b"), same & _may_hold()).select("s.*", "b.block")
+        # The first block is the one that all requests of a facet meet.
+        spread = salts if at == 0 else 1
+        met = (
+            _salted(rows.where((F.col("block") >= at) & (F.col("block") < end)), spread, "movie_id").alias("i")
+            .join(_repeated(asked, spread).alias("s"), (F.col("i.facet") == F.col("s.facet")) & (F.col("i.by") == F.col("s.by")) & (F.col("i.block") == F.col("s.block"))
+                  & (F.col("i.salt") == F.col("s.salt")) & _spec_accepts() & once)
+            .select("s.probe", "s.limit", "i._sort", "i.movie_id")
+        )
+        taken = met.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= MAX_LIMIT).filter(F.col("_place") <= F.col("limit"))
+        made.append(written(taken.select("probe", "_sort", "movie_id"), "taken"))
+        counts = made[-1].groupBy("probe").agg(F.count(F.lit(1)).alias("_taken"))
+        left = open_probes.where(F.col("_last") >= end).join(counts, "probe", "left").withColumn("limit", (F.col("limit") - F.coalesce("_taken", F.lit(0))).cast(probes.schema["limit"].dataType))
+        open_probes = written(left.where("limit > 0").drop("_taken"), "open-probes")
+        at, end = end, end * GROWTH
+    every = items.sparkSession.createDataFrame([], "probe long, _sort long, movie_id long") if not made else made[0]
+    for part in made[1:]:
+        every = every.unionByName(part)
+    return links.join(every, "probe").select("spec_id", "limit", "_sort", "movie_id")
 
 
 def best_of_nodes(items: DataFrame, specs: DataFrame, found: list[Axis], salts: int) -> DataFrame:
@@ -228,8 +295,8 @@ def search_batch(catalog: DataFrame, enriched: DataFrame, specs: DataFrame, salt
 
     Requests and rows meet on facets instead of pairwise: on genres, on being enriched, and on the nodes of a dyadic index of years, budgets and
     runtimes (see ``intervals``), whose cells are read before planning. The placed requests are written once, as several joins read them. What has only one range, or none, takes the ready best of whole nodes. A facet may hold a large part of the
-    catalog, so its rows are spread over ``salts`` join keys and the requests repeated per salt. The remaining bounds are tested inside the
-    join on narrow rows, each task keeps at most MAX_LIMIT of them per request before the final
+    catalog, so its rows are looked through best first until a request has its rows (``looked_through``); what all requests of a facet meet is spread over ``salts`` join keys and the requests repeated per salt. The
+    remaining bounds are tested inside the join on narrow rows, each task keeps at most MAX_LIMIT of them per request before the final
     shuffle, and titles and themes are added to the winners only.
 
     Requests with values out of bounds are not answered; ``refused_requests`` lists them, and with ``report`` each has one row here, with its reason

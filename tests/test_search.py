@@ -187,6 +187,31 @@ def test_range_requests_meet_few_rows(spark):
     assert {r.spec_id for r in tops} >= {0, 1, 2, 3, 4, 5, 6} and max(r["count"] for r in tops) <= 50 * 2 * intervals.LEVELS
 
 
+def test_requests_stop_at_their_limit(spark, monkeypatch):
+    """Many unlike requests under one large facet: each passes on no more rows than it asks for, found block by block, and they are the right ones."""
+    monkeypatch.setattr("playbill.operators.search.BLOCK", 16)
+    rng = random.Random(4)
+    rows = [(i, 1900 + rng.randrange(120), rng.randrange(1000), rng.choice([None, rng.randrange(9)]), rng.randrange(1, 300), rng.choice([["drama"], ["drama", "war"], ["war"]]), "neutral",
+             rng.choice(["low", "high"]), "low", rng.randrange(1, 11)) for i in range(3000)]
+    items = spark.createDataFrame(rows, "movie_id long, filter_year int, budget long, revenue long, runtime int, genre_keys array<string>, overview_sentiment string, "
+                                        "budget_tier string, revenue_tier string, production_effectiveness_score int")
+    found = intervals.axes(items, ["filter_year", "budget", "runtime"])
+    specs = [{"genres": ["war", "drama"], "max_budget": i * 20, "sort_by": by, "limit": 7} for i in range(20) for by in SORT_COLUMNS]
+    specs += [{"genres": ["drama"], "min_score": 9, "budget_tier": "low", "limit": 50, "sort_by": "revenue_desc"}] * 3 + [{"sentiment": "neutral", "max_runtime": 0}, {"min_score": 10, "limit": 9}]
+    frame = parse_filter_specs(spark.createDataFrame([(i, json.dumps(s)) for i, s in enumerate(specs)], "spec_id int, filter_json string"))
+    met = looked_through(items, _placed(frame.withColumn("wanted", F.col("genres")), found), found, 2).collect()
+    got = {}
+    for r in sorted(met, key=lambda r: (r._sort is None, -(r._sort or 0), r.movie_id)):
+        got.setdefault(r.spec_id, []).append(r.movie_id)
+    facts = {r.movie_id: r.asDict() | {"status": "Released"} for r in items.collect()}
+    for row in frame.collect():
+        mine = got.get(row.spec_id, [])
+        assert len(mine) <= row.limit * max(1, len(row.genres))
+        wanted = row.asDict()
+        kept = [m for m in facts.values() if (wanted["min_score"] or 0) <= m["production_effectiveness_score"] and wanted["budget_tier"] in (None, m["budget_tier"])]
+        assert mine[:row.limit] == brute(kept, {}, wanted | {"min_score": None, "budget_tier": None, "sentiment": None}), wanted
+
+
 def test_bad_requests_are_reported(spark, tables):
     specs = spark.createDataFrame([(1, [], 99, None), (2, [], 10, None), (3, [], 5, "by luck")], "spec_id int, genres array<string>, limit int, sort_by string")
     for f in ("min_year", "max_year", "min_budget", "max_budget", "min_runtime", "max_runtime", "min_score"):
