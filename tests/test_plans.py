@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from playbill.operators import history, predict, profiles, sampling
 from playbill.plans import enrichment
 from workload.queries import QUERIES, bind
-from workload.tables import tables
+from workload.tables import _WRITERS, tables
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -40,6 +40,24 @@ def test_no_cross_joins(spark, large, name):
         assert "BroadcastExchange" not in text
 
 
+def test_queries_write_only_the_tables_they_read(spark, monkeypatch):
+    """Counts of ratings need neither catalog nor enrichment, a distribution of the catalog no ratings; similar vectors none of them. Texts are written once."""
+    written = []
+    monkeypatch.setattr("workload.tables._paths", {})
+    monkeypatch.setattr("workload.tables._stored", set())
+    monkeypatch.setattr("workload.tables._WRITERS", {name: lambda t, path, name=name, write=write: (written.append(name), write(t, path)) for name, write in _WRITERS.items()})
+    tables(spark, SF_DIR).read("embeddings")
+    assert written == []
+    bind(QUERIES["active_users"])(spark, SF_DIR)
+    assert written == ["ratings"]
+    bind(QUERIES["genre_distribution"])(spark, SF_DIR)
+    bind(QUERIES["title_ids"])(spark, SF_DIR)
+    assert written == ["ratings", "catalog"]
+    bind(QUERIES["enriched_lookup"])(spark, SF_DIR)
+    bind(QUERIES["query_movies_score"])(spark, SF_DIR)
+    assert written == ["ratings", "catalog", "enriched"]
+
+
 def test_rankings_are_cut_before_the_shuffle(large):
     text = plan(history.newest_per_user(large.ratings, large.catalog))
     assert len(re.findall(r"WindowGroupLimit .*Partial", text)) == 2
