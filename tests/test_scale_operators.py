@@ -48,6 +48,20 @@ def test_similar_vectors(spark, monkeypatch, blocks):
     assert sum((i, j) in found for i, near in truth.items() for j in near) >= 0.9 * sum(map(len, truth.values()))
 
 
+def test_queries_go_once_to_a_slab(spark, monkeypatch):
+    """Whatever the number of cells that a query looks into, it meets each slab of bounded size as one row."""
+    monkeypatch.setattr(vectors, "ENTRY_BLOCK", 100)
+    frame = spark.createDataFrame(vector_rows(), VECTORS)
+    index = vectors.build_index(frame)
+    sizes = [r["count"] for r in index.cells.groupBy("slab").count().collect()]
+    assert len(index.centroids) > 4 * len(sizes) and max(sizes) <= 200 and sum(sizes) == 600
+    kept = []
+    monkeypatch.setattr(vectors, "written", lambda rows, name, write=vectors.written: kept.append(write(rows, name)) or kept[-1])
+    found = vectors.similar(index, frame.where("vec_id % 20 = 0"), probes=10 ** 9)
+    assert kept[-1].groupBy("vec_id").count().where(F.col("count") > len(sizes)).isEmpty()
+    assert "explode(cells" not in found._jdf.queryExecution().toString()
+
+
 def test_no_vectors(spark):
     frame = spark.createDataFrame([(1, None)], VECTORS)
     assert vectors.similar(vectors.build_index(frame), frame).collect() == []
