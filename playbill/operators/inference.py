@@ -97,13 +97,15 @@ def run_inference(
     for attempt in range(retries + 1):
         path = f"{run_dir}/round-{attempt}"
         earlier = _committed(spark, path)
-        asked = written(pending, "prompts")
-        todo = asked if earlier is None else written(asked.join(earlier.filter("error is null").select("key"), "key", "left_anti"), "prompts")
-        parts = -(-todo.count() // (partitions * rows_per_task))
-        number = F.pmod(F.xxhash64("key"), F.lit(max(1, parts)))
+        asked = pending if earlier is None else written(pending, "prompts")
+        todo = asked if earlier is None else asked.join(earlier.filter("error is null").select("key"), "key", "left_anti")
+        parts = -(-todo.select("key").count() // (partitions * rows_per_task))
+        # Each part is read by itself: the prompts of a round are written once and read once, however many parts there are.
+        numbered = todo.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(max(1, parts))).cast("int"))
+        todo = written(numbered.repartition(max(1, parts), "part") if parts > 1 else numbered, "prompts", by="part")
         for part in range(parts):
             folder = f"{path}/{run}-{part}"
-            todo.where(number == part).repartition(partitions, "key").mapInPandas(_asker(scorer, attempt, run), f"key {key_type}, {_ANSWER}").write.parquet(folder)
+            todo.where(F.col("part") == part).drop("part").repartition(partitions, "key").mapInPandas(_asker(scorer, attempt, run), f"key {key_type}, {_ANSWER}").write.parquet(folder)
             refused = spark.read.parquet(folder).filter("denied").select("error").head(1)
             if refused:
                 raise PermissionError(refused[0]["error"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from frames import catalog, enriched, movie, ratings, rich
 from playbill.contracts import ENRICHED_FIELDS, Field
+from playbill.operators import inference
 from playbill.operators.inference import run_inference
 from playbill.operators.rules import enrich_by_rules, sentiments_from_lexicon, themes
 from playbill.plans import enrichment, evaluation, prompts
@@ -140,6 +141,19 @@ def test_a_killed_run_repeats_one_part(spark, tmp_path):
     assert len(made) - 120 <= 25  # a part holds 10 rows on average; the hash deals unevenly
 
 
+def test_a_part_reads_its_own_prompts(spark, monkeypatch):
+    """The prompts of a round lie in a folder for each part, so the parts together read each prompt once; a key given twice is asked once."""
+    kept = []
+    monkeypatch.setattr(inference, "written", lambda *a, write=inference.written, **k: kept.append(write(*a, **k)) or kept[-1])
+    asked = spark.createDataFrame([(i % 60, f"p{i % 60}") for i in range(70)], "movie_id bigint, prompt string")
+    got = run_inference(asked, lambda batch, attempt: answers(['{"seats": 1, "town": "a"}'] * len(batch)), EXAMPLE, "m", partitions=2, rows_per_task=5)
+    assert {r.movie_id: r.status for r in got.collect()} == dict.fromkeys(range(60), "ok")
+    prompts, = kept
+    files = [prompts.where(F.col("part") == part).select("key", F.input_file_name().alias("file")).collect() for part in range(6)]
+    assert sum(map(len, files)) == 60 and all(f"/part={part}/" in r.file for part, rows in enumerate(files) for r in rows)
+    assert "PartitionFilters: [isnotnull(part" in prompts.where("part = 1")._jdf.queryExecution().toString()
+
+
 def test_a_refused_run_can_be_resumed(spark, tmp_path):
     asked = spark.createDataFrame([(i, "p") for i in range(4)], "movie_id bigint, prompt string")
     run = str(tmp_path / "run")
