@@ -9,6 +9,9 @@ from playbill.functions.text import strip
 from playbill.operators.search import with_enrichment
 from playbill.sources.tables import prepare_catalog
 
+#: About so many requests for a title meet about so many rows of the catalog with it at a time.
+ASKED, KNOWN = 256, 4096
+
 
 def lookup_enriched(requests: DataFrame, enriched: DataFrame) -> DataFrame:
     """Enriched columns for each requested ``movie_id``, or an ``error`` where there are none."""
@@ -22,10 +25,34 @@ def lookup_enriched(requests: DataFrame, enriched: DataFrame) -> DataFrame:
 
 
 def find_titles(requests: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Catalog ids for each requested ``title``, compared in lower case without outer spaces; null where there is none."""
+    """Catalog ids for each requested ``title``, compared in lower case without outer spaces; null where there is none.
+
+    A title that many rows ask for and many have is a row for each pair. Its requests and its rows are cut into parts by hash, and each two parts
+    are a cell that any task may take: no task gets a title whole, and it holds the requests of one cell only (equal requests share theirs). A row of
+    the catalog meets the requests of a cell one after the other, so written results are runs of one id beside a short list that recurs."""
     key = lambda title: F.lower(strip(title))
+    count = lambda rows, size, name: rows.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    one_of = lambda value, parts: F.when(F.col(parts) > 1, F.pmod(F.xxhash64(value), parts)).otherwise(0).cast("int")
+    each_of = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+    asked = requests.withColumn("_key", key(F.col("title")))
     known = catalog.select("movie_id", F.col("title").alias("catalog_title"), key(F.col("title")).alias("_key"))
-    return requests.withColumn("_key", key(F.col("title"))).join(known, "_key", "left").drop("_key")
+    parts = count(known, KNOWN, "_known").join(count(asked, ASKED, "_asked"), "_key")
+    met = asked.join(parts, "_key", "left")
+    cell = F.concat_ws(":", "_request_part", "_movie_part", "_key").alias("_cell")  # one column, which is no constant even where the title is
+    tasks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: few bytes may be many pairs
+    wanted = (
+        met.filter(F.col("_known").isNotNull())
+        .withColumn("_request_part", one_of(F.to_json(F.struct(*requests.columns)), "_asked")).withColumn("_movie_part", each_of("_known"))
+        .select(cell, *requests.columns).repartition(tasks, "_cell")
+    )
+    held = (
+        known.join(parts, "_key")
+        .withColumn("_movie_part", one_of(F.col("movie_id"), "_known")).withColumn("_request_part", each_of("_asked"))
+        .select(cell, "movie_id", "catalog_title").repartition(tasks, "_cell")
+    )
+    found = held.join(wanted.hint("merge"), "_cell").select(*requests.columns, "movie_id", "catalog_title")
+    return found.unionByName(met.filter(F.col("_known").isNull()).select(*requests.columns), allowMissingColumns=True)
 
 
 def compare_rows(requests: DataFrame, catalog: DataFrame, enriched: DataFrame) -> DataFrame:
